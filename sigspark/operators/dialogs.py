@@ -104,7 +104,7 @@ def sip_dialogs(messages: DataFrame, prefix: str = "d") -> tuple[DataFrame, Data
         F.col("capture_id"), F.col("_call"), F.col("dialog_tag"), "leg_id", F.col("kind").alias("leg_kind")
     )
     leg_messages = tagged.join(bridge, ["capture_id", "_call", "dialog_tag"]).drop("_call", "dialog_tag")
-    return legs.drop("_call", "dialog_tag"), leg_messages
+    return legs.drop("_call", "dialog_tag", "first_ord"), leg_messages
 
 
 def dialog_state(leg_messages: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -235,7 +235,7 @@ def group_flows(q931: DataFrame, prefix: str = "g") -> tuple[DataFrame, DataFram
     )
     legs = number_rows(legs, ["capture_id"], ["start_ts", "first_ord"], prefix, "leg_id")
     bridge = base.join(legs.select(*keys, "leg_id"), keys)
-    return legs.drop("_flow"), bridge.drop("_flow")
+    return legs.drop("_flow", "first_ord"), bridge.drop("_flow")
 
 
 def transactions(leg_messages: DataFrame) -> DataFrame:

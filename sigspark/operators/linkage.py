@@ -29,6 +29,7 @@ from sigspark.session import stage
 
 THRESHOLD = 500
 MARGIN = 150
+SEPARATOR, ABSENT = "\u0001", "\u0002"
 
 
 @dataclass(frozen=True)
@@ -77,43 +78,56 @@ class Linkage:
 
 def with_classes(nodes: DataFrame, link: Linkage) -> DataFrame:
     """Nodes (scope, node_id, start_ts, ord, attributes) with the id of their class."""
-    # md5 of the JSON text: equal attributes, equal class; 128 bits make chance equality negligible
+    # equal attributes, equal class; the 128 bits of md5 make chance equality negligible
     attrs = F.struct(*link.attributes)
+    text = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(ABSENT)) for c in link.attributes])
     return nodes.select(
         *link.scope, "node_id", epoch_us(F.col("start_ts")).alias("t"), F.col("ord").cast("string").alias("ord"),
-        attrs.alias("a"), F.md5(F.to_json(attrs)).alias("cls"),
+        attrs.alias("a"), F.md5(text).alias("cls"),
     )
 
 
-def _block_keys(nodes: DataFrame, link: Linkage, block: Block, side: str) -> DataFrame:
-    cols = [F.col("a")[c].alias(f"_k{i}") for i, c in enumerate(block.columns)]
-    w = link.proximity.window_us
-    out = nodes.select(*link.scope, "cls", "a", "t", *cols)
-    if side == "r" and block.right_if is not None:
-        out = out.where(block.right_if(F.col("a")))
-    for i in range(len(block.columns)):
-        if out.schema[f"_k{i}"].dataType.typeName() == "array":
-            out = out.withColumn(f"_k{i}", F.explode(f"_k{i}"))
-        out = out.where(F.col(f"_k{i}").isNotNull())
-    keys = [f"_k{i}" for i in range(len(block.columns))]
-    if block.near:
+def _block_keys(nodes: DataFrame, link: Linkage, side: str) -> DataFrame:
+    """(scope, block, key, class): every block key of every class, all blocks in one pass."""
+    a, w = F.col("a"), link.proximity.window_us
+    groups = []
+    for no, block in enumerate(link.blocks):
+        arrays = [c for c in block.columns if nodes.schema["a"].dataType[c].dataType.typeName() == "array"]
+        plain = [a[c] for c in block.columns if c not in arrays]
+        usable = F.lit(True)
+        for c in plain:
+            usable = usable & c.isNotNull()
+        if side == "r" and block.right_if is not None:
+            usable = usable & F.coalesce(block.right_if(a), F.lit(False))
         # the egress lies in the bucket of the ingress or in the next one
-        b = F.floor(F.col("t") / w)
-        out = out.withColumn("_b", F.explode(F.array(b, b + 1)) if side == "l" else b)
-        keys.append("_b")
-    return out.select(*link.scope, *keys, F.col("cls").alias(side + "_cls")).distinct()
+        at = F.floor(F.col("t") / w)
+        buckets = ([at, at + 1] if side == "l" else [at]) if block.near else [F.lit(0).cast("bigint")]
+        items = a[arrays[0]] if arrays else None
+        groups.append(F.when(usable, _spread(no, plain, items, buckets)))
+    groups = [F.coalesce(g, F.array().cast("array<struct<block:int,key:string,bucket:bigint>>")) for g in groups]
+    keys = nodes.select(*link.scope, F.col("cls").alias(side + "_cls"), F.explode(F.flatten(F.array(*groups))).alias("k"))
+    return keys.select(*link.scope, "k.block", "k.key", "k.bucket", side + "_cls").distinct()
+
+
+def _spread(no: int, plain: list[Column], items: Column | None, buckets: list[Column]) -> Column:
+    def key(bucket: Column, *item: Column) -> Column:
+        text = F.concat_ws(SEPARATOR, *[c.cast("string") for c in plain], *item)
+        return F.struct(F.lit(no).alias("block"), text.alias("key"), bucket.alias("bucket"))
+
+    if items is None:
+        return F.array(*[key(b) for b in buckets])
+    return F.concat(*[_each(items, b, key) for b in buckets])
+
+
+def _each(items: Column, bucket: Column, key) -> Column:
+    return F.transform(items, lambda x: key(bucket, x.cast("string")))
 
 
 def class_pairs(nodes: DataFrame, link: Linkage) -> DataFrame:
     """Pairs of classes some of whose members can reach the threshold, with their score without time."""
-    found = None
-    for block in link.blocks:
-        left, right = _block_keys(nodes, link, block, "l"), _block_keys(nodes, link, block, "r")
-        on = [c for c in left.columns if c != "l_cls"]
-        pairs = left.join(right, on).select(*link.scope, "l_cls", "r_cls").distinct()
-        found = pairs if found is None else found.unionByName(pairs)
-    if len(link.blocks) > 1:
-        found = found.distinct()
+    on = [*link.scope, "block", "key", "bucket"]
+    found = _block_keys(nodes, link, "l").join(_block_keys(nodes, link, "r"), on)
+    found = found.select(*link.scope, "l_cls", "r_cls").distinct()
     classes = nodes.groupBy(*link.scope, "cls").agg(F.first("a").alias("a"))
     left = classes.select(*link.scope, F.col("cls").alias("l_cls"), F.col("a").alias("l"))
     right = classes.select(*link.scope, F.col("cls").alias("r_cls"), F.col("a").alias("r"))
@@ -347,10 +361,25 @@ def build_calls(nodes: DataFrame, accepted: DataFrame, contended: DataFrame, amb
     return calls, call_nodes.select(*scope, "root", "node_id", "t")
 
 
-def link(nodes: DataFrame, spec: Linkage) -> dict[str, DataFrame]:
-    """The whole linkage: candidates, ambiguous records, pool, accepted pairs, calls."""
+def pair_candidates(pairs: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Scored pairs (scope, ingress, t, ord, egress, score) in the form of ``candidates``."""
+    none = F.lit(None).cast("string")
+    return pairs.select(
+        *scope, none.alias("l_cls"), none.alias("r_cls"), F.col("score").alias("base"), F.col("ingress").alias("node_id"), "t", "ord",
+        F.lit(1).cast("bigint").alias("n"), F.col("egress").alias("best_id"), F.col("score").alias("best"),
+        none.alias("second_id"), F.lit(None).cast("bigint").alias("second"),
+    )
+
+
+def link(nodes: DataFrame, spec: Linkage, extra: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The whole linkage: candidates, ambiguous records, pool, accepted pairs, calls.
+
+    ``extra``: candidates of another kind of pair (see ``pair_candidates``) that compete with them.
+    """
     classed = with_classes(nodes, spec)
     cand = candidates(classed, spec)
+    if extra is not None:
+        cand = stage(cand.unionByName(extra), "candidates")
     pool, ambiguous = split_ambiguous(classed, cand, spec)
     accepted, contended = match_greedy(pool, spec.scope, spec.margin)
     calls, call_nodes = build_calls(classed, accepted, contended, ambiguous, spec.scope)

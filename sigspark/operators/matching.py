@@ -104,8 +104,9 @@ def stream_formats(streams: DataFrame, endpoints: DataFrame, keys: Sequence[str]
 def ice_keys(media: DataFrame, leg_messages: DataFrame) -> DataFrame:
     """(capture_id, kind, key, leg_id): endpoints, candidate addresses and user fragments of dialogs."""
     m = media.join(leg_messages.select("capture_id", "msg_id", "leg_id"), ["capture_id", "msg_id"])
-    attr = F.explode(F.concat(F.coalesce("attrs", F.array()), F.coalesce("session_attrs", F.array())))
-    attrs = m.select("capture_id", "leg_id", F.regexp_replace(attr, "^a=", "").alias("a"))
+    none = F.array().cast("array<string>")
+    every = F.concat(F.coalesce("attrs", none), F.coalesce("session_attrs", none))
+    attrs = m.select("capture_id", "leg_id", F.explode(F.transform(every, lambda a: F.regexp_replace(a, "^a=", ""))).alias("a"))
     cand = r"(?i)^candidate:\S+\s+\d+\s+\S+\s+\d+\s+(\S+)\s+(\d+)"
     media_ends = m.where(F.col("port").isNotNull()).select(
         "capture_id", F.lit("endpoint").alias("kind"),
@@ -165,7 +166,7 @@ def names_to_legs(exchanges: DataFrame, messages: DataFrame, leg_messages: DataF
     names = exchanges.select("capture_id", F.col(name), q.alias("_q")).where(F.length("_q") > 0).distinct()
     base = F.nullif(F.regexp_replace("_q", r"^(?:_[^.]*\.)+", ""), F.col("_q"))
     forms = names.select("capture_id", name, F.explode(F.array_compact(F.array(F.col("_q"), base))).alias("form"))
-    text = F.lower(F.concat_ws(" ", "request_uri", "to_uri", "contact", F.array_join(F.coalesce("routes", F.array()), " ")))
+    text = F.lower(F.concat_ws(" ", "request_uri", "to_uri", "contact", F.array_join(F.coalesce("routes", F.array().cast("array<string>")), " ")))
     # a name can only occur within a run of name characters
     words = messages.select("capture_id", "msg_id", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(r"[a-z0-9._-]+"), F.lit(0)))).alias("word"))
     owner = words.join(leg_messages.select("capture_id", "msg_id", "leg_id"), ["capture_id", "msg_id"]).select("capture_id", "leg_id", "word").distinct()
@@ -251,7 +252,7 @@ def ack_targets(leg_messages: DataFrame) -> DataFrame:
     ok = ok.groupBy("capture_id", "leg_id", "cseq_num").agg(F.min_by(uri_host(F.col("contact")), F.struct("ts", "ord")).alias("contact_host"))
     ack = base.where(F.col("is_request") & (F.col("method") == "ACK")).select(
         "capture_id", "leg_id", "cseq_num", F.col("msg_id").alias("ack_id"), uri_host(F.col("request_uri")).alias("ack_host"),
-        (F.size(F.coalesce("routes", F.array())) > 0).alias("routed"),
+        (F.size(F.coalesce("routes", F.array().cast("array<string>"))) > 0).alias("routed"),
     )
     return ok.join(ack, ["capture_id", "leg_id", "cseq_num"]).where(
         ~F.col("routed") & (F.lower("contact_host") != F.lower("ack_host"))

@@ -130,13 +130,7 @@ def classify_repeats(collapses: DataFrame, responses: DataFrame, storms: DataFra
     delay_us = epoch_us(F.col("first_response_ts")) - epoch_us(F.col("first_ts"))
     late = is_request & F.col("first_response_ts").isNotNull() & (F.col("first_response_ts") >= F.coalesce("second_ts", "last_ts"))
     out = out.withColumn("_late", F.coalesce(late, F.lit(False))).withColumn("_delay_us", delay_us)
-    # the same delay (to a tenth) on two or more legs to one destination points at a lookup
-    out = out.withColumn("_tenth", F.round(F.col("_delay_us") / 1e5).cast("bigint"))
-    alike = (
-        out.where("_late").groupBy("capture_id", "dst", "_tenth")
-        .agg(F.countDistinct("leg_id").alias("_alike"))
-    )
-    out = out.join(alike, ["capture_id", "dst", "_tenth"], "left")
+    out = out.join(_alike(out.where("_late"), late_after_s), ["capture_id", "dst", "leg_id"], "left")
     if storms is None:
         out = out.withColumn("_storm", F.lit(False))
     else:
@@ -176,14 +170,26 @@ def classify_repeats(collapses: DataFrame, responses: DataFrame, storms: DataFra
         .withColumn("severity", severity)
         .withColumn("label", label)
         .withColumn("delay_s", F.col("_delay_us") / 1e6)
-        .drop("_late", "_delay_us", "_tenth", "_alike", "_storm")
+        .drop("_late", "_delay_us", "_alike", "_storm")
+    )
+
+
+def _alike(late: DataFrame, late_after_s: float, spread_s: float = 0.25) -> DataFrame:
+    """Per late leg the number of legs to its destination delayed alike: the sign of a name lookup
+    that holds up every request. Delays are put on a clock and counted by a scan."""
+    from sigspark.operators.pairing import near_in_time
+
+    legs = late.where(F.col("_delay_us") >= int(late_after_s * 1e6)).groupBy("capture_id", "dst", "leg_id").agg(
+        F.timestamp_micros(F.min("_delay_us")).alias("at")
     )
+    near = near_in_time(legs, legs, spread_s, ["capture_id", "dst"], "at", "at", "leg_id", "leg_id")
+    return near.select("capture_id", "dst", "leg_id", F.col("n_near").alias("_alike"))
 
 
 def _inside(collapses: DataFrame, storms: DataFrame) -> DataFrame:
-    """Ids of collapses whose first row lies in a storm: storms are disjoint, so the last storm that
+    """Ids of collapses whose first repeat lies in a storm: storms are disjoint, so the last storm that
     starts before it decides; found by a scan over both, not by a range join."""
-    a = collapses.select("capture_id", epoch_us(F.col("first_ts")).alias("_t"), F.lit(1).alias("_o"), "first_id", F.lit(None).cast("bigint").alias("_end"))
+    a = collapses.select("capture_id", epoch_us(F.col("second_ts")).alias("_t"), F.lit(1).alias("_o"), "first_id", F.lit(None).cast("bigint").alias("_end"))
     b = storms.select("capture_id", epoch_us(F.col("start_ts")).alias("_t"), F.lit(0).alias("_o"), F.lit(None).cast("string").alias("first_id"), epoch_us(F.col("end_ts")).alias("_end"))
     both = scan(a.unionByName(b), ["capture_id"], ["_t", "_o", "first_id"], {"_until": last_value(F.col("_end"))})
     return both.where((F.col("_o") == 1) & (F.col("_until") >= F.col("_t"))).select("capture_id", "first_id")
