@@ -191,74 +191,104 @@ def _attr(lines: Column, prefix: str) -> Column:
     return F.try_element_at(F.transform(hit, lambda x: F.substring(x, len(prefix) + 1, 100000)), F.lit(1))
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once: a lambda variable is bound, not copied."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+DIRECTIONS = ["a=sendrecv", "a=sendonly", "a=recvonly", "a=inactive"]
+
+
 def parse_sdp(body: Column) -> Column:
     """STRUCT of origin, connection, session attributes and media, built without a UDF.
 
     The body is cut before every m= line; the first piece is the session part.
     """
     text = F.regexp_replace(body, r"\r\n?", "\n")
-    pieces = F.split(text, r"\n(?=m=)")
-    session = F.split(F.element_at(pieces, 1), "\n")
-    o = F.split(_attr(session, "o="), r"\s+")
-    session_dir = F.try_element_at(
-        F.filter(session, lambda x: x.isin("a=sendrecv", "a=sendonly", "a=recvonly", "a=inactive")), F.lit(1)
-    )
+    pieces = F.transform(F.split(text, r"\n(?=m=)"), lambda p: F.split(p, "\n"))
+    return _let(pieces, _sdp_struct)
+
+
+def _sdp_struct(pieces: Column) -> Column:
+    session = pieces[0]
+    session_dir = F.try_element_at(F.filter(session, lambda x: x.isin(DIRECTIONS)), F.lit(1))
     conn = F.try_element_at(F.split(_attr(session, "c="), r"\s+"), F.lit(3))
-    origin = F.when(
-        _attr(session, "o=").isNotNull(),
-        F.struct(
-            F.try_element_at(o, F.lit(1)).alias("user"),
-            F.try_element_at(o, F.lit(2)).alias("sess_id"),
-            F.try_element_at(o, F.lit(3)).alias("sess_version"),
-            F.try_element_at(o, F.lit(6)).alias("addr"),
+    origin = _let(
+        F.split(_attr(session, "o="), r"\s+"),
+        lambda o: F.when(
+            o.isNotNull(),
+            F.struct(
+                F.try_element_at(o, F.lit(1)).alias("user"),
+                F.try_element_at(o, F.lit(2)).alias("sess_id"),
+                F.try_element_at(o, F.lit(3)).alias("sess_version"),
+                F.try_element_at(o, F.lit(6)).alias("addr"),
+            ),
         ),
     )
-    static = F.create_map(*[
-        F.lit(x) if not isinstance(x, tuple) else F.struct(F.lit(x[0]).alias("codec"), F.lit(x[1]).alias("rate"))
-        for kv in STATIC_PAYLOADS.items() for x in kv
-    ])
-
-    def media(piece: Column) -> Column:
-        lines = F.split(piece, "\n")
-        m = F.split(F.substring(F.element_at(lines, 1), 3, 100000), r"\s+")
-        attrs = F.filter(lines, lambda x: x.startswith("a="))
-        direction = F.try_element_at(
-            F.filter(attrs, lambda x: x.isin("a=sendrecv", "a=sendonly", "a=recvonly", "a=inactive")), F.lit(1)
-        )
+    parts = F.transform(
+        F.filter(pieces, lambda lines: F.element_at(lines, 1).startswith("m=")),
+        lambda lines: F.struct(
+            F.split(F.substring(F.element_at(lines, 1), 3, 100000), r"\s+").alias("m"),
+            F.filter(lines, lambda x: x.startswith("a=")).alias("attrs"),
+            F.try_element_at(F.split(_attr(lines, "c="), r"\s+"), F.lit(3)).alias("conn"),
+        ),
+    )
+    head = F.struct(
+        origin.alias("origin"), conn.alias("conn"), session_dir.alias("dir"),
+        F.filter(session, lambda x: x.startswith("a=")).alias("attrs"), parts.alias("parts"),
+    )
+    return _let(head, _sdp_result)
+
+
+def _sdp_result(h: Column) -> Column:
+    first_conn = F.try_element_at(F.filter(F.transform(h["parts"], lambda p: p["conn"]), lambda x: x.isNotNull()), F.lit(1))
+    return F.struct(
+        h["origin"].alias("origin"),
+        F.coalesce(h["conn"], first_conn).alias("connection"),
+        h["attrs"].alias("session_attrs"),
+        F.transform(h["parts"], lambda p: _sdp_media(p, h["dir"])).alias("media"),
+    )
+
+
+def _sdp_media(part: Column, session_dir: Column) -> Column:
+    m, attrs = part["m"], part["attrs"]
+    direction = F.try_element_at(F.filter(attrs, lambda x: x.isin(DIRECTIONS)), F.lit(1))
+    types = F.filter(F.slice(m, 4, 1000), lambda x: x.rlike(r"^\d+$"))
+    named = F.transform(
+        types,
+        lambda p: F.struct(
+            p.try_cast("int").alias("pt"),
+            F.split(F.trim(F.substring_index(_payload_line(attrs, "a=rtpmap:", p), " ", -1)), "/").alias("map"),
+            F.regexp_replace(_payload_line(attrs, "a=fmtp:", p), r"^a=fmtp:\d+ ", "").alias("fmtp"),
+        ),
+    )
+    return F.struct(
+        F.try_element_at(m, F.lit(1)).alias("type"),
+        F.regexp_extract(F.try_element_at(m, F.lit(2)), r"^(\d+)", 1).try_cast("int").alias("port"),
+        F.try_element_at(m, F.lit(3)).alias("proto"),
+        _attr(attrs, "a=ptime:").try_cast("int").alias("ptime"),
+        F.substring(F.coalesce(direction, session_dir, F.lit("a=sendrecv")), 3, 20).alias("direction"),
+        attrs.alias("attrs"),
+        F.transform(named, _sdp_payload).alias("payloads"),
+    )
+
+
+def _payload_line(attrs: Column, prefix: str, pt: Column) -> Column:
+    """The attribute line of one payload type, matched up to the blank after it."""
+    start = F.concat(F.lit(prefix), pt, F.lit(" "))
+    return F.try_element_at(F.filter(attrs, lambda a: a.startswith(start)), F.lit(1))
 
-        def payload(p: Column) -> Column:
-            pt = p.try_cast("int")
-            # "rtpmap:<pt> <codec>/<rate>" of this payload type, matched up to the blank
-            maps = F.filter(attrs, lambda a: a.startswith(F.concat(F.lit("a=rtpmap:"), p, F.lit(" "))))
-            mapped = F.split(F.trim(F.substring_index(F.try_element_at(maps, F.lit(1)), " ", -1)), "/")
-            fmtp = F.filter(attrs, lambda a: a.startswith(F.concat(F.lit("a=fmtp:"), p, F.lit(" "))))
-            default = F.try_element_at(static, pt)
-            return F.struct(
-                pt.alias("pt"),
-                F.coalesce(F.try_element_at(mapped, F.lit(1)), default["codec"]).alias("codec"),
-                F.coalesce(F.try_element_at(mapped, F.lit(2)).try_cast("int"), default["rate"]).alias("rate"),
-                F.regexp_replace(F.try_element_at(fmtp, F.lit(1)), r"^a=fmtp:\d+ ", "").alias("fmtp"),
-            )
-
-        pts = F.filter(F.slice(m, 4, 1000), lambda x: x.rlike(r"^\d+$"))
-        return F.struct(
-            F.try_element_at(m, F.lit(1)).alias("type"),
-            F.regexp_extract(F.try_element_at(m, F.lit(2)), r"^(\d+)", 1).try_cast("int").alias("port"),
-            F.try_element_at(m, F.lit(3)).alias("proto"),
-            _attr(attrs, "a=ptime:").try_cast("int").alias("ptime"),
-            F.substring(F.coalesce(direction, session_dir, F.lit("a=sendrecv")), 3, 20).alias("direction"),
-            attrs.alias("attrs"),
-            F.transform(pts, payload).alias("payloads"),
-            F.coalesce(F.try_element_at(F.split(_attr(lines, "c="), r"\s+"), F.lit(3)), conn).alias("connection"),
-        )
 
-    medias = F.transform(F.filter(pieces, lambda x: x.startswith("m=")), media)
-    first_conn = F.try_element_at(F.filter(F.transform(medias, lambda m: m["connection"]), lambda x: x.isNotNull()), F.lit(1))
+def _sdp_payload(p: Column) -> Column:
+    codec, rate = F.lit(None).cast("string"), F.lit(None).cast("int")
+    for pt, (name, hz) in STATIC_PAYLOADS.items():
+        codec = F.when(p["pt"] == pt, name).otherwise(codec)
+        rate = F.when(p["pt"] == pt, hz).otherwise(rate)
     return F.struct(
-        origin.alias("origin"),
-        F.coalesce(conn, first_conn).alias("connection"),
-        F.filter(session, lambda x: x.startswith("a=")).alias("session_attrs"),
-        F.transform(medias, lambda m: m.dropFields("connection")).alias("media"),
+        p["pt"].alias("pt"),
+        F.coalesce(F.try_element_at(p["map"], F.lit(1)), codec).alias("codec"),
+        F.coalesce(F.try_element_at(p["map"], F.lit(2)).try_cast("int"), rate).alias("rate"),
+        p["fmtp"].alias("fmtp"),
     )
 
 

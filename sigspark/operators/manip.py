@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +59,7 @@ def with_expected(rules: DataFrame) -> DataFrame:
     )
 
 
-def rules_vs_changes(rules: DataFrame, items: DataFrame, call: str = "call_no") -> DataFrame:
+def rules_vs_changes(rules: DataFrame, items: DataFrame, call: str = "call_no", tags: Sequence[str] = MANIP_TAGS) -> DataFrame:
     """Three verdicts: observed-as-configured, configured-not-observed, observed-not-configured.
 
     ``rules``: rule_id, header, expected ARRAY<tag>. ``items``: tag, header (null when not about one)
@@ -78,7 +80,7 @@ def rules_vs_changes(rules: DataFrame, items: DataFrame, call: str = "call_no")
         "rule_id", F.lit("configured-not-observed").alias("verdict"), F.lit(0).cast("bigint").alias("n_calls"), F.lit("").alias("tags"), F.lit(None).cast("string").alias("header")
     )
     claimed = explained.select("tag", F.col("header").alias("_h")).distinct()
-    left = items.where(F.col("tag").isin(MANIP_TAGS))
+    left = items.where(F.col("tag").isin(list(tags)))
     left = left.join(claimed.withColumnRenamed("tag", "_t"), (F.col("tag") == F.col("_t")) & F.col("header").eqNullSafe(F.col("_h")), "left_anti")
     rest = left.groupBy("tag", "header").agg(F.countDistinct(call).alias("n_calls")).select(
         F.lit(None).cast("string").alias("rule_id"), F.lit("observed-not-configured").alias("verdict"), "n_calls", F.col("tag").alias("tags"), "header"

@@ -42,7 +42,7 @@ def pair_fifo(df: DataFrame, keys: Sequence[str], is_request: Column, ts: str, r
 
 def _latency(out: DataFrame, ts: str, slow_s: float, capture_end: DataFrame | None, keys) -> DataFrame:
     q, r = epoch_us(F.col("request_" + ts)), epoch_us(F.col("response_" + ts))
-    out = out.withColumn("latency_us", F.greatest(F.lit(0), r - q))
+    out = out.withColumn("latency_us", F.when(r.isNotNull(), F.greatest(F.lit(0), r - q)))
     out = out.withColumn("slow", F.coalesce(F.col("latency_us") > int(slow_s * 1e6), F.lit(False)))
     out = out.withColumn("timed_out", F.col("response_" + ts).isNull())
     if capture_end is not None:
@@ -132,7 +132,8 @@ def pair_by_id(df: DataFrame, keys: Sequence[str], is_request: Column, ts: str,
     r = first.where(~F.col("_rq")).select(*keys, *[F.col("_row")[c].alias("response_" + c) for c in rest], F.col("_n").alias("n_responses"))
     out = q.join(r, keys, "left")
     rtt = epoch_us(F.col("response_" + ts)) - epoch_us(F.col("request_" + ts))
-    return out.withColumn("rtt_us", F.greatest(F.lit(0), rtt)).withColumn("n_responses", F.coalesce("n_responses", F.lit(0)))
+    rtt = F.when(rtt.isNotNull(), F.greatest(F.lit(0), rtt))
+    return out.withColumn("rtt_us", rtt).withColumn("n_responses", F.coalesce("n_responses", F.lit(0)))
 
 
 def round_trip(blocks: DataFrame, reports: DataFrame, max_s: float = 10.0) -> DataFrame:

@@ -10,6 +10,11 @@ from sigspark.plans.analysis import Capture, analyze
 @pytest.fixture(scope="module")
 def result(spark):
     caps = [f() for f in sipkit.ALL]
+    # many small plans: compiling them takes longer than running them
+    tiny = {"spark.sql.codegen.wholeStage": "false", "spark.sql.shuffle.partitions": "2"}
+    before = {k: spark.conf.get(k) for k in tiny}
+    for k, v in tiny.items():
+        spark.conf.set(k, v)
 
     def frame(attr, ddl):
         return spark.createDataFrame([r for c in caps for r in getattr(c, attr)], ddl)
@@ -19,7 +24,10 @@ def result(spark):
         diameter=frame("diameter", schemas.DIAMETER), stun=frame("stun", schemas.STUN), dtls=frame("dtls", schemas.DTLS),
         isup=frame("isup", f"capture_id string, msg_id string, isup {schemas.ISUP}"),
     ))
-    return {n: [r.asDict(recursive=True) for r in df.collect()] for n, df in tables.items()}
+    out = {n: [r.asDict(recursive=True) for r in df.collect()] for n, df in tables.items()}
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    return out
 
 
 def of(result, table, name):
@@ -48,8 +56,8 @@ def test_counts(result, name):
 def test_basic_call(result):
     (call,) = of(result, "calls", "basic-call")
     assert call["state"] == "paired" and call["n_nodes"] == 2
-    assert call["confidence"] == 932  # icid 450 + origin 300 + time 132 (30 of 250 ms) + one user 50
-    assert {s["signal"] for s in of(result, "pair_signals", "basic-call")} == {"pcv-icid", "sdp-origin", "temporal", "user-parts"}
+    assert call["confidence"] == 982  # icid 450, origin 300, time 132 (30 of 250 ms), one user 50, rewritten 50
+    assert {s["signal"] for s in of(result, "pair_signals", "basic-call")} == {"pcv-icid", "sdp-origin", "temporal", "user-parts", "via-rewrite"}
     assert {i["tag"] for i in of(result, "diff_items", "basic-call")} == {
         "header-stripped", "header-added", "header-rewritten", "from-rewritten", "codec-narrowed", "codec-transcoding", "ptime-mismatch",
         "dtmf-pt-mismatch", "100rel-asymmetry", "session-timer-changed", "session-timer-conflict", "early-media-183", "private-ip-leak",
