@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.plans.slices import top_per
+from sigspark.session import spread, stage
 
 # Words that carry no meaning for retrieval.
 STOPWORDS = (
@@ -18,6 +19,7 @@ STOPWORDS = (
     "such will would can could should may might must do does did has have had about also any all each "
     "more most other some only own same too very up down out over under when where which while who whom what"
 ).split()
+TOKEN = "[a-z0-9_À-ɏ]+"
 MAX_TOKEN = 40
 MAX_HEADING = 200
 K1, B, HEADING_BOOST, MIN_SCORE_RATIO, MAX_QUERY_TERMS = 1.2, 0.75, 0.5, 0.08, 32
@@ -31,7 +33,7 @@ NUMBERED = re.compile(r"^[ \t]*(\d{1,3}(?:\.\d{1,3}){0,2})[.):]?[ \t]+([A-Za-z(\
 
 def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Lower-case word tokens in order, stopwords and lone letters dropped, long ones cut."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_À-ɏ]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
     cut = F.transform(found, lambda t: F.substring(t, 1, MAX_TOKEN))
     return F.filter(cut, lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(list(stopwords)))
 
@@ -64,7 +66,7 @@ def sections(pages: DataFrame, doc_id: str, text: str = "text", page: str | None
                         no += 1
             yield pd.DataFrame(rows, columns=[*keys, "section", "chunk", "heading", "body"])
 
-    return pages.select(*keys, text).mapInPandas(run, schema)
+    return spread(pages.select(*keys, text)).mapInPandas(run, schema)
 
 
 def heading_of(line: str, following: str | None, atx: bool) -> tuple[str | None, bool]:
@@ -183,20 +185,32 @@ def tail_of(text: str, n: int) -> str:
     return t.strip()
 
 
+def term_rows(df: DataFrame, keys: Sequence[str], text: Column, out: str = "term") -> DataFrame:
+    """One row per token: the rules of ``tokens``, applied after the explode in compiled code."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
+    rows = df.select(*keys, F.explode(found).alias("_w")).select(*keys, F.substring("_w", 1, MAX_TOKEN).alias(out))
+    return rows.where(((F.length(out) > 1) | F.col(out).rlike("^[0-9]$")) & ~F.col(out).isin(STOPWORDS))
+
+
 def build_index(chunks: DataFrame, chunk_key: Sequence[str], text: Column, heading: Column | None = None) -> dict[str, DataFrame]:
-    """postings(term, key, tf, in_heading), lengths(key, dl), df(term, df), totals(n, avgdl).
+    """postings(key, term, tf, in_heading), lengths(key, dl), df(term, df), totals(n, avgdl).
 
-    Every part is a plain aggregate; written out, postings would be bucketed by term.
+    The texts are cut once and the postings written to the shared folder; the other parts are
+    aggregates of them. Kept for good, postings would be bucketed by term.
     """
     key = list(chunk_key)
-    base = chunks.select(*key, tokens(text).alias("_t"), (tokens(heading) if heading is not None else F.array().cast("array<string>")).alias("_h"))
-    lengths = base.select(*key, F.size("_t").cast("bigint").alias("dl"))
-    terms = base.select(*key, "_h", F.explode("_t").alias("term"))
-    postings = terms.groupBy(*key, "term").agg(
-        F.count(F.lit(1)).alias("tf"), F.max(F.array_contains("_h", F.col("term")).cast("int")).alias("in_heading")
-    )
+    base = spread(chunks)
+    postings = term_rows(base, key, text).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    if heading is None:
+        postings = postings.withColumn("in_heading", F.lit(0))
+    else:
+        heads = term_rows(chunks, key, heading).distinct().withColumn("in_heading", F.lit(1))
+        postings = postings.join(heads, [*key, "term"], "left").withColumn("in_heading", F.coalesce("in_heading", F.lit(0)))
+    postings = stage(postings, "postings")
+    lengths = postings.groupBy(*key).agg(F.sum("tf").alias("dl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    totals = postings.agg((F.sum("tf") / n.select("n").scalar()).alias("avgdl"), F.first(n.select("n").scalar()).alias("n"))
     return {"postings": postings, "lengths": lengths, "df": df, "totals": totals}
 
 
@@ -225,7 +239,8 @@ def bm25(index: dict[str, DataFrame], queries: DataFrame, query_id: str, text: C
     sums = hits.groupBy(query_id, *key).agg(F.sum(part).alias("raw"), F.sum("in_heading").alias("in_heading"))
     sums = sums.join(nq, query_id)
     score = F.col("raw") * (1 + HEADING_BOOST * F.col("in_heading") / F.col("nq"))
-    scored = sums.select(query_id, *key, score.alias("_score")).where(F.col("_score") > 0)
+    # nine decimals: copies of one text tie whatever the order their terms were added in
+    scored = sums.select(query_id, *key, F.round(score, 9).alias("_score")).where(F.col("_score") > 0)
     top = top_per(scored, [query_id], [F.col("_score").desc(), *[F.col(c) for c in key]], k)
     best = top.where(F.col("rank") == 1).select(query_id, F.col("_score").alias("_best"))
     kept = top.join(best, query_id).where(F.col("_score") >= F.col("_best") * min_ratio)

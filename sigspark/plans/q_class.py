@@ -87,7 +87,7 @@ def diff_promoted(spark, sf):
     "set_difference",
     """
     WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS a, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 1))) AS b FROM events GROUP BY 1)
-    SELECT user_id, len(list_filter(a, x -> NOT list_contains(coalesce(b, []), x))) AS n_removed, len(list_filter(b, x -> NOT list_contains(coalesce(a, []), x))) AS n_added FROM s
+    SELECT user_id, len(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))) AS n_removed, len(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x))) AS n_added FROM s
     """,
 )
 def set_difference(spark, sf):
@@ -350,7 +350,7 @@ def upper_median(spark, sf):
     "common_prefix",
     """
     WITH e AS (SELECT c_nationkey, min(c_name) AS a, max(c_name) AS b FROM customer GROUP BY 1)
-    SELECT c_nationkey, left(a, CAST(len(list_filter(range(1, length(a) + 1), i -> left(a, CAST(i AS INT)) = left(b, CAST(i AS INT)))) AS INT)) AS prefix FROM e
+    SELECT c_nationkey, left(a, CAST(len(list_filter(range(1, length(a) + 1), lambda i: left(a, CAST(i AS INT)) = left(b, CAST(i AS INT)))) AS INT)) AS prefix FROM e
     """,
 )
 def common_prefix(spark, sf):

@@ -11,7 +11,7 @@ from sigspark.functions.redact import mask_digits, redact_secrets
 from sigspark.functions.sip import digits
 from sigspark.operators import search, textindex
 from sigspark.plans.registry import query
-from sigspark.session import table
+from sigspark.session import spread, table
 from sigspark.sources import files
 
 IP = r"\b(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\b"
@@ -48,10 +48,10 @@ def address_class(spark, sf):
     )
 
 
-@query("private_ips", IPS + f"SELECT doc_id, ip FROM o WHERE {PRIVATE}")
+@query("private_ips", IPS + f"SELECT doc_id, count(*) AS n_ips, count(*) FILTER ({PRIVATE}) AS n_private FROM o GROUP BY 1")
 def private_ips(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text")
-    return d.select("doc_id", F.explode(ips_in(F.col("text"), private_only=True)).alias("ip"))
+    d = docs(spark, sf).select("doc_id", F.size(ips_in(F.col("text"))).alias("n"), F.size(ips_in(F.col("text"), private_only=True)).alias("p"))
+    return d.where(F.col("n") > 0).select("doc_id", F.col("n").cast("bigint").alias("n_ips"), F.col("p").cast("bigint").alias("n_private"))
 
 
 @query(
@@ -93,37 +93,34 @@ def mask_numbers(spark, sf):
     "facet_search",
     """
     SELECT doc_id, 'text' AS field FROM documents
-    WHERE lang LIKE 'en%' AND contains(lower(source), 'web') AND contains(lower(text), 'th') AND contains(lower(text), 'on the')
+    WHERE lang LIKE 'en%' AND contains(lower(source), 'src1') AND contains(lower(text), 'sh') AND contains(lower(text), 'of the')
     """,
 )
 def facet_search(spark, sf):
-    """lang:en source:web th "on the": two facets, a term and a phrase, all of them."""
+    """lang:en source:src1 sh "of the": two facets, a term and a phrase, all of them."""
     d = docs(spark, sf)
     how = {"lang": search.PREFIX, "source": search.CONTAINS}
-    hits = search.search(d, 'lang:en source:web th "on the"', ["text"], "doc_id", cap=None, how=how, facets=list(how))
+    hits = search.search(d, 'lang:en source:src1 sh "of the"', ["text"], "doc_id", cap=None, how=how, facets=list(how))
     return hits.select("doc_id", "field")
 
 
 @query(
     "digit_search",
     r"""
-    SELECT doc_id, CASE WHEN contains(text, '555') THEN 'text' ELSE 'number' END AS field FROM documents
-    WHERE contains(text, '555 0') OR contains(regexp_replace(text, '[^0-9]', '', 'g'), '5550')
+    SELECT doc_id, CASE WHEN contains(text, '2-123') THEN 'text' ELSE 'number' END AS field FROM documents
+    WHERE contains(text, '2-123') OR contains(regexp_replace(text, '[^0-9]', '', 'g'), '2123')
     """,
 )
 def digit_search(spark, sf):
     """A number however it is written: digits of the query in the digits of the text."""
     d = docs(spark, sf).withColumn("digits", digits(F.col("text")))
-    hits = search.search(d, '"555 0"', ["text"], "doc_id", cap=None, digits_col="digits")
-    return hits.join(d.select("doc_id", F.col("text").contains("555").alias("_t")), "doc_id").select(
-        "doc_id", F.when(F.col("_t"), "text").otherwise("number").alias("field")
-    )
+    return search.search(d, "2-123", ["text"], "doc_id", cap=None, digits_col="digits").select("doc_id", "field")
 
 
 @query("search_excerpts")
 def search_excerpts(spark, sf):
     """The hit list of a search with the text around each first match."""
-    return search.search(docs(spark, sf), "password", ["source", "text"], "doc_id", cap=500)
+    return search.search(docs(spark, sf), "token", ["source", "text"], "doc_id", cap=500)
 
 
 @query(
@@ -146,7 +143,7 @@ def scope_rows(spark, sf):
 )
 def html_text(spark, sf):
     """Pages as text: a heading in the page is a heading line in its text, and no tag is left."""
-    p = table(spark, sf, "pages").select("page_id", "html", files.html_to_text(F.col("html")).alias("text"))
+    p = spread(table(spark, sf, "pages")).select("page_id", "html", files.html_to_text(F.col("html")).alias("text"))
     return p.select(
         "page_id", F.length("html").cast("bigint").alias("n_html"),
         (F.col("text").rlike(r"(?m)^#{1,3} \S") & ~F.col("text").rlike(r"(?i)</?(p|div|span|script|h[1-6])\b[^>]*>")).alias("has_heading"),
@@ -155,7 +152,7 @@ def html_text(spark, sf):
 
 @query("html_body")
 def html_body(spark, sf):
-    p = table(spark, sf, "pages")
+    p = spread(table(spark, sf, "pages"))
     return p.select("page_id", files.html_title(F.col("html")).alias("title"), files.html_to_text(F.col("html")).alias("text"))
 
 
@@ -170,13 +167,13 @@ def url_hosts(spark, sf):
 @query("chunks")
 def chunks(spark, sf):
     """Pages to headed, packed chunks."""
-    p = table(spark, sf, "pages").select("page_id", files.html_to_text(F.col("html")).alias("text"))
+    p = spread(table(spark, sf, "pages")).select("page_id", files.html_to_text(F.col("html")).alias("text"))
     return textindex.sections(p, "page_id")
 
 
 TOKENS_SQL = (
-    "list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_À-ɏ]+'), x -> substring(x, 1, 40)), "
-    "x -> (length(x) > 1 OR regexp_matches(x, '^[0-9]$')) AND NOT list_contains(["
+    "list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_À-ɏ]+'), lambda x: substring(x, 1, 40)), "
+    "lambda x: (length(x) > 1 OR regexp_matches(x, '^[0-9]$')) AND NOT list_contains(["
     + ", ".join(f"'{w}'" for w in textindex.STOPWORDS)
     + "], x))"
 )
@@ -207,7 +204,7 @@ BM25_SQL = f"""
     h AS (SELECT q.item_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(dl, 1) / avgdl)))) AS s
           FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (doc_id), g GROUP BY 1, 2),
     r AS (SELECT *, max(s) OVER (PARTITION BY item_id) AS best, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM h)
-    SELECT item_id, doc_id, round(s, 3) AS score FROM r WHERE rank <= 8 AND s >= best * 0.08
+    SELECT item_id, doc_id, round(round(s, 9), 4) AS score FROM r WHERE rank <= 8 AND s >= best * 0.08
 """
 
 
@@ -217,7 +214,7 @@ def bm25(spark, sf):
     d = docs(spark, sf).select("doc_id", "text")
     index = textindex.build_index(d, ["doc_id"], F.col("text"))
     hits = textindex.bm25(index, table(spark, sf, "benchmark"), "item_id", F.col("text"), ["doc_id"])
-    return hits.select("item_id", "doc_id", F.round("score", 3).alias("score"))
+    return hits.select("item_id", "doc_id", "score")
 
 
 @query(

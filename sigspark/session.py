@@ -46,6 +46,16 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer partitions than there are cores.
+
+    For work that is heavy per row, such as cutting texts. A large input has more partitions than
+    cores and passes through untouched, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir, as the cluster set it.
 
