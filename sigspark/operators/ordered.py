@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -140,9 +141,9 @@ def ewma(df: DataFrame, keys, order, value: str, weight: float = 1 / 16, chunk:
     """j = j + (x - j) * weight over the rows of a key, starting from 0; rows with null x keep j.
 
     A linear recurrence: inside a chunk of ``chunk`` rows it is a decayed running sum, and a chunk
-    hands its end value on. After two chunks the decay is below 1e-28 of the value (for 1/16 and
-    512), so three chunks give j to the last bit of a double. Chunks are cut by row number, so no
-    window is longer than one chunk.
+    hands its end value on. Ends of earlier chunks are taken in as long as their decay is above
+    1e-18 of the value (two chunks for 1/16 and 512), so j is exact to a double. Chunks are cut by
+    row number, so no window is longer than one chunk.
     """
     keep = 1.0 - weight
     s = Scanner(df, keys, order).add(_i=running_sum(F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("bigint")))
@@ -155,12 +156,14 @@ def ewma(df: DataFrame, keys, order, value: str, weight: float = 1 / 16, chunk:
     rows = Scanner(rows, [*keys, "_chunk"], order).add(_s=running_sum(F.when(F.col(value).isNotNull(), F.col("_x")).otherwise(0.0))).df
     rows = rows.withColumn("_local", F.col("_s") * F.pow(F.lit(keep), F.col("_k")))
     ends = rows.groupBy(*keys, "_chunk").agg(F.max_by("_local", "_i").alias("_end"))
-    ends = scan(ends, keys, ["_chunk"], {"_e1": lag(F.col("_end"))})
-    ends = scan(ends, keys, ["_chunk"], {"_e2": lag(F.col("_e1"))})
-    full = keep**chunk
-    carry = ends.select(
-        *keys, "_chunk", (F.coalesce("_e1", F.lit(0.0)) + full * F.coalesce("_e2", F.lit(0.0))).alias("_carry")
-    )
+    reach = max(1, math.ceil(math.log(1e-18) / (chunk * math.log(keep))))
+    s = Scanner(ends, keys, ["_chunk"])
+    total, previous = F.lit(0.0), "_end"
+    for i in range(1, reach + 1):
+        s.add(**{f"_e{i}": lag(F.col(previous))})
+        previous = f"_e{i}"
+        total = total + keep ** (chunk * (i - 1)) * F.coalesce(previous, F.lit(0.0))
+    carry = s.df.select(*keys, "_chunk", total.alias("_carry"))
     rows = rows.join(carry, [*keys, "_chunk"], "left")
     j = F.col("_local") + F.pow(F.lit(keep), F.col("_k")) * F.coalesce("_carry", F.lit(0.0))
     return rows.withColumn(out, F.when(F.col("_i") > 0, j).otherwise(0.0)).drop("_i", "_chunk", "_k", "_x", "_s", "_local", "_carry")
