@@ -75,7 +75,7 @@ def has_header(hs: Column, name: str) -> Column:
 def split_quoted(value: Column) -> Column:
     """Split on commas that stand outside quotes and angle brackets."""
     parts = F.split(value, r',(?=(?:[^"]*"[^"]*")*[^"]*$)(?![^<]*>)')
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def option_tags(values: Column) -> Column:

@@ -66,9 +66,8 @@ def stage_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="sigspark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sigspark-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

@@ -19,11 +19,15 @@ def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet
     """(rows, warnings): a typed scan that records unreadable rows instead of failing."""
     if form == "parquet":
         return spark.read.schema(schema).parquet(path), spark.createDataFrame([], "source string, warning string")
+    # line by line rather than by the file reader, so that bad rows can be selected on their own
     full = T.StructType.fromDDL(schema).add("_corrupt", T.StringType())
-    raw = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").format(form).load(path)
-    raw = raw.withColumn("_file", F.col("_metadata.file_path"))
-    bad = raw.where(F.col("_corrupt").isNotNull()).select(F.col("_file").alias("source"), F.concat(F.lit("unreadable row: "), F.substring("_corrupt", 1, 200)).alias("warning"))
-    return raw.where(F.col("_corrupt").isNull()).drop("_corrupt", "_file"), bad
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("source"))
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+    parse = F.from_json if form == "json" else F.from_csv
+    shape = full if form == "json" else full.simpleString()[7:-1].replace(":", " ")
+    raw = lines.where(F.trim("value") != "").select("source", parse("value", shape, options).alias("r"))
+    bad = raw.where(F.col("r._corrupt").isNotNull()).select("source", F.concat(F.lit("unreadable row: "), F.substring("r._corrupt", 1, 200)).alias("warning"))
+    return raw.where(F.col("r._corrupt").isNull()).select("r.*").drop("_corrupt"), bad
 
 
 def classify_content(content: Column, printable_share: float = 0.85) -> Column:

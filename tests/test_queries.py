@@ -4,7 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
-from sigspark.session import stage_dir
+from sigspark.session import stage, stage_dir
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -30,8 +30,9 @@ def test_entry(spark):
     assert df.columns == ["window_no", "start_ts", "end_ts", "n_entities", "n_rows"] and df.count() > 0
 
 
-def test_stage_folder_is_the_configured_one(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    assert stage_dir(spark) == str(tmp_path)
-    spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_stage_folder_is_the_configured_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder = stage_dir(spark)
+    assert folder == (configured or spark.sparkContext.getCheckpointDir()).rstrip("/")
+    staged = stage(spark.range(5), "numbers")
+    assert staged.count() == 5 and all(folder.split(":")[-1] in f for f in staged.inputFiles())

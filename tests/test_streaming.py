@@ -25,7 +25,7 @@ def run(df, mode, name, folder):
     q = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert not q.isActive
-    return q, [r.asDict(recursive=True) for r in q.sparkSession.table(name).collect()]
+    return q, [r.asDict(recursive=True) for r in df.sparkSession.table(name).collect()]
 
 
 def test_dedup_and_counts(spark, tmp_path):
@@ -57,7 +57,7 @@ def test_unanswered(spark, tmp_path):
 
 def test_late_rows_are_counted(spark, tmp_path):
     ddl = "leg string, ts timestamp"
-    s = stream(spark, tmp_path / "in", [[("a", sec(0))], [("b", sec(1000))], [("late", sec(1))], [("c", sec(2000))]], ddl)
+    s = stream(spark, tmp_path / "in", [[("a", sec(0))], [("b", sec(1000))], [("c", sec(1500))], [("late", sec(1))], [("d", sec(2000))]], ddl)
     q, _ = run(twins.event_time(s, "ts", "10 seconds").groupBy(F.window("ts", "10 seconds")).count(), "append", "late", tmp_path / "l")
     assert twins.late_rows(q) == 1
     batch = spark.createDataFrame([("x", sec(1)), ("y", sec(9))], ddl)
