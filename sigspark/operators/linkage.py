@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sigspark.operators.ordered import epoch_us
 from sigspark.plans.slices import Scanner, last_value, running_sum, top_per
-from sigspark.session import stage
+from sigspark.session import spread, stage
 
 THRESHOLD = 500
 MARGIN = 150
@@ -81,14 +81,18 @@ def with_classes(nodes: DataFrame, link: Linkage) -> DataFrame:
     # equal attributes, equal class; the 128 bits of md5 make chance equality negligible
     attrs = F.struct(*link.attributes)
     text = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(ABSENT)) for c in link.attributes])
-    return nodes.select(
+    classed = spread(nodes).select(
         *link.scope, "node_id", epoch_us(F.col("start_ts")).alias("t"), F.col("ord").cast("string").alias("ord"),
         attrs.alias("a"), F.md5(text).alias("cls"),
     )
+    return stage(classed, "linkage-nodes")  # read half a dozen times from here on
 
 
 def _block_keys(nodes: DataFrame, link: Linkage, side: str) -> DataFrame:
-    """(scope, block, key, class): every block key of every class, all blocks in one pass."""
+    """(scope, k, class): a hash of every block key of every class, all blocks in one pass.
+
+    Keys that share a hash by chance bring classes together that scoring then drops.
+    """
     a, w = F.col("a"), link.proximity.window_us
     groups = []
     for no, block in enumerate(link.blocks):
@@ -104,15 +108,14 @@ def _block_keys(nodes: DataFrame, link: Linkage, side: str) -> DataFrame:
         buckets = ([at, at + 1] if side == "l" else [at]) if block.near else [F.lit(0).cast("bigint")]
         items = a[arrays[0]] if arrays else None
         groups.append(F.when(usable, _spread(no, plain, items, buckets)))
-    groups = [F.coalesce(g, F.array().cast("array<struct<block:int,key:string,bucket:bigint>>")) for g in groups]
+    groups = [F.coalesce(g, F.array().cast("array<bigint>")) for g in groups]
     keys = nodes.select(*link.scope, F.col("cls").alias(side + "_cls"), F.explode(F.flatten(F.array(*groups))).alias("k"))
-    return keys.select(*link.scope, "k.block", "k.key", "k.bucket", side + "_cls").distinct()
+    return keys.distinct()
 
 
 def _spread(no: int, plain: list[Column], items: Column | None, buckets: list[Column]) -> Column:
     def key(bucket: Column, *item: Column) -> Column:
-        text = F.concat_ws(SEPARATOR, *[c.cast("string") for c in plain], *item)
-        return F.struct(F.lit(no).alias("block"), text.alias("key"), bucket.alias("bucket"))
+        return F.xxhash64(F.lit(no), *plain, *item, bucket)
 
     if items is None:
         return F.array(*[key(b) for b in buckets])
@@ -120,12 +123,12 @@ def _spread(no: int, plain: list[Column], items: Column | None, buckets: list[Co
 
 
 def _each(items: Column, bucket: Column, key) -> Column:
-    return F.transform(items, lambda x: key(bucket, x.cast("string")))
+    return F.transform(items, lambda x: key(bucket, x))
 
 
 def class_pairs(nodes: DataFrame, link: Linkage) -> DataFrame:
     """Pairs of classes some of whose members can reach the threshold, with their score without time."""
-    on = [*link.scope, "block", "key", "bucket"]
+    on = [*link.scope, "k"]
     found = _block_keys(nodes, link, "l").join(_block_keys(nodes, link, "r"), on)
     found = found.select(*link.scope, "l_cls", "r_cls").distinct()
     classes = nodes.groupBy(*link.scope, "cls").agg(F.first("a").alias("a"))
@@ -187,7 +190,9 @@ def candidates(nodes: DataFrame, link: Linkage, pairs: DataFrame | None = None)
     i = ingress.select(*cols, "t", F.lit(0).alias("late"), "ord", F.lit(1).alias("o"))
     h = ingress.where(bounded).select(*cols, (F.col("t") + reach).alias("t"), F.lit(1).alias("late"), "ord", F.lit(2).alias("o"))
     is_e = F.col("o") == 0
-    s = Scanner(e.unionByName(i).unionByName(h), rel, ["t", "late", "ord", "o", "node_id"])
+    # a class pair has each member of its classes once per kind of row
+    largest = nodes.groupBy(*scope, "cls").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    s = Scanner(e.unionByName(i).unionByName(h), rel, ["t", "late", "ord", "o", "node_id"], known_max=3 * largest)
     mark = F.when(is_e, F.struct(F.col("node_id").alias("id"), F.col("t").alias("t")))
     s.add(e1=last_value(mark, inclusive=False, reverse=True), after=running_sum(is_e.cast("bigint"), inclusive=False, reverse=True))
     s.with_column("_own", F.when(is_e, F.struct("e1")))

@@ -142,14 +142,19 @@ def join_null_safe(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
     return out.drop(*["_r_" + c for c in cols])
 
 
-def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None = None):
+def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None = None, known_max: int | None = None):
     """Add ``_slice``: null for rows of ordinary keys, a number rising with ``by`` for hot ones.
 
     Returns (df, number of hot keys, slices per hot key). ``by`` must be a number or a time.
+    ``known_max`` is a proven bound on the rows of any key, where the caller has one.
     """
     spark = df.sparkSession
     limit = limit or int_conf(spark, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
-    n_hot, biggest, hot = (0, 0, df) if _small_input(df, limit) else hot_keys(df, keys, limit)
+    if known_max is not None:
+        small = known_max <= limit
+    else:
+        small = _small_input(df, limit)
+    n_hot, biggest, hot = (0, 0, df) if small else hot_keys(df, keys, limit)
     if n_hot == 0:
         return df.withColumn("_slice", F.lit(None).cast("int")), 0, 0
     n_slices = int(min(MAX_SLICES, max(2, -(-2 * biggest // limit))))
@@ -171,12 +176,12 @@ def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None
 class Scanner:
     """Several scans over one grouping: counts and slices the groups once."""
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None):
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None, known_max: int | None = None):
         first = F.col(order[0])
         if df.schema[order[0]].dataType.typeName() in ("timestamp_ntz", "date"):
             first = first.cast("timestamp")
         self.keys, self.order = list(keys), list(order)
-        self._df, self.n_hot, self.n_slices = slice_rows(df, keys, first, limit)
+        self._df, self.n_hot, self.n_slices = slice_rows(df, keys, first, limit, known_max)
         self._part = self.keys + (["_slice"] if self.n_hot else [])
 
     def with_column(self, name: str, value: Column) -> Scanner:
