@@ -86,15 +86,16 @@ def diff_promoted(spark, sf):
 @query(
     "set_difference",
     """
-    WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 0))) AS a, list_sort(list_distinct(list(event_type) FILTER (event_id % 2 = 1))) AS b FROM events GROUP BY 1)
+    WITH s AS (SELECT user_id, list_sort(list_distinct(list(event_type) FILTER (value < 50))) AS a, list_sort(list_distinct(list(event_type) FILTER (value >= 50))) AS b FROM events GROUP BY 1)
     SELECT user_id, len(list_filter(a, lambda x: NOT list_contains(coalesce(b, []), x))) AS n_removed, len(list_filter(b, lambda x: NOT list_contains(coalesce(a, []), x))) AS n_added FROM s
     """,
 )
 def set_difference(spark, sf):
-    """Event types on even against odd events of a user: sets of at most five names."""
-    ev = events(spark, sf)
-    even = F.pmod("event_id", F.lit(2)) == 0
-    s = ev.groupBy("user_id").agg(F.collect_set(F.when(even, F.col("event_type"))).alias("a"), F.collect_set(F.when(~even, F.col("event_type"))).alias("b"))
+    """Event types of a user's small against large values: sets of at most five names."""
+    small = F.col("value") < 50
+    s = events(spark, sf).groupBy("user_id").agg(
+        F.collect_set(F.when(small, F.col("event_type"))).alias("a"), F.collect_set(F.when(~small, F.col("event_type"))).alias("b")
+    )
     d = rowdiff.diff_sets(F.col("a"), F.col("b"))
     return s.select("user_id", F.size(d["removed"]).cast("bigint").alias("n_removed"), F.size(d["added"]).cast("bigint").alias("n_added"))
 

@@ -52,6 +52,8 @@ def spread(df: DataFrame) -> DataFrame:
     For work that is heavy per row, such as cutting texts. A large input has more partitions than
     cores and passes through untouched, without a shuffle.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # comes out of a shuffle, whose partitions are Spark's to choose
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
