@@ -1,10 +1,10 @@
 """Ordered scans over groups of any size.
 
 A plain window function sends all rows of a key to one task. ``scan`` does so only for keys that
-were counted to be small. A key with more rows than ``sigspark.maxGroupRows`` is cut into slices,
+were counted to be small. A key with more rows than ``spark.sigspark.maxGroupRows`` is cut into slices,
 contiguous ranges of its order column taken from approximate quantiles; each slice is scanned on
 its own, one summary row per slice is scanned in slice order, and the summary of the earlier slices
-is combined with the local result. Any split points give the same answer, so the approximation
+is combined with the local result. Rows that need slicing are written to the shared folder first. Any split points give the same answer, so the approximation
 affects balance only.
 """
 
@@ -22,6 +22,7 @@ from sigspark.session import (
     GROUP_ROWS_CONF,
     GROUP_ROWS_DEFAULT,
     int_conf,
+    stage,
 )
 
 MAX_SLICES = 1024
@@ -157,6 +158,7 @@ def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None
     n_hot, biggest, hot = (0, 0, df) if small else hot_keys(df, keys, limit)
     if n_hot == 0:
         return df.withColumn("_slice", F.lit(None).cast("int")), 0, 0
+    df = stage(df, "hot-rows")  # read for the split points, the slice totals and the rows themselves
     n_slices = int(min(MAX_SLICES, max(2, -(-2 * biggest // limit))))
     probs = [i / n_slices for i in range(1, n_slices)]
     pos = df.withColumn("_pos", by.try_cast("double"))
@@ -183,6 +185,7 @@ class Scanner:
         self.keys, self.order = list(keys), list(order)
         self._df, self.n_hot, self.n_slices = slice_rows(df, keys, first, limit, known_max)
         self._part = self.keys + (["_slice"] if self.n_hot else [])
+        self._changed = False
 
     def with_column(self, name: str, value: Column) -> Scanner:
         self._df = self._df.withColumn(name, value)
@@ -204,6 +207,10 @@ class Scanner:
         return self
 
     def _sliced(self, values: dict[str, Scan], local: dict[str, Column]) -> DataFrame:
+        if self._changed:
+            # totals and rows both read it: without a table, each further scan would double the work
+            self._df = stage(self._df, "hot-rows")
+        self._changed = True
         order = F.struct(*[F.col(c) for c in self.order])
         totals = self._df.where(F.col("_slice").isNotNull()).groupBy(*self._part).agg(
             *[_total(s, order).alias("_t_" + n) for n, s in values.items()]

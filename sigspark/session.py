@@ -13,10 +13,10 @@ TABLES = (
 ).split()
 
 # Rows of one key that a single task may sort; keys above it are sliced (plans/slices.py).
-GROUP_ROWS_CONF = "sigspark.maxGroupRows"
+GROUP_ROWS_CONF = "spark.sigspark.maxGroupRows"
 GROUP_ROWS_DEFAULT = 2_000_000
 # A side is broadcast only when its row count was bounded or counted below this.
-BROADCAST_ROWS_CONF = "sigspark.maxBroadcastRows"
+BROADCAST_ROWS_CONF = "spark.sigspark.maxBroadcastRows"
 BROADCAST_ROWS_DEFAULT = 200_000
 
 

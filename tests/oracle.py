@@ -70,7 +70,7 @@ def main():
     sf_dir, names = sys.argv[1], sys.argv[2:]
     from sigspark.session import build_session
 
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
+    spark = build_session("local[8]", **{"spark.sigspark.maxGroupRows": os.environ.get("GROUP_ROWS", "2000000"), "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "8g", "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf_dir)
     queries, sqls = entry.queries(), entry.oracle_sql()
