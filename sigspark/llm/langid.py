@@ -3,8 +3,8 @@
 From a bounded sample of labelled texts one zstandard raw-content dictionary per language is made. A text is
 normalised (lower case, letters and single spaces) and cut into segments; each segment is compressed with each language's
 dictionary, and the language with the smallest sum of sizes wins. Segments keep the text from becoming its own
-dictionary, so long texts are judged like short ones. The score is 1 - 2^(-bits saved against the second
-best per letter * SHARPNESS); a text is rejected when that margin is narrow.
+dictionary, so long texts are judged like short ones. The margin is the bits per letter saved against the second
+best; the score is 1 / (1 + 2^(-SHARPNESS * margin)), one half for a tie; a text is rejected when the margin is narrow.
 
 Cases: null texts and texts without a letter are ``und`` with score 0 and rejected; equal sizes go to the smaller
 language name; no labelled text at all: every text is ``und``; one language alone: score 1; repeated rows each get a row; an
@@ -30,10 +30,10 @@ OWN = ["lang_pred", "score", "rejected"]
 # Bounds of the sample that the dictionaries are made of: texts per language, characters of a text, bytes per language, languages.
 SAMPLE_TEXTS, SAMPLE_CHARS, DICTIONARY_BYTES, MAX_LANGUAGES = 300, 4_000, 112_000, 64
 SEGMENT = 1_600
-LEVEL = 3
-SHARPNESS = 8.0
+LEVEL = 5
+SHARPNESS = 40.0
 # Bits per letter by which the best must beat the second best.
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.005
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -85,7 +85,7 @@ class Classifier:
         if len(sizes) == 1:
             return self.names[best], 1.0, float("inf")
         margin = 8.0 * (np.partition(sizes, 1)[1] - sizes[best]) / len(plain)
-        return self.names[best], float(1.0 - 2.0 ** (-margin * SHARPNESS)), float(margin)
+        return self.names[best], float(1.0 / (1.0 + 2.0 ** (-margin * SHARPNESS))), float(margin)
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
