@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontaminate, langid, shards, tokenfile, urltrie
+from sigspark.llm import decontaminate, langid, paritysketch, shards, tokenfile, urltrie
 from sigspark.llm.common import held_out, new_folder
 from sigspark.session import table
 
@@ -98,6 +98,28 @@ def op7_token_records(spark, sf_dir):
     return tokenfile.read(spark, folder)
 
 
+@register
+def op9_parity_sketch(spark, sf_dir):
+    return paritysketch.cluster(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_parity_sketch"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, hash(w[i:i + 4], 1) AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id != y.doc_id GROUP BY ALL)
+  JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE 100 * k >= 75 * (na.n + nb.n - k)),
+reach AS (SELECT doc_id, doc_id AS to_id FROM documents UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.to_id = links.a)
+SELECT r.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(to_id) AS component_id
+FROM reach r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 @register
 def op10_compression_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
