@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontaminate, langid, paritysketch, shards, tokenfile, urltrie
+from sigspark.llm import decontaminate, graphindex, langid, paritysketch, shards, tokenfile, urltrie
 from sigspark.llm.common import held_out, new_folder
 from sigspark.session import table
 
@@ -23,6 +23,11 @@ def register(fn):
     return fn
 
 
+@register
+def op1_pruned_graph(spark, sf_dir):
+    return graphindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 @register
 def op3_external_shuffle(spark, sf_dir):
     folder = new_folder(spark, "shards")
