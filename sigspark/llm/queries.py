@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontaminate, graphindex, langid, paritysketch, shards, tokenfile, urltrie
+from sigspark.llm import decontaminate, graphindex, langid, linetemplates, mixing, paritysketch, shards, tokenfile, urltrie
 from sigspark.llm.common import held_out, new_folder
 from sigspark.session import table
 
@@ -28,6 +28,15 @@ def op1_pruned_graph(spark, sf_dir):
     return graphindex.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+@register
+def op2_temperature_mix(spark, sf_dir):
+    """Sources flattened until the smallest is read half as often again as the largest, in blocks of a million tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    mixed = mixing.mix(docs, repetition=1.5).select("doc_id", "source", "tokens", "epoch", "block", "order_in_block")
+    in_block = Window.partitionBy("block").orderBy("order_in_block", "doc_id", "epoch")
+    return mixed.withColumn("slot", F.row_number().over(in_block) - 1).drop("order_in_block")
+
+
 @register
 def op3_external_shuffle(spark, sf_dir):
     folder = new_folder(spark, "shards")
@@ -103,6 +112,13 @@ def op7_token_records(spark, sf_dir):
     return tokenfile.read(spark, folder)
 
 
+@register
+def op8_line_templates(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linetemplates.drop_lines(docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.octet_length("kept_text").cast("long").alias("kept_bytes"), F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
+
+
 @register
 def op9_parity_sketch(spark, sf_dir):
     return paritysketch.cluster(table(spark, sf_dir, "documents"))
