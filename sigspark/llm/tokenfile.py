@@ -30,8 +30,11 @@ from pyspark.sql import functions as F
 from sigspark.llm.common import filesystem, partitions
 
 HAS_ID, WIDE = 1, 2
-# Words whose ids a task remembers; the memory is emptied when full, which changes speed alone.
-REMEMBERED_WORDS = 300_000
+# Words whose ids a process remembers; when full, those met once are forgotten, which changes speed alone.
+REMEMBERED_WORDS = 500_000
+MARKS = ".,;:!?)]}\"-_/*"
+# Texts encoded together.
+TOGETHER = 500
 INDEX = "doc_id long, part int, file string, ordinal long, offset long, length long, n_tokens long, first_token long"
 RECORDS = "doc_id long, part int, ordinal long, n_tokens long, first_token long, ids_crc32 long"
 
@@ -87,28 +90,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype = dtype
         self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-        bare = {w for w in words if w not in self.known}
-        # letters followed by one dot or comma are two pieces to the pre-tokenizer: encode the letters once
-        ended = {w for w in bare if w[-1] in ".," and w[:-1].isalpha()}
-        fresh = list({*(bare - ended), *(w[:-1] for w in ended if w[:-1] not in self.known), ".", ","})
-        for word, got in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+        self.again: set[str] = set()  # words met in more than one call since the memory was last thinned out
+        # ids that end a word, by the mark that the vocabulary gives them
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode_all(self, words: list[str]) -> None:
+        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
             self.known[word] = np.array(got.ids, self.dtype).tobytes()
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
-    def encode(self, text: str) -> bytes:
-        if text.isascii() and "<|" not in text:  # names of special tokens keep their case
-            text = text.lower()
-        words = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.known.__getitem__, words))
+    def _learn(self, words: set[str]) -> None:
+        # letters and the marks behind them are two pieces to the pre-tokenizer: encode each once
+        ended = {w: bare for w in words if w[-1] in MARKS and (bare := w.rstrip(MARKS)).isalpha()}
+        plain = {w for w in words if w.isalpha()} | {bare for bare in ended.values() if bare not in self.known}
+        marks = {w[len(bare) :] for w, bare in ended.items()}
+        self._encode_all([*(words - ended.keys() - plain), *(marks - self.known.keys())])
+        many = list(plain)
+        for at in range(0, len(many), 5_000):
+            some = many[at : at + 5_000]
+            # words of letters in one go, told apart by the ids that end a word
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(some) and cut[-1] == len(ids):
+                data, width = ids.tobytes(), ids.itemsize
+                start = 0
+                for word, end in zip(some, (cut * width).tolist(), strict=True):
+                    self.known[word] = data[start:end]
+                    start = end
+            else:
+                self._encode_all(some)
+        for w, bare in ended.items():
+            self.known[w] = self.known[bare] + self.known[w[len(bare) :]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # names of special tokens keep their case
+        low = (t.lower() if t.isascii() and "<|" not in t else t for t in texts)
+        split = [t.replace("\n", " ").split(" ") for t in low]
+        if len(self.known) > REMEMBERED_WORDS:
+            self.known = {"": b""} | {w: self.known[w] for w in self.again if w in self.known}
+            self.again = set()
+        seen = set().union(*split)
+        fresh = seen - self.known.keys()
+        self.again |= seen - fresh
+        if fresh:
+            self._learn(fresh)
+        known = self.known.__getitem__
+        return [b"".join(map(known, words)) for words in split]
 
 
 class WholeEncoder:
@@ -120,8 +148,20 @@ class WholeEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.dtype = dtype
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+# The encoder of this Python process: workers serve many tasks, and keep the words they have met.
+_HELD: dict[tuple[str, str], WordEncoder | WholeEncoder] = {}
+
+
+def encoder_of(tokenizer_json: str, dtype: str) -> WordEncoder | WholeEncoder:
+    key = (tokenizer_json, dtype)
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = (WordEncoder if splits_words(tokenizer_json) else WholeEncoder)(tokenizer_json, dtype)
+    return _HELD[key]
 
 
 def splits_words(tokenizer_json: str) -> bool:
@@ -148,12 +188,12 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 1, n_
     from tokenizers import Tokenizer
 
     wide = max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1) > 65_536
-    dtype, by_word = ("<u4" if wide else "<u2"), splits_words(model)
+    dtype = "<u4" if wide else "<u2"
     end = np.array([end_id], dtype).tobytes()
     width = len(end)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = (WordEncoder if by_word else WholeEncoder)(sent.value, dtype)
+        encoder = encoder_of(sent.value, dtype)
         store, root = filesystem(folder)
         task = TaskContext.get()
         part, name = task.partitionId(), f"part-{task.partitionId():06d}.rec"
@@ -166,12 +206,15 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 1, n_
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(draft)
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                record = frame(pack(doc_id, ids, wide))
-                out.write(record)
-                rows.append((doc_id, part, name, ordinal, offset, len(record), len(ids) // width, first))
-                ordinal, offset, first = ordinal + 1, offset + len(record), first + len(ids) // width
+            for at in range(0, batch.num_rows, TOGETHER):
+                some = batch.slice(at, TOGETHER)
+                encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
+                for doc_id, text_ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+                    ids = text_ids + end
+                    record = frame(pack(doc_id, ids, wide))
+                    out.write(record)
+                    rows.append((doc_id, part, name, ordinal, offset, len(record), len(ids) // width, first))
+                    ordinal, offset, first = ordinal + 1, offset + len(record), first + len(ids) // width
             columns = list(zip(*rows, strict=True))
             kinds = [pa.int64(), pa.int32(), pa.string(), *[pa.int64()] * 5]
             names = [x.split()[0] for x in INDEX.split(", ")]
