@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm import decontaminate, graphindex, langid, linetemplates, mixing, paritysketch, shards, tokenfile, urltrie
+from sigspark.llm import decontaminate, graphindex, langid, linetemplates, mixing, paritysketch, shards, tokenfile, toxicgrammar, urltrie
 from sigspark.llm.common import held_out, new_folder
 from sigspark.session import table
 
@@ -105,6 +105,14 @@ def op5_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@register
+def op6_clause_grammar(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    out = held_out("doc_id", 3, 1)
+    grammar = toxicgrammar.train(docs, labels.where(~out))
+    return toxicgrammar.judge(docs, grammar).select("doc_id", out.alias("held_out"), "score", "predicted", "clauses")
+
+
 @register
 def op7_token_records(spark, sf_dir):
     folder = new_folder(spark, "tokens")
