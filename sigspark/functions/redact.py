@@ -34,16 +34,17 @@ def mask_digits(text: Column) -> Column:
 
 
 def mask_uris(text: Column) -> Column:
-    """Mask the number of each sip:, sips: or tel: URI, leaving other digits alone.
+    """Mask the number of each sip:, sips: or tel: URI, however long, leaving other digits alone.
 
-    Java looks behind over a bounded range only; 40 characters hold any dialled number with its
-    separators.
+    The text is cut before each scheme; what follows one up to the first sign that no number has is masked.
     """
-    return F.regexp_replace(
-        text,
-        r"(?i)(?<=\b(?:sips?|tel):[+\d\-.()\s]{0,40})(?<!\d)(\+?\d{4})\d{2,}(\d{2})",
-        "$1" + ELLIPSIS + "$2",
-    )
+    number = r"(?i)^((?:sips?|tel):[+\d\-.()\s]*)"
+
+    def masked(piece: Column) -> Column:
+        head = F.regexp_extract(piece, number, 1)
+        return F.concat(mask_digits(head), F.substring(piece, F.length(head) + 1, F.length(piece)))
+
+    return F.array_join(F.transform(F.split(text, r"(?i)(?<![A-Za-z0-9_])(?=(?:sips?|tel):)", -1), masked), "")
 
 
 def redact_headers(headers: Column) -> Column:

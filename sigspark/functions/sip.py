@@ -46,7 +46,8 @@ def body_of(raw: Column) -> Column:
 
 def parse_headers(raw: Column) -> Column:
     """``ARRAY<STRUCT<name,value>>`` in order, names as written."""
-    lines = F.slice(F.split(unfold(raw), "\n"), 2, 100000)
+    split = F.split(unfold(raw), "\n")
+    lines = F.slice(split, F.lit(2), F.size(split))
     parsed = F.transform(
         F.filter(lines, lambda x: x.contains(":")),
         lambda x: F.struct(
@@ -188,7 +189,7 @@ def parse_messages(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def _attr(lines: Column, prefix: str) -> Column:
     hit = F.filter(lines, lambda x: x.startswith(prefix))
-    return F.try_element_at(F.transform(hit, lambda x: F.substring(x, len(prefix) + 1, 100000)), F.lit(1))
+    return F.try_element_at(F.transform(hit, lambda x: F.substring(x, F.lit(len(prefix) + 1), F.length(x))), F.lit(1))
 
 
 def _let(value: Column, use) -> Column:
@@ -228,7 +229,7 @@ def _sdp_struct(pieces: Column) -> Column:
     parts = F.transform(
         F.filter(pieces, lambda lines: F.element_at(lines, 1).startswith("m=")),
         lambda lines: F.struct(
-            F.split(F.substring(F.element_at(lines, 1), 3, 100000), r"\s+").alias("m"),
+            F.split(F.regexp_replace(F.element_at(lines, 1), "^m=", ""), r"\s+").alias("m"),
             F.filter(lines, lambda x: x.startswith("a=")).alias("attrs"),
             F.try_element_at(F.split(_attr(lines, "c="), r"\s+"), F.lit(3)).alias("conn"),
         ),
@@ -253,7 +254,7 @@ def _sdp_result(h: Column) -> Column:
 def _sdp_media(part: Column, session_dir: Column) -> Column:
     m, attrs = part["m"], part["attrs"]
     direction = F.try_element_at(F.filter(attrs, lambda x: x.isin(DIRECTIONS)), F.lit(1))
-    types = F.filter(F.slice(m, 4, 1000), lambda x: x.rlike(r"^\d+$"))
+    types = F.filter(F.slice(m, F.lit(4), F.greatest(F.size(m), F.lit(0))), lambda x: x.rlike(r"^\d+$"))
     named = F.transform(
         types,
         lambda p: F.struct(

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sigspark.operators.ordered import epoch_us
 from sigspark.plans.slices import Scanner, last_value, running_sum, top_per
-from sigspark.session import spread, stage
+from sigspark.session import stage
 
 THRESHOLD = 500
 MARGIN = 150
@@ -81,7 +81,7 @@ def with_classes(nodes: DataFrame, link: Linkage) -> DataFrame:
     # equal attributes, equal class; the 128 bits of md5 make chance equality negligible
     attrs = F.struct(*link.attributes)
     text = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(ABSENT)) for c in link.attributes])
-    classed = spread(nodes).select(
+    classed = nodes.select(
         *link.scope, "node_id", epoch_us(F.col("start_ts")).alias("t"), F.col("ord").cast("string").alias("ord"),
         attrs.alias("a"), F.md5(text).alias("cls"),
     )

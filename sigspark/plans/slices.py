@@ -1,7 +1,7 @@
 """Ordered scans over groups of any size.
 
 A plain window function sends all rows of a key to one task. ``scan`` does so only for keys that
-were counted to be small. A key with more rows than ``spark.sigspark.maxGroupRows`` is cut into slices,
+were counted to be small: the count combines before its shuffle. A key with more rows than ``spark.sigspark.maxGroupRows`` is cut into slices,
 contiguous ranges of its order column taken from approximate quantiles; each slice is scanned on
 its own, one summary row per slice is scanned in slice order, and the summary of the earlier slices
 is combined with the local result. Rows that need slicing are written to the shared folder first. Any split points give the same answer, so the approximation
@@ -25,8 +25,6 @@ from sigspark.session import (
     stage,
 )
 
-MAX_SLICES = 1024
-
 
 @dataclass(frozen=True)
 class Scan:
@@ -107,15 +105,6 @@ def _combine(scan: Scan, carry: Column, local: Column) -> Column:
     return F.coalesce(carry, local)
 
 
-def _small_input(df: DataFrame, limit: int) -> bool:
-    """The planner's size of the whole input is below what one task may hold: no group can be large.
-
-    Joins make the planner overestimate and unknown sources count as huge, so doubt leads to a count.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit * 16
-
-
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, int, DataFrame]:
     """(number of keys above ``limit`` rows, rows of the largest key, their keys)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
@@ -151,15 +140,12 @@ def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None
     """
     spark = df.sparkSession
     limit = limit or int_conf(spark, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
-    if known_max is not None:
-        small = known_max <= limit
-    else:
-        small = _small_input(df, limit)
+    small = known_max is not None and known_max <= limit
     n_hot, biggest, hot = (0, 0, df) if small else hot_keys(df, keys, limit)
     if n_hot == 0:
         return df.withColumn("_slice", F.lit(None).cast("int")), 0, 0
     df = stage(df, "hot-rows")  # read for the split points, the slice totals and the rows themselves
-    n_slices = int(min(MAX_SLICES, max(2, -(-2 * biggest // limit))))
+    n_slices = int(max(2, -(-2 * biggest // limit)))
     probs = [i / n_slices for i in range(1, n_slices)]
     pos = df.withColumn("_pos", by.try_cast("double"))
     hot_rows = join_null_safe(

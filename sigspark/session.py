@@ -46,16 +46,13 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan has fewer partitions than there are cores.
+def spread(scan: DataFrame) -> DataFrame:
+    """The rows of a file scan over all cores, when the files are so few that some cores would stay idle.
 
-    For work that is heavy per row, such as cutting texts. A large input has more partitions than
-    cores and passes through untouched, without a shuffle.
+    For work that is heavy per row, such as cutting texts; only for scans, whose partitions are known without running them.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df  # comes out of a shuffle, whose partitions are Spark's to choose
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def stage_dir(spark: SparkSession) -> str:

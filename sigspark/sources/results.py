@@ -13,10 +13,10 @@ from sigspark.operators.rollups import SEVERITIES, count_by, retention_plan
 def write_results(tables: dict[str, DataFrame], folder: str, partition_by: Sequence[str] = ("capture_id",), mode: str = "overwrite") -> None:
     """Each table as parquet partitioned by capture; only the partitions written are replaced.
 
-    Rows are spread by capture and a random salt, so one large capture is written by many tasks.
+    Rows are brought together by capture; adaptive execution splits a large capture over as many tasks as its size asks for.
     """
     for name, df in tables.items():
-        spread = df.repartition(*partition_by, F.floor(F.rand(7) * 8)) if partition_by else df
+        spread = df.hint("rebalance", *partition_by) if partition_by else df
         writer = spread.write.mode(mode).option("partitionOverwriteMode", "dynamic")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{folder}/{name}")
 

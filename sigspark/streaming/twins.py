@@ -8,7 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
@@ -174,9 +174,28 @@ def stream_quality_stream(packets: DataFrame, key: Column, ts: str, rate: int =
     )
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark dropped so far, over all stateful operators of a query."""
-    return sum(int(op["numRowsDroppedByWatermark"]) for p in query.recentProgress for op in p["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks dropped, over all batches of each query; add it before the queries start."""
+
+    def __init__(self):
+        self.dropped: dict[str, int] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.dropped.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        n = sum(op.numRowsDroppedByWatermark for op in p.stateOperators)
+        self.dropped[str(p.id)] = self.dropped.get(str(p.id), 0) + n
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        return self.dropped.get(str(query.id), 0)
 
 
 def split_late(batch: DataFrame, ts: str, watermark: Column) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,8 +60,15 @@ def test_unanswered(spark, tmp_path):
 def test_late_rows_are_counted(spark, tmp_path):
     ddl = "leg string, ts timestamp"
     s = stream(spark, tmp_path / "in", [[("a", sec(0))], [("b", sec(1000))], [("c", sec(1500))], [("late", sec(1))], [("d", sec(2000))]], ddl)
+    late = twins.LateRows()
+    spark.streams.addListener(late)
     q, _ = run(twins.event_time(s, "ts", "10 seconds").groupBy(F.window("ts", "10 seconds")).count(), "append", "late", tmp_path / "l")
-    assert twins.late_rows(q) == 1
+    for _ in range(100):  # progress is told from another thread
+        if late.of(q):
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(late)
+    assert late.of(q) == 1
     batch = spark.createDataFrame([("x", sec(1)), ("y", sec(9))], ddl)
     on_time, late = twins.split_late(batch, "ts", F.lit(sec(5)))
     assert (on_time.count(), late.count()) == (1, 1)
