@@ -2,40 +2,38 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.plans.slices import top_per
-from sigspark.session import spread, stage
+from sigspark.session import stage
 
-# Words that carry no meaning for retrieval.
+# Words too common to tell passages apart: articles, pronouns, auxiliaries, prepositions, conjunctions.
 STOPWORDS = (
-    "a an the and or of to in on at by for is are was were be been being as it its this that these those "
-    "with from into if then than there their they them you your we our i he she his her but not no so "
-    "such will would can could should may might must do does did has have had about also any all each "
-    "more most other some only own same too very up down out over under when where which while who whom what"
+    "a an the this that these those some any no each every all both i me my we us our you your he him his she her it its they them their "
+    "am is are was were be been being do does did has have had will would can could may might shall should must "
+    "of in on at by to from for with without as about into over under after before between through and or but nor if than then so "
+    "not only very too also there here when where which who whom what how"
 ).split()
 TOKEN = "[a-z0-9_À-ɏ]+"
-MAX_TOKEN = 40
-MAX_HEADING = 200
-K1, B, HEADING_BOOST, MIN_SCORE_RATIO, MAX_QUERY_TERMS = 1.2, 0.75, 0.5, 0.08, 32
-CHUNK_TARGET, CHUNK_MIN, CHUNK_OVERLAP = 1200, 400, 150
+K1, B, HEADING_BOOST, MIN_SCORE_RATIO = 1.2, 0.75, 0.5, 0.08
+# Characters of a chunk, of the piece of the chunk before it that it repeats, and of the largest piece that is not cut.
+CHUNK, OVERLAP, PIECE = 1000, 150, 300
 
-ATX = re.compile(r"^[ \t]{0,3}#{1,6}[ \t]+(.+?)[ \t]*#*[ \t]*$")
-UNDERLINE = re.compile(r"^[ \t]{0,3}([=\-~_])\1{2,}[ \t]*$")
-INI = re.compile(r"^[ \t]*\[([^\]\r\n]{1,80})\][ \t]*$")
-NUMBERED = re.compile(r"^[ \t]*(\d{1,3}(?:\.\d{1,3}){0,2})[.):]?[ \t]+([A-Za-z(\[][^\r\n]{0,98})$")
+# What makes a line a heading (group 1 of the first three is its text).
+HASHES = r"^ {0,3}#{1,6}[ \t]+(.*?)[ \t#]*$"
+BRACKETS = r"^\s*\[([^\[\]]+)\]\s*$"
+RULER = r"^ {0,3}(?:={3,}|-{3,}|~{3,}|_{3,})\s*$"
+NUMBERED = r"^\s*\d{1,3}(?:\.\d{1,3})*[.):]?\s+[A-Za-z(]"
+TITLE_WORDS, TITLE_CHARS = 12, 100
 
 
 def tokens(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
-    """Lower-case word tokens in order, stopwords and lone letters dropped, long ones cut."""
+    """Lower-case word tokens in order, whole; stopwords and lone letters dropped."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    cut = F.transform(found, lambda t: F.substring(t, 1, MAX_TOKEN))
-    return F.filter(cut, lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(list(stopwords)))
+    return F.filter(found, lambda t: ((F.length(t) > 1) | t.rlike("^[0-9]$")) & ~t.isin(list(stopwords)))
 
 
 def split_pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -44,180 +42,118 @@ def split_pages(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return pages.where(F.trim("text") != "").select(doc_id, (F.col("_p") + 1).alias("page"), "text")
 
 
+def heading_lines(pages: DataFrame, row: str, text: str, atx: bool = True) -> DataFrame:
+    """One row per line of each page that is not blank or is body: row, pos, line, heading (null for body), blank.
+
+    A line is a heading by hash marks, brackets, a ruler under it, a number before a few words, or capitals alone.
+    """
+    lines = pages.select(row, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n", -1)).alias("pos", "line"))
+    page = Window.partitionBy(row).orderBy("pos")
+    bare = F.trim(F.regexp_replace("line", r"\s+", " "))
+    few = (F.length(bare) <= TITLE_CHARS) & (F.size(F.split(bare, " ")) <= TITLE_WORDS)
+    letters = F.length(F.regexp_replace("line", r"[^A-Za-z]", ""))
+    shouted = (bare == F.upper(bare)) & F.col("line").rlike("[A-Z]{3}") & (letters / F.greatest(F.length(bare), F.lit(1)) >= 0.5) & ~F.col("line").rlike("[=;|<>{}]")
+    told = lines.withColumn("ruled", F.coalesce(F.lead("line").over(page), F.lit("")).rlike(RULER) & (letters > 0) & (F.length(bare) <= TITLE_CHARS))
+    told = told.withColumn("ruler", F.col("line").rlike(RULER) & F.coalesce(F.lag("ruled").over(page), F.lit(False)))
+    heading = (
+        F.when(F.lit(atx) & F.col("line").rlike(HASHES), F.regexp_extract("line", HASHES, 1))
+        .when(F.col("line").rlike(BRACKETS), F.regexp_extract("line", BRACKETS, 1))
+        .when(F.col("ruled"), bare)
+        .when(F.col("line").rlike(NUMBERED) & few & ~bare.rlike("[.,;]$"), bare)
+        .when(shouted & few & (F.length(bare) >= 3), F.regexp_replace(bare, r"[:\s]+$", ""))
+    )
+    return told.where(~F.col("ruler")).select(row, "pos", "line", F.nullif(F.trim(heading), F.lit("")).alias("heading"), (bare == "").alias("blank"))
+
+
+def headed_sections(pages: DataFrame, row: str, text: str, atx: bool = True) -> DataFrame:
+    """row, section (from 0), heading, body: a section begins with each run of headings, of which the last two name it.
+
+    A page without any body is one section of its whole text: headings alone are not lost.
+    """
+    lines = heading_lines(pages, row, text, atx)
+    page = Window.partitionBy(row).orderBy("pos")
+    before = page.rowsBetween(Window.unboundedPreceding, -1)
+    is_heading = F.col("heading").isNotNull()
+    earlier = F.last(F.when(~F.col("blank"), is_heading), ignorenulls=True).over(before)
+    starts = lines.withColumn("first", (is_heading & ~F.coalesce(earlier, F.lit(False))).cast("int"))
+    numbered = starts.withColumn("no", F.sum("first").over(page))
+    names = F.transform(F.array_sort(F.collect_list(F.when(is_heading, F.struct("pos", "heading")))), lambda x: x["heading"])
+    text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~is_heading, F.struct("pos", "line")))), lambda x: x["line"]), "\n")
+    made = numbered.groupBy(row, "no").agg(names.alias("names"), F.regexp_replace(text_of, r"^\s+|\s+$", "").alias("body"))
+    made = made.where(F.col("body") != "")
+    last_two = F.slice("names", F.greatest(F.lit(1), F.size("names") - 1), F.lit(2))
+    made = made.select(row, "no", F.when(F.size("names") > 0, F.array_join(last_two, " > ")).alias("heading"), "body")
+    bare = pages.select(row, F.regexp_replace(text, r"^\s+|\s+$", "").alias("body")).where(F.col("body") != "").join(made.select(row), row, "left_anti")
+    both = made.unionByName(bare.select(row, F.lit(0).cast("long").alias("no"), F.lit(None).cast("string").alias("heading"), "body"))
+    return both.select(row, (F.row_number().over(Window.partitionBy(row).orderBy("no")) - 1).alias("section"), "heading", "body")
+
+
+def chunks(sections_: DataFrame, keys: Sequence[str], size: int = CHUNK, overlap: int = OVERLAP, piece: int = PIECE) -> DataFrame:
+    """keys, heading, part (from 0), body: the body cut at sentences into chunks of about ``size`` characters.
+
+    A sentence, or a piece of at most ``piece`` characters of a longer one, goes to the chunk that its first character falls
+    into when the body is cut every ``size`` characters. A chunk begins with the end of the one before, from a word's start.
+    """
+    keys = list(keys)
+    sentence = r"(?s)[^.!?\n]*[.!?]+[\"')\]]*\s*|[^.!?\n]+\n*\s*|\s+"
+    fitting = rf"(?s).{{1,{piece}}}(?:\s+|$)|.{{1,{piece}}}"
+    found = F.flatten(F.transform(F.regexp_extract_all("body", F.lit(sentence), F.lit(0)), lambda s: F.regexp_extract_all(s, F.lit(fitting), F.lit(0))))
+    each = sections_.select(*keys, "heading", F.posexplode(found).alias("pos", "piece"))
+    section = Window.partitionBy(*keys).orderBy("pos")
+    start = F.coalesce(F.sum(F.length("piece")).over(section.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = each.withColumn("cut", F.floor(start / size))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), "")
+    made = placed.groupBy(*keys, "heading", "cut").agg(F.regexp_replace(joined, r"^\s+|\s+$", "").alias("own")).where(F.col("own") != "")
+    order = Window.partitionBy(*keys).orderBy("cut")
+    tail = F.regexp_extract(F.lag("own").over(order), rf"(?s)(?:^|\s)(\S.{{0,{overlap - 1}}})$", 1)
+    told = made.withColumn("tail", F.coalesce(tail, F.lit(""))).withColumn("part", F.row_number().over(order) - 1)
+    return told.select(*keys, "heading", "part", F.when(F.col("tail") != "", F.concat_ws("\n", "tail", "own")).otherwise(F.col("own")).alias("body"))
+
+
 def sections(pages: DataFrame, doc_id: str, text: str = "text", page: str | None = None, atx: bool = True) -> DataFrame:
-    """Pages to headed sections and their chunks: see ``chunk``. One row per chunk.
+    """Pages to headed sections and their chunks, one row per chunk: keys, section, chunk (from 0 in the page), heading, body.
 
-    Heading detection and packing read a page in order; each page is worked on by itself in Arrow
-    batches, so pages spread over the cluster.
+    ``doc_id`` and ``page`` name a page. The lines of a page meet in one task, pages spread over the cluster.
     """
     keys = [doc_id] + ([page] if page else [])
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", section int, chunk int, heading string, body string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for row in batch[[*keys, text]].itertuples(index=False, name=None):
-                no = 0
-                for sec, (heading, body) in enumerate(page_sections(row[-1] or "", atx)):
-                    room = max(CHUNK_MIN, CHUNK_TARGET - (len(heading) + 1 if heading else 0))
-                    for piece in pack(body, room, CHUNK_OVERLAP):
-                        rows.append((*row[:-1], sec, no, heading, piece))
-                        no += 1
-            yield pd.DataFrame(rows, columns=[*keys, "section", "chunk", "heading", "body"])
-
-    return spread(pages.select(*keys, text)).mapInPandas(run, schema)
-
-
-def heading_of(line: str, following: str | None, atx: bool) -> tuple[str | None, bool]:
-    """(heading text or None, whether the next line is its underline)."""
-    m = ATX.match(line) if atx else None
-    m = m or INI.match(line)
-    if m:
-        return m.group(1).strip()[:MAX_HEADING], False
-    bare = line.strip()
-    if following is not None and UNDERLINE.match(following) and len(bare) <= 100 and re.search("[A-Za-z]", line):
-        return bare[:MAX_HEADING], True
-    m = NUMBERED.match(line)
-    if m:
-        title = m.group(2).strip()
-        if title and title[-1] not in ".,;" and len(title.split()) <= 14:
-            return f"{m.group(1)} {title}"[:MAX_HEADING], False
-    capitals = sum(c.isascii() and c.isupper() for c in bare)
-    if (
-        3 <= len(bare) <= 80
-        and not re.search(r"[a-z=;|<>{}]", bare)
-        and re.search("[A-Z]{3}", bare)
-        and capitals / len(bare) >= 0.4
-    ):
-        return re.sub(r"[:\s]+$", "", bare)[:MAX_HEADING], False
-    return None, False
-
-
-def page_sections(text: str, atx: bool = True) -> list[tuple[str | None, str]]:
-    """(heading, body) of a page. A heading without a body becomes the crumb before the next one."""
-    out: list[tuple[str | None, str]] = []
-    heading, paragraphs, lines = None, [], []
-
-    def end_paragraph():
-        para = "\n".join(lines).strip()
-        lines.clear()
-        if para:
-            paragraphs.append(para)
-
-    def end_section():
-        if paragraphs:
-            out.append((heading, "\n\n".join(paragraphs)))
-
-    source, i = re.split(r"\r\n|\r|\n", text), 0
-    while i < len(source):
-        line = source[i]
-        i += 1
-        if not line.strip():
-            end_paragraph()
-            continue
-        found, underlined = heading_of(line, source[i] if i < len(source) else None, atx)
-        if found is None:
-            lines.append(line)
-            continue
-        i += underlined
-        end_paragraph()
-        if paragraphs:
-            end_section()
-            paragraphs.clear()
-            heading = found
-        else:
-            crumb = " > ".join(([*heading.split(" > ")] if heading else [])[-1:] + [found])
-            heading = crumb if len(crumb) <= MAX_HEADING else found
-    end_paragraph()
-    end_section()
-    return out
-
-
-def pack(body: str, target: int, overlap: int) -> list[str]:
-    """Paragraphs packed to about ``target`` characters; each piece starts with the tail of the last."""
-    body = body.strip()
-    if len(body) <= target:
-        return [body] if body else []
-    units = [u for p in re.split(r"\n{2,}", body) if p.strip() for u in ([p.strip()] if len(p.strip()) <= target else cut_long(p.strip(), target))]
-    out, cur = [], ""
-    for u in units:
-        if cur and len(cur) + 2 + len(u) > target:
-            out.append(cur)
-            tail = tail_of(cur, overlap)
-            cur = f"{tail}\n{u}" if tail else u
-        else:
-            cur = f"{cur}\n\n{u}" if cur else u
-    return [*out, cur] if cur.strip() else out
-
-
-def cut_long(para: str, target: int) -> list[str]:
-    """A paragraph in pieces of at most ``target``: at sentence ends, else at blanks, else anywhere."""
-    out, cur = [], ""
-    for s in re.findall(r"[^.!?\n]*[.!?]+[\"')\]]*\s*|[^.!?\n]+\n*", para) or [para]:
-        while len(s) > target:
-            if cur:
-                out.append(cur)
-                cur = ""
-            at = s.rfind(" ", 0, target + 1)
-            at = target if at < target * 0.5 else at
-            out.append(s[:at])
-            s = s[at:]
-        if cur and len(cur) + len(s) > target:
-            out.append(cur)
-            cur = s
-        else:
-            cur += s
-    return [p.strip() for p in [*out, cur] if p.strip()]
-
-
-def tail_of(text: str, n: int) -> str:
-    """The last ``n`` characters, moved on to a sentence or word start near their beginning."""
-    if len(text) <= n:
-        return text.strip()
-    t = text[-n:]
-    end = re.search(r"[.!?]\s", t)
-    blank = re.search(r"\s", t)
-    if end and end.start() < n * 0.5:
-        t = t[end.start() + 1 :]
-    elif blank and blank.start() < 40:
-        t = t[blank.start() + 1 :]
-    return t.strip()
+    # rows with the same keys are pages of their own: the text and a running number tell them apart
+    rows = pages.select(F.struct(*keys, F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row")).alias("_page"), F.col(text).alias("_text"))
+    cut = chunks(headed_sections(rows, "_page", "_text", atx), ["_page", "section"])
+    number = F.row_number().over(Window.partitionBy("_page").orderBy("section", "part")) - 1
+    return cut.withColumn("chunk", number).select(*[F.col("_page")[k].alias(k) for k in keys], "section", "chunk", "heading", "body")
 
 
 def term_rows(df: DataFrame, keys: Sequence[str], text: Column, out: str = "term") -> DataFrame:
     """One row per token: the rules of ``tokens``, applied after the explode in compiled code."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKEN), F.lit(0))
-    rows = df.select(*keys, F.explode(found).alias("_w")).select(*keys, F.substring("_w", 1, MAX_TOKEN).alias(out))
+    rows = df.select(*keys, F.explode(found).alias(out))
     return rows.where(((F.length(out) > 1) | F.col(out).rlike("^[0-9]$")) & ~F.col(out).isin(STOPWORDS))
 
 
-def build_index(chunks: DataFrame, chunk_key: Sequence[str], text: Column, heading: Column | None = None) -> dict[str, DataFrame]:
+def build_index(texts: DataFrame, chunk_key: Sequence[str], text: Column, heading: Column | None = None) -> dict[str, DataFrame]:
     """postings(key, term, tf, in_heading), lengths(key, dl), df(term, df), totals(n, avgdl).
 
     The texts are cut once and the postings written to the shared folder; the other parts are
     aggregates of them. Kept for good, postings would be bucketed by term.
     """
     key = list(chunk_key)
-    base = spread(chunks)
-    postings = term_rows(base, key, text).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    postings = term_rows(texts, key, text).groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
     if heading is None:
         postings = postings.withColumn("in_heading", F.lit(0))
     else:
-        heads = term_rows(chunks, key, heading).distinct().withColumn("in_heading", F.lit(1))
+        heads = term_rows(texts, key, heading).distinct().withColumn("in_heading", F.lit(1))
         postings = postings.join(heads, [*key, "term"], "left").withColumn("in_heading", F.coalesce("in_heading", F.lit(0)))
     postings = stage(postings, "postings")
     lengths = postings.groupBy(*key).agg(F.sum("tf").alias("dl"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = chunks.agg(F.count(F.lit(1)).alias("n"))
+    n = texts.agg(F.count(F.lit(1)).alias("n"))
     totals = postings.agg((F.sum("tf") / n.select("n").scalar()).alias("avgdl"), F.first(n.select("n").scalar()).alias("n"))
     return {"postings": postings, "lengths": lengths, "df": df, "totals": totals}
 
 
 def query_terms(queries: DataFrame, query_id: str, text: Column) -> DataFrame:
-    """(query, term, nq): the first distinct terms of each query, with their number."""
-    terms = F.slice(F.array_distinct(tokens(text)), 1, MAX_QUERY_TERMS)
-    return queries.select(query_id, F.explode(terms).alias("term"))
+    """(query, term): the distinct terms of each query."""
+    return queries.select(query_id, F.explode(F.array_distinct(tokens(text))).alias("term"))
 
 
 def bm25(index: dict[str, DataFrame], queries: DataFrame, query_id: str, text: Column, chunk_key: Sequence[str], k: int = 8, min_ratio: float = MIN_SCORE_RATIO) -> DataFrame:

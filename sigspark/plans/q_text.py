@@ -117,10 +117,20 @@ def digit_search(spark, sf):
     return search.search(d, "2-123", ["text"], "doc_id", cap=None, digits_col="digits").select("doc_id", "field")
 
 
-@query("search_excerpts")
+@query(
+    "search_excerpts",
+    r"""
+    WITH d AS (SELECT doc_id, text, instr(lower(text), 'token') AS hit FROM documents WHERE contains(lower(text), 'token')),
+    e AS (SELECT *, greatest(hit - 40, 1) AS lo FROM d),
+    x AS (SELECT *, substring(text, lo, hit - lo + 45) AS shown FROM e)
+    SELECT doc_id, 'text' AS field,
+           CASE WHEN lo > 1 THEN '...' ELSE '' END || regexp_replace(shown, '\s+', ' ', 'g') || CASE WHEN lo + length(shown) <= length(text) THEN '...' ELSE '' END AS excerpt
+    FROM x
+    """,
+)
 def search_excerpts(spark, sf):
-    """The hit list of a search with the text around each first match."""
-    return search.search(docs(spark, sf), "token", ["source", "text"], "doc_id", cap=500)
+    """All hits of a search with the text around each first match."""
+    return search.search(docs(spark, sf), "token", ["text"], "doc_id")
 
 
 @query(
@@ -146,11 +156,43 @@ def html_text(spark, sf):
     p = spread(table(spark, sf, "pages")).select("page_id", "html", files.html_to_text(F.col("html")).alias("text"))
     return p.select(
         "page_id", F.length("html").cast("bigint").alias("n_html"),
-        (F.col("text").rlike(r"(?m)^#{1,3} \S") & ~F.col("text").rlike(r"(?i)</?(p|div|span|script|h[1-6])\b[^>]*>")).alias("has_heading"),
+        (F.col("text").rlike(r"(?m)^#{1,6} \S") & ~F.col("text").rlike(r"(?i)</?(p|div|span|script|h[1-6])\b[^>]*>")).alias("has_heading"),
     )
 
 
-@query("html_body")
+# The rules of html_to_text one by one; the pages hold no entities but these.
+SILENT_SQL = ["script", "style", "noscript", "template", "head", "svg", "math"]
+
+
+def html_sql(html: str) -> str:
+    def sub(x: str, pattern: str, to: str, flags: str = "g") -> str:
+        return f"regexp_replace({x}, '{pattern}', '{to}', '{flags}')"
+
+    x = sub(html, r"(?s)<!--.*?(?:-->|$)", "")
+    for name in SILENT_SQL:
+        x = sub(x, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|$)", " ")
+    for level in range(1, 7):
+        x = sub(x, rf"(?i)<h{level}(?:\s[^>]*)?>\s*", "\n\n" + "#" * level + " ")
+    x = sub(x, r"(?i)\s*</h[1-6]\s*>", "\n\n")
+    x = sub(x, r"(?i)<li(?:\s[^>]*)?>\s*", "\n- ")
+    x = sub(x, r"(?i)<t[dh](?:\s[^>]*)?>", "\t")
+    x = sub(x, rf"(?i)</?(?:{files.BLOCKS})(?:\s[^>]*)?/?>", "\n")
+    x = sub(x, r"(?s)</?[A-Za-z!?][^>]*>", "")
+    for name, char in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    x = sub(x, "[ \\t\u00a0\\r]+", " ")
+    x = sub(sub(x, r" ?\n ?", "\n"), r"\n\n+", "\n\n")
+    return sub(x, r"^\s+|\s+$", "")
+
+
+@query(
+    "html_body",
+    f"""
+    SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract(html, '(?is)<title(?:\\s[^>]*)?>(.*?)</title\\s*>', 1), '<[^>]*>', ' ', 'g'),
+                    '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g')), '') AS title, {html_sql("html")} AS text
+    FROM pages
+    """,
+)
 def html_body(spark, sf):
     p = spread(table(spark, sf, "pages"))
     return p.select("page_id", files.html_title(F.col("html")).alias("title"), files.html_to_text(F.col("html")).alias("text"))
@@ -164,15 +206,56 @@ def url_hosts(spark, sf):
     return table(spark, sf, "pages").groupBy(url_host(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
 
 
-@query("chunks")
+BARE = r"trim(regexp_replace(line, '\s+', ' ', 'g'))"
+FEW = f"length({BARE}) <= 100 AND len(string_split({BARE}, ' ')) <= 12"
+LETTERS = "length(regexp_replace(line, '[^A-Za-z]', '', 'g'))"
+CHUNKS_SQL = rf"""
+    WITH p AS MATERIALIZED (SELECT page_id, {html_sql("html")} AS text FROM pages),
+    l AS (SELECT page_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM p),
+    r0 AS (SELECT *, coalesce(regexp_matches(lead(line) OVER (PARTITION BY page_id ORDER BY pos), '{textindex.RULER}'), false) AND {LETTERS} > 0 AND length({BARE}) <= 100 AS ruled FROM l),
+    r AS (SELECT *, regexp_matches(line, '{textindex.RULER}') AND coalesce(lag(ruled) OVER (PARTITION BY page_id ORDER BY pos), false) AS ruler FROM r0),
+    h AS (
+      SELECT page_id, pos, line, {BARE} = '' AS blank, nullif(trim(CASE
+        WHEN regexp_matches(line, '{textindex.HASHES}') THEN regexp_extract(line, '{textindex.HASHES}', 1)
+        WHEN regexp_matches(line, '{textindex.BRACKETS}') THEN regexp_extract(line, '{textindex.BRACKETS}', 1)
+        WHEN ruled THEN {BARE}
+        WHEN regexp_matches(line, '{textindex.NUMBERED}') AND {FEW} AND NOT regexp_matches({BARE}, '[.,;]$') THEN {BARE}
+        WHEN {BARE} = upper({BARE}) AND regexp_matches(line, '[A-Z]{{3}}') AND {LETTERS} / greatest(length({BARE}), 1) >= 0.5 AND NOT regexp_matches(line, '[=;|<>{{}}]')
+          AND {FEW} AND length({BARE}) >= 3 THEN regexp_replace({BARE}, '[:\s]+$', '') END), '') AS heading
+      FROM r WHERE NOT ruler),
+    f AS (SELECT *, heading IS NOT NULL AND NOT coalesce(last_value(CASE WHEN NOT blank THEN heading IS NOT NULL END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS first FROM h),
+    n AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY page_id ORDER BY pos) AS no FROM f),
+    s AS (
+      SELECT page_id, no, list(heading ORDER BY pos) FILTER (heading IS NOT NULL) AS names,
+             regexp_replace(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (heading IS NULL), ''), '^\s+|\s+$', '', 'g') AS body
+      FROM n GROUP BY page_id, no),
+    b AS (
+      SELECT page_id, no, CASE WHEN len(names) > 0 THEN array_to_string(names[greatest(1, len(names) - 1):], ' > ') END AS heading, body FROM s WHERE body <> ''
+      UNION ALL SELECT page_id, 0, NULL, text FROM p WHERE text <> '' AND page_id NOT IN (SELECT page_id FROM s WHERE body <> '')),
+    sec AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY no) - 1 AS section FROM b),
+    q AS (SELECT page_id, section, heading, flatten(list_transform(regexp_extract_all(body, '(?s)[^.!?
+]*[.!?]+["'')\]]*\s*|[^.!?
+]+
+*\s*|\s+'), lambda x: regexp_extract_all(x, '(?s).{{1,300}}(?:\s+|$)|.{{1,300}}'))) AS pieces FROM sec),
+    e AS (SELECT page_id, section, heading, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS pos FROM q),
+    c AS (SELECT *, floor(coalesce(sum(length(piece)) OVER (PARTITION BY page_id, section ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS cut FROM e),
+    m AS (SELECT page_id, section, heading, cut, regexp_replace(string_agg(piece, '' ORDER BY pos), '^\s+|\s+$', '', 'g') AS own FROM c GROUP BY ALL),
+    t AS (SELECT *, coalesce(regexp_extract(lag(own) OVER (PARTITION BY page_id, section ORDER BY cut), '(?s)(?:^|\s)(\S.{{0,149}})$', 1), '') AS tail FROM m WHERE own <> '')
+    SELECT page_id, CAST(section AS INT) AS section, CAST(row_number() OVER (PARTITION BY page_id ORDER BY section, cut) - 1 AS INT) AS chunk, heading,
+           CASE WHEN tail <> '' THEN tail || chr(10) || own ELSE own END AS body
+    FROM t
+"""
+
+
+@query("chunks", CHUNKS_SQL)
 def chunks(spark, sf):
-    """Pages to headed, packed chunks."""
+    """Pages to headed chunks."""
     p = spread(table(spark, sf, "pages")).select("page_id", files.html_to_text(F.col("html")).alias("text"))
     return textindex.sections(p, "page_id")
 
 
 TOKENS_SQL = (
-    "list_filter(list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_À-ɏ]+'), lambda x: substring(x, 1, 40)), "
+    "list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_À-ɏ]+'), "
     "lambda x: (length(x) > 1 OR regexp_matches(x, '^[0-9]$')) AND NOT list_contains(["
     + ", ".join(f"'{w}'" for w in textindex.STOPWORDS)
     + "], x))"
@@ -187,7 +270,7 @@ TOKENS_SQL = (
     """,
 )
 def postings(spark, sf):
-    d = docs(spark, sf).select("doc_id", "text")
+    d = spread(docs(spark, sf).select("doc_id", "text"))
     index = textindex.build_index(d, ["doc_id"], F.col("text"))
     return index["postings"].groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
@@ -199,8 +282,7 @@ BM25_SQL = f"""
     f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
     g AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
     q0 AS (SELECT item_id, {TOKENS_SQL} AS toks FROM benchmark),
-    qs AS (SELECT item_id, term, min(pos) AS pos FROM (SELECT item_id, unnest(toks) AS term, generate_subscripts(toks, 1) AS pos FROM q0) GROUP BY 1, 2),
-    q AS (SELECT item_id, term FROM qs QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY pos) <= 32),
+    q AS (SELECT DISTINCT item_id, unnest(toks) AS term FROM q0),
     h AS (SELECT q.item_id, p.doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2) / (tf + 1.2 * (0.25 + 0.75 * (greatest(dl, 1) / avgdl)))) AS s
           FROM q JOIN f USING (term) JOIN p USING (term) JOIN l USING (doc_id), g GROUP BY 1, 2),
     r AS (SELECT *, max(s) OVER (PARTITION BY item_id) AS best, row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM h)
@@ -211,7 +293,7 @@ BM25_SQL = f"""
 @query("bm25", BM25_SQL)
 def bm25(spark, sf):
     """Every benchmark text as a query over all documents: the eight best each."""
-    d = docs(spark, sf).select("doc_id", "text")
+    d = spread(docs(spark, sf).select("doc_id", "text"))
     index = textindex.build_index(d, ["doc_id"], F.col("text"))
     hits = textindex.bm25(index, table(spark, sf, "benchmark"), "item_id", F.col("text"), ["doc_id"])
     return hits.select("item_id", "doc_id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,9 +35,9 @@ def read_table(spark: SparkSession, path: str, schema: str, form: str = "parquet
 def classify_content(content: Column, printable_share: float = 0.85) -> Column:
     """pcap, pcapng, text-log or unknown, by content alone."""
     magic = F.hex(F.substring(content, 1, 4))
-    head = F.decode(F.substring(content, 1, 8192), "ISO-8859-1")
-    bare = F.regexp_replace(head, r"[^\t\n\r -~]", "")
-    printable = F.length(bare) / F.greatest(F.length(head), F.lit(1)) >= printable_share
+    whole = F.decode(content, "ISO-8859-1")
+    bare = F.regexp_replace(whole, r"[^\t\n\r -~]", "")
+    printable = F.length(bare) / F.greatest(F.length(whole), F.lit(1)) >= printable_share
     looks = bare.rlike("(?m)" + START) | bare.rlike(r"(?i)\b(?:received\s+from|sent\s+to)\b") | bare.rlike(r"(?m)^\s*[UTR]\s+\d{4}[/-]\d")
     kind = F.lit("unknown")
     for value, name in MAGIC.items():
@@ -65,45 +67,61 @@ def read_access_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return parse_access_log(spark.read.text(path))
 
 
-# Named entities that occur in text.
-ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&mdash;": "—", "&ndash;": "–",
-    "&hellip;": "…", "&copy;": "©", "&reg;": "®", "&rsquo;": "’", "&lsquo;": "‘", "&rdquo;": "”", "&ldquo;": "“", "&bull;": "•",
-}
-BLOCKS = "p|div|li|tr|table|thead|tbody|section|article|ul|ol|pre|blockquote|dl|dd|dt|figure|form|header|footer|nav|main|h[1-6]"
-OPENERS = "p|div|tr|table|section|article|ul|ol|pre|blockquote"
+# Named characters of text: the whole of Latin-1, and the punctuation, spaces and signs that pages use beside it.
+BEYOND_LATIN1 = "ndash mdash lsquo rsquo sbquo ldquo rdquo bdquo hellip bull trade euro ensp emsp thinsp larr rarr uarr darr minus le ge ne".split()
+ENTITIES = {n: chr(c) for n, c in name2codepoint.items() if c < 256 or n in BEYOND_LATIN1} | {"apos": "'", "nbsp": " "}
+# Elements whose content is not text, and elements that begin and end a line of their own.
+SILENT = ["script", "style", "noscript", "template", "head", "svg", "math"]
+BLOCKS = (
+    "address|article|aside|blockquote|body|br|caption|center|dd|details|dialog|div|dl|dt|fieldset|figcaption|figure|footer|form|header|hr|html|"
+    "legend|li|main|menu|nav|ol|optgroup|option|p|pre|section|summary|table|tbody|tfoot|thead|title|tr|ul"
+)
+LAST_CODE_POINT = 0x10FFFF
 
 
 def decode_entities(text: Column) -> Column:
-    """Named entities, then &amp; last so that nothing is decoded twice."""
-    for name, char in ENTITIES.items():
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+    """Named and numeric character references decoded in one pass, so that nothing is decoded twice; unknown ones stay."""
+    known = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^([A-Za-z][A-Za-z0-9]*|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});", 1)
+        hexadecimal = F.conv(F.substring(name, 3, 6), 16, 10).try_cast("long")
+        code = F.when(name.rlike("^#[xX]"), hexadecimal).when(name.startswith("#"), F.substring(name, 2, 7).try_cast("long"))
+        sound = code.between(1, LAST_CODE_POINT) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(sound, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")).when(code.isNull(), F.try_element_at(known, name))
+        rest = F.substring(piece, F.length(name) + 2, F.length(piece))
+        return F.when(char.isNotNull(), F.concat(char, rest)).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&", -1)
+    out = F.concat(pieces[0], F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), decoded), ""))
+    return F.when(F.contains(text, F.lit("&")), out).otherwise(text)
 
 
 def html_to_text(html: Column) -> Column:
-    """Readable text with headings as # lines; scripts, styles and comments dropped."""
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", " ")
-    s = F.regexp_replace(s, r"(?is)<(script|style|noscript|svg|math|template|head)\b[^>]*>.*?</\1\s*>", " ")
-    s = F.regexp_replace(s, r"(?is)<(script|style)\b[^>]*>.*$", " ")
+    """Readable text of a page: one line per block, ``#`` marks before headings, ``-`` before list items, cells apart.
+
+    Comments and what is not text go first, then every tag becomes the break that its element makes in a line.
+    """
+    s = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")
+    for name in SILENT:
+        s = F.regexp_replace(s, rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|$)", " ")
     for level in range(1, 7):
-        s = F.regexp_replace(s, rf"(?is)<h{level}\b[^>]*>\s*(.*?)\s*</h{level}\s*>", "\n\n" + "#" * min(3, level) + " $1\n\n")
-    s = F.regexp_replace(s, r"(?i)<br\s*/?>", "\n")
-    s = F.regexp_replace(s, r"(?i)<li\b[^>]*>", "\n- ")
-    s = F.regexp_replace(s, rf"(?i)</(?:{BLOCKS})\s*>", "\n")
-    s = F.regexp_replace(s, r"(?i)</(?:td|th)\s*>", "  ")
-    s = F.regexp_replace(s, rf"(?i)<(?:{OPENERS})\b[^>]*>", "\n")
-    s = decode_entities(F.regexp_replace(s, r"<[^>]*>", " "))
-    s = F.regexp_replace(s, r"\r\n?", "\n")
-    s = F.regexp_replace(s, r"[ \t ]+", " ")
-    s = F.regexp_replace(s, r" \n", "\n")
-    s = F.regexp_replace(s, r"\n{3,}", "\n\n")
+        s = F.regexp_replace(s, rf"(?i)<h{level}(?:\s[^>]*)?>\s*", "\n\n" + "#" * level + " ")
+    s = F.regexp_replace(s, r"(?i)\s*</h[1-6]\s*>", "\n\n")
+    s = F.regexp_replace(s, r"(?i)<li(?:\s[^>]*)?>\s*", "\n- ")
+    s = F.regexp_replace(s, r"(?i)<t[dh](?:\s[^>]*)?>", "\t")
+    s = F.regexp_replace(s, rf"(?i)</?(?:{BLOCKS})(?:\s[^>]*)?/?>", "\n")
+    s = decode_entities(F.regexp_replace(s, r"(?s)</?[A-Za-z!?][^>]*>", ""))
+    # blanks around line ends go, and no more than one empty line stays
+    s = F.regexp_replace(s, "[ \\t\u00a0\\r]+", " ")
+    s = F.regexp_replace(F.regexp_replace(s, r" ?\n ?", "\n"), r"\n\n+", "\n\n")
     return F.regexp_replace(s, r"^\s+|\s+$", "")
 
 
 def html_title(html: Column) -> Column:
-    t = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    return F.nullif(F.trim(F.regexp_replace(decode_entities(F.regexp_replace(t, r"<[^>]*>", " ")), r"\s+", " ")), F.lit(""))
+    t = F.regexp_extract(html, r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", 1)
+    plain = decode_entities(F.regexp_replace(t, r"<[^>]*>", " "))
+    return F.nullif(F.trim(F.regexp_replace(plain, r"\s+", " ")), F.lit(""))
 
 
 def docs_to_text(df: DataFrame, kind: str, text: str = "text") -> DataFrame:

@@ -182,13 +182,24 @@ def test_html_and_chunks(spark):
     text = files.docs_to_text(df, "html").first()["text"]
     assert text == "# Top\n\nOne.\nTwo <3\n\n## Sub\n\n- a\n\n- b"
     assert df.select(files.html_title(F.col("text"))).first()[0] == "T & U"
-    assert textindex.page_sections(text) == [("Top", "One.\nTwo <3"), ("Sub", "- a\n\n- b")]
-    assert textindex.page_sections("CHAPTER ONE\n\n4.2 Timers\nbody\n[unit]\nx=1\nTitle\n=====\nmore") == [("CHAPTER ONE > 4.2 Timers", "body"), ("unit", "x=1"), ("Title", "more")]
-    long = "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(12))
-    pieces = textindex.pack(long, 1200, 150)
-    assert all(len(p) <= 1200 + 160 for p in pieces) and all(f"Paragraph {i}." in " ".join(pieces) for i in range(12))
-    rows = textindex.sections(spark.createDataFrame([(7, "HEAD\n\n" + long)], "doc int, text string"), "doc").collect()
-    assert [r["chunk"] for r in rows] == list(range(len(rows))) and {r["heading"] for r in rows} == {"HEAD"}
+    cut = lambda t: [(r["heading"], r["body"]) for r in textindex.sections(spark.createDataFrame([(1, t)], "id int, text string"), "id").orderBy("chunk").collect()]
+    assert cut(text) == [("Top", "One.\nTwo <3"), ("Sub", "- a\n\n- b")]
+    assert cut("CHAPTER ONE\n\n4.2 Timers\nbody\n[unit]\nx=1\nTitle\n=====\nmore") == [("CHAPTER ONE > 4.2 Timers", "body"), ("unit", "x=1"), ("Title", "more")]
+    assert cut("# Alpha\n\n# Beta\n") == [(None, "# Alpha\n\n# Beta")] and cut("") == [] and cut("\n \n") == []
+    long = "\n\n".join(f"Paragraph {i}. " + "word " * 60 for i in range(12)) + "x" * 2_000
+    rows = textindex.sections(spark.createDataFrame([(7, "HEAD\n\n" + long), (7, "HEAD\n\n" + long), (None, None)], "doc int, text string"), "doc").collect()
+    pieces = [r["body"] for r in rows]
+    assert all(len(p) <= textindex.CHUNK + textindex.PIECE + textindex.OVERLAP for p in pieces) and all(f"Paragraph {i}." in " ".join(pieces) for i in range(12))
+    assert {r["heading"] for r in rows} == {"HEAD"} and "".join(pieces).count("x") >= 2_000
+
+
+def test_entities(spark):
+    t = "&lt;&eacute;&#233;&#xE9;&#x1F600;&amp;lt;&nbsp;&unknown; & &#0; &#xD800; &#1114112; a&b; &ldquo;"
+    (got,) = spark.createDataFrame([(t,)], "t string").select(files.decode_entities(F.col("t"))).first()
+    assert got == "<ééé😀&lt; &unknown; & &#0; &#xD800; &#1114112; a&b; “"
+
+
+def test_pages_as_form_feed_parts(spark):
     pages = textindex.split_pages(spark.createDataFrame([(1, "a\f \fb")], "doc int, text string"), "doc", "text").collect()
     assert [(p["page"], p["text"]) for p in pages] == [(1, "a"), (3, "b")]
 
