@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,35 +21,54 @@ MANIP_TAGS = [
 WRITE_OPS = ["add", "delete", "modify", "replace"]
 
 
+ANY = "*"
+# Which change a rule causes: (headers, operations, elements, words of its value or conditions, tag); ANY fits everything.
+EFFECTS = [
+    (ANY, ["add"], ANY, ANY, "header-added"),
+    (ANY, ["delete"], ANY, ANY, "header-stripped"),
+    (ANY, ["modify", "replace"], ANY, ANY, "header-rewritten"),
+    (["from"], ["modify", "replace"], ["uri.user", "uri", "value"], ANY, "from-rewritten"),
+    (["to", "request-uri"], ["modify", "replace"], ["uri.user", "uri", "value"], ANY, "to-rewritten"),
+    (["min-se", "session-expires"], ANY, ANY, ANY, "session-timer-changed"),
+    (["min-se", "session-expires"], ANY, ANY, ANY, "session-timer-conflict"),
+    (["require", "supported", "unsupported"], ANY, ANY, ["100rel"], "100rel-asymmetry"),
+    (ANY, ANY, ANY, ["telephone-event"], "dtmf-pt-mismatch"),
+    (["sdp body"], ANY, ANY, ANY, "codec-narrowed"),
+    (["sdp body"], ANY, ANY, ANY, "dtmf-pt-mismatch"),
+    (ANY, ANY, ANY, ["value:rtpmap", "value:m=audio"], "codec-narrowed"),
+    (ANY, ANY, ANY, ["value:rtpmap", "value:m=audio"], "dtmf-pt-mismatch"),
+]
+# Tags of a change that always concern one header.
+HEADER_OF = {"from-rewritten": "from", "to-rewritten": "to"}
+
+
 def expected_tags(header: Column, element: Column, operation: Column, value: Column, condition_text: Column) -> Column:
-    """ARRAY of the change tags a rule would cause if it fired between two legs."""
-    h = canonical(F.coalesce(header, F.lit("")))
-    text = F.concat_ws(" ", value, condition_text)
-    whole = F.coalesce(element, F.lit("value")).isin("uri.user", "value", "uri")
-    writes = operation.isin("modify", "replace")
-    tags = F.array(
-        F.when(operation == "add", "header-added"),
-        F.when(operation == "delete", "header-stripped"),
-        F.when(writes, "header-rewritten"),
-        F.when((h == "from") & writes & whole, "from-rewritten"),
-        F.when(h.isin("to", "request-uri") & writes & whole, "to-rewritten"),
-        F.when(h.isin("session-expires", "min-se"), "session-timer-changed"),
-        F.when(h.isin("session-expires", "min-se"), "session-timer-conflict"),
-        F.when(h.isin("require", "supported", "unsupported") & F.lower(text).contains("100rel"), "100rel-asymmetry"),
-        F.when(F.size(ips_in(F.coalesce(value, F.lit("")), True)) > 0, "private-ip-leak"),
-        F.when(F.lower(text).contains("telephone-event"), "dtmf-pt-mismatch"),
-        F.when((F.lower(header) == "sdp body") | F.lower(value).rlike("rtpmap|m=audio"), "codec-narrowed"),
-        F.when((F.lower(header) == "sdp body") | F.lower(value).rlike("rtpmap|m=audio"), "dtmf-pt-mismatch"),
-    )
-    return F.array_distinct(F.array_compact(tags))
+    """ARRAY of the change tags a rule would cause if it fired between two legs: the rows of ``EFFECTS`` that fit it."""
+    name = canonical(F.coalesce(header, F.lit("")))
+    of_value = F.lower(F.coalesce(value, F.lit("")))
+    anywhere = F.lower(F.concat_ws(" ", value, condition_text))
+    part = F.coalesce(element, F.lit("value"))
+
+    def fits(headers, operations, elements, words) -> Column:
+        tests = [F.lit(True)]
+        tests += [] if headers == ANY else [name.isin(headers) | F.lower(F.coalesce(header, F.lit(""))).isin(headers)]
+        tests += [] if operations == ANY else [operation.isin(operations)]
+        tests += [] if elements == ANY else [part.isin(elements)]
+        if words != ANY:
+            tests.append(reduce(Column.__or__, [of_value.contains(w[6:]) if w.startswith("value:") else anywhere.contains(w) for w in words]))
+        return reduce(Column.__and__, tests)
+
+    tags = [F.when(fits(*conditions), tag) for *conditions, tag in EFFECTS]
+    tags.append(F.when(F.size(ips_in(F.coalesce(value, F.lit("")), True)) > 0, "private-ip-leak"))
+    return F.array_distinct(F.array_compact(F.array(*tags)))
 
 
 def item_header(tag: Column, label: Column) -> Column:
-    """The header a change is about, null when the tag names none."""
-    named = F.regexp_extract(label, r"^header (?:stripped|added|rewritten):\s*(.+)$", 1)
-    return (
-        F.when(named != "", canonical(named)).when(tag == "from-rewritten", "from").when(tag == "to-rewritten", "to")
-    )
+    """The header a change is about: the one its label ends with, or the one its tag always concerns; else null."""
+    after = F.trim(F.substring_index(label, ":", -1))
+    labelled = label.startswith("header ") & F.contains(label, F.lit(":")) & (after != "")
+    fixed = F.create_map(*[F.lit(x) for pair in HEADER_OF.items() for x in pair])
+    return F.when(labelled, canonical(after)).otherwise(F.try_element_at(fixed, tag))
 
 
 def with_expected(rules: DataFrame) -> DataFrame:

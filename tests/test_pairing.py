@@ -191,7 +191,7 @@ def test_sequence_accounting(spark, jumps):
         if jumps and n in (200, 201, 400):
             sent = seq = seq + (20_000 if n == 200 else 1)
         data.append(("s", n, sent % 65536))
-    st = media._SequenceState()
+    st = media.SequenceWindow()
     for _, _, s in data:
         st.take(s)
     packets, expected, dup, ooo, resets = st.totals()
