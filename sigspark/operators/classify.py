@@ -95,15 +95,26 @@ def markers(headers: DataFrame, lookup: DataFrame, keys: Sequence[str]) -> DataF
     return headers.join(lookup, "name").select(*keys, "marker").distinct()
 
 
+# What a match is about, as columns: rows of a rule may have them.
+SUBJECTS = ["leg_id", "call_no"]
+
+
+def with_subjects(rows: DataFrame) -> DataFrame:
+    """``rows`` with every subject column as a string, null where it had none."""
+    return rows.withColumns({c: (F.col(c) if c in rows.columns else F.lit(None)).cast("string") for c in SUBJECTS})
+
+
 def run_rules(rules: Sequence[Rule], scope: Sequence[str] = ("capture_id",), per_rule: int = 8, total: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(advice, matches). ``matches`` has every match; ``advice`` is the report: at most ``per_rule``
+    """(advice, matches). ``matches`` has every match with its subjects; ``advice`` is the report: at most ``per_rule``
     matches of a rule and ``total`` rows per scope, gravest first."""
     parts = []
     for no, rule in enumerate(rules):
         rows = rule.rows()
         evidence = rule.evidence if rule.evidence is not None else F.lit("")
         sev = F.col("severity") if "severity" in rows.columns else F.lit(rule.severity)
-        parts.append(rows.select(*scope, F.lit(rule.rule_id).alias("rule_id"), F.lit(no).alias("rule_no"), sev.alias("severity"), evidence.cast("string").alias("evidence")))
+        told = rows.withColumn("_sev", sev).withColumn("_evidence", evidence.cast("string"))
+        own = with_subjects(told)
+        parts.append(own.select(*scope, F.lit(rule.rule_id).alias("rule_id"), F.lit(no).alias("rule_no"), F.col("_sev").alias("severity"), F.col("_evidence").alias("evidence"), *SUBJECTS))
     matches = reduce(lambda a, b: a.unionByName(b), parts)
     capped = top_per(matches, [*scope, "rule_id"], [severity_rank(F.col("severity")), F.col("evidence")], per_rule).drop("rank")
     advice = top_per(capped, scope, [severity_rank(F.col("severity")), F.col("rule_no"), F.col("evidence")], total)

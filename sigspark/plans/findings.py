@@ -118,12 +118,18 @@ def all_findings(t: dict[str, DataFrame]) -> DataFrame:
     return number_rows(ranked, ["capture_id"], ["rank", "category", "title", "subject"], "f", "finding_id").drop("rank")
 
 
+# Findings whose subject is a call; the subject of all others may be a leg.
+ABOUT_CALLS = ["diff", "correlation"]
+
+
 def message_severity(t: dict[str, DataFrame]) -> DataFrame:
-    """Gravest severity per message: findings on its leg, advice filling the gaps."""
-    by_leg = t["findings"].where(F.col("category") == "retransmission").select("capture_id", F.col("subject").alias("leg_id"), "severity", F.lit("finding").alias("source"))
-    by_call = t["findings"].where(F.col("category") == "diff").select("capture_id", F.col("subject").alias("call_no"), "severity")
-    by_call = by_call.join(t["call_legs"], ["capture_id", "call_no"]).select("capture_id", "leg_id", "severity", F.lit("finding").alias("source"))
-    advised = t["advice"].withColumn("leg_id", F.substring_index("evidence", " ", 1)).select("capture_id", "leg_id", "severity", F.lit("advice").alias("source"))
-    ids = by_leg.unionByName(by_call).unionByName(advised)
+    """Gravest severity per message: findings about its leg or call, every match of the rules filling the gaps."""
+    about_call = F.col("category").isin(ABOUT_CALLS)
+    found = t["findings"].select("capture_id", F.when(~about_call, F.col("subject")).alias("leg_id"), F.when(about_call, F.col("subject")).alias("call_no"), "severity", F.lit("finding").alias("source"))
+    advised = t["rule_matches"].select("capture_id", "leg_id", "call_no", "severity", F.lit("advice").alias("source"))
+    both = found.unionByName(advised)
+    calls = t["call_legs"].select("capture_id", F.col("call_no").cast("string").alias("call_no"), "leg_id")
+    by_call = both.where("call_no IS NOT NULL").drop("leg_id").join(calls, ["capture_id", "call_no"])
+    ids = both.where("leg_id IS NOT NULL").drop("call_no").unionByName(by_call.drop("call_no"))
     legs = worst_severity(ids, ["capture_id", "leg_id"])
     return t["leg_messages"].select("capture_id", "msg_id", "leg_id").join(legs, ["capture_id", "leg_id"]).select("capture_id", "msg_id", "severity")

@@ -16,7 +16,7 @@ from sigspark.functions.sip import (
     uri_host,
     via_host,
 )
-from sigspark.operators.classify import Indicator, Rule, Test
+from sigspark.operators.classify import SUBJECTS, Indicator, Rule, Test, with_subjects
 from sigspark.operators.linkage import Block, Linkage, Proximity, Signal
 from sigspark.operators.matching import match_containment
 from sigspark.operators.ordered import epoch_us, peak_concurrency
@@ -500,9 +500,12 @@ def advice_rules(t: dict[str, DataFrame]) -> list[Rule]:
 
     def or_indicator(rows: DataFrame, key: str) -> DataFrame:
         """Evidence rows, or the bare indicator where a capture has none."""
-        got = rows.select("capture_id", F.col("evidence"))
+        got = told(rows)
         bare = state(key).join(got.select("capture_id").distinct(), "capture_id", "left_anti")
-        return got.unionByName(bare.select("capture_id", F.col("key").alias("evidence")))
+        return got.unionByName(told(bare.select("capture_id", F.col("key").alias("evidence"))))
+
+    def told(rows: DataFrame) -> DataFrame:
+        return with_subjects(rows).select("capture_id", "evidence", *SUBJECTS)
 
     facts = t["facts"]
     item_text = F.concat_ws(" ", "tag", "label")
@@ -513,12 +516,12 @@ def advice_rules(t: dict[str, DataFrame]) -> list[Rule]:
         return df.withColumn("evidence", F.concat_ws(" ", *[F.col(c).cast("string") for c in cols]))
 
     def oversize():
-        a = as_evidence(codes("udp-fragmentation")(), "leg_id", "label").select("capture_id", "evidence")
-        return a.unionByName(as_evidence(tags("udp-frag-risk")(), "tag", "label").select("capture_id", "evidence"))
+        a = told(as_evidence(codes("udp-fragmentation")(), "leg_id", "label"))
+        return a.unionByName(told(as_evidence(tags("udp-frag-risk")(), "tag", "label")))
 
     def dns_stall():
-        a = as_evidence(t["dns_stats"].where((F.col("n_timeouts") > 0) | (F.col("n_slow") > 0)), "request_qname").select("capture_id", "evidence")
-        return a.unionByName(as_evidence(codes("dns-blocking")(), "leg_id", "label").select("capture_id", "evidence"))
+        a = told(as_evidence(t["dns_stats"].where((F.col("n_timeouts") > 0) | (F.col("n_slow") > 0)), "request_qname"))
+        return a.unionByName(told(as_evidence(codes("dns-blocking")(), "leg_id", "label")))
 
     def ice():
         bad = t["checks"].groupBy("capture_id").agg(F.count_if(F.col("state") == "succeeded").alias("ok"), F.count_if(F.col("state") == "failed").alias("bad")).where("ok = 0 AND bad > 0")
@@ -529,13 +532,14 @@ def advice_rules(t: dict[str, DataFrame]) -> list[Rule]:
         paired = t["call_legs"].join(t["calls"].where(F.col("state") == "paired").select("capture_id", "call_no"), ["capture_id", "call_no"], "left_semi")
         rows = t["one_way"].join(t["stream_legs"], [c for c in t["one_way"].columns])
         rows = rows.join(paired.select("capture_id", "leg_id").withColumn("_p", F.lit(1)), ["capture_id", "leg_id"], "left")
-        return rows.select("capture_id", F.concat_ws(" ", "src", "dst", "leg_id").alias("evidence"), F.when(F.col("_p") == 1, "crit").otherwise("warn").alias("severity"))
+        return rows.select("capture_id", "leg_id", F.concat_ws(" ", "src", "dst", "leg_id").alias("evidence"), F.when(F.col("_p") == 1, "crit").otherwise("warn").alias("severity"))
 
     def quality():
         s = t["streams"].where((F.col("loss_pct") >= 1) | (F.col("max_jitter_ms") >= 30) | (F.col("max_gap_ms") >= 300) | (F.col("mos") <= 3.6))
-        got = s.select("capture_id", F.concat_ws(" ", "src", "dst", F.col("mos").cast("string")).alias("evidence"))
+        known = s.join(t["stream_legs"].select("capture_id", "src", "dst", "ssrc", "leg_id").distinct(), ["capture_id", "src", "dst", "ssrc"], "left") if "stream_legs" in t else s
+        got = told(known.withColumn("evidence", F.concat_ws(" ", "src", "dst", F.col("mos").cast("string"))))
         rtcp = t["rtcp"].where(F.col("fraction_lost") / 256.0 * 100 >= 5).join(got.select("capture_id").distinct(), "capture_id", "left_anti")
-        return got.unionByName(rtcp.select("capture_id", F.col("block_ssrc").cast("string").alias("evidence")))
+        return got.unionByName(told(rtcp.select("capture_id", F.col("block_ssrc").cast("string").alias("evidence"))))
 
     diameter_code = F.coalesce("response_result_code", "response_experimental_code")
     return [
