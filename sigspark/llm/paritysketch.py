@@ -1,16 +1,17 @@
 """Jaccard join of word-shingle sets by parity sketches.
 
-A set is XOR-hashed into a bit sketch of 64-bit parts: every shingle flips one bit of one part. Two sketches differ in at
-most as many bits as the sets have elements in their symmetric difference, which a Jaccard similarity of t limits to
-(1-t)/(1+t) of the summed sizes, d. So at most d parts differ, and of a set's non-zero parts at least (number - d) are found
+A set is XOR-hashed into a bit sketch of wide parts: every shingle flips one bit of one part, and a part is kept as the XOR of
+its set bits' positions. Two sketches differ in at most as many bits as the sets have elements in their symmetric
+difference, which a Jaccard similarity of t limits to (1-t)/(1+t) of the summed sizes, d. So at most d parts differ, and of a set's non-zero parts at least (number - d) are found
 equal in any partner: the pigeonhole join is one on equal non-zero parts. Sketches have as many parts as the size band
 asks for; a set joins in its own band and, when a smaller partner may stand in the band below, there too.
 
 1. Each task cuts its texts into sets, sketches them and sends the parts to buckets by hash, packed in binary blocks;
    a part that repeats within a task is sent once. Buckets give back the parts that at least two different sets have.
 2. A set with fewer shared parts than it needs has no partner and is dropped.
-3. Candidates are verified on the exact shingle sets: first each set with the best-sharing set of its parts, in
-   rounds; then all pairs that still lie in different components and share as many parts as both need.
+3. Candidates are verified on the exact shingle sets: first each set with the one that stands for most of its parts, in
+   rounds; then, of sets that still share parts with another component, the pairs whose fine bit sketches are close enough.
+   Links that would join what is joined already are not looked for.
 4. Components of the verified links, by label rounds that are each written to the shared folder.
 
 Equal sets are one node throughout. Sets are compared as 64-bit hashes of shingles.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,12 +38,14 @@ from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_co
 U = np.uint64
 PERCENT = 75
 # Parts collected by a task before they are sent on: 8 bytes each, and their set.
-FLUSH = 3_000_000
-ROUNDS = 2
-
-BLOCK = "bucket int, kind int, keys binary, nodes binary, needs binary"
-FOUND = "kind int, key long, node long, need int"
-# Kinds of blocks and rows: parts to be met with others; parts already met within their task; documents.
+FLUSH = 1_000_000
+ROUNDS = 1
+# Bits of the sketches that tell close pairs within a family, and sets of a family that a task compares with as many others.
+FINE_BITS = 2_048
+CHUNK_SETS = 4_096
+
+BLOCK = "bucket int, kind int, data binary"
+# Kinds of blocks: parts to be met with those of others; parts known to be shared; documents.
 OPEN, MET, DOC = 0, 1, 2
 
 
@@ -62,10 +66,9 @@ def parts(hashes: np.ndarray, sizes: np.ndarray, owners: np.ndarray, floors: np.
     new = np.ones(len(hashes), bool)
     new[1:] = (part[1:] != part[:-1]) | (owners[1:] != owners[:-1])
     at = np.flatnonzero(new)
-    bits = np.bitwise_xor.reduceat(U(1) << (hashes & U(63)), at)
-    full = bits != 0
-    at = at[full]
-    keys = shingles.mix(shingles.mix(bits[full] + band[at] * U(0x9E3779B97F4A7C15)) + part[at])
+    # the part's set bits, 2^64 places wide and nearly all zero, are kept as the XOR of their (mixed) positions
+    bits = np.bitwise_xor.reduceat(shingles.mix(hashes), at)
+    keys = shingles.mix(shingles.mix(bits + band[at] * U(0x9E3779B97F4A7C15)) + part[at])
     return keys, owners[at]
 
 
@@ -97,42 +100,106 @@ def bands(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _block(bucket: int, kind: int, keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> tuple:
-    return bucket, kind, keys.astype(U).tobytes(), nodes.astype(U).tobytes(), needs.astype(np.int32).tobytes()
+def pack(keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> bytes:
+    """Parts of sets in one block: keys ascending as differences, each set once with its need."""
+    order = np.argsort(keys, kind="stable")
+    keys, nodes, needs = keys[order], nodes[order], needs[order]
+    by_set = np.lexsort((needs, nodes))
+    new = np.ones(len(keys), bool)
+    new[1:] = (nodes[by_set][1:] != nodes[by_set][:-1]) | (needs[by_set][1:] != needs[by_set][:-1])
+    at = np.empty(len(keys), np.uint32)
+    at[by_set] = np.cumsum(new) - 1
+    first = by_set[new]
+    steps = np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
+    places = at.view(np.uint8).reshape(-1, 4).T
+    own = [nodes[first].tobytes(), needs[first].astype(np.int32).tobytes()]
+    raw = b"".join([np.array([len(keys), len(first)], U).tobytes(), steps.tobytes(), places.tobytes(), *own])
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    """keys, nodes, needs of a block."""
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n, m = (int(x) for x in np.frombuffer(raw, U, 2))
+    at = 16
+    keys = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(U).ravel(), dtype=U)
+    places = np.frombuffer(raw, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
+    at += 12 * n
+    return [keys, np.frombuffer(raw, U, m, at)[places], np.frombuffer(raw, np.int32, m, at + 8 * m)[places]]
+
+
+def _batch(bucket: int, kind: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([kind], pa.int32()), pa.array([data], pa.binary())], ["bucket", "kind", "data"])
+
+
+def _place(x: np.ndarray, buckets: int) -> np.ndarray:
+    return (x >> U(40)) % U(buckets)
+
+
+def _deal(kind: int, by: np.ndarray, buckets: int, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Blocks of the columns, dealt to buckets by the numbers ``by``."""
+    to = _place(by, buckets).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    ends = np.cumsum(np.bincount(to, minlength=buckets))
+    for b, (start, end) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        if end > start:
+            yield _batch(b, kind, pack(*(c[order[start:end]] for c in columns)))
+
+
+def _gather(batches: Iterator[pa.RecordBatch], kind: int) -> tuple[list[np.ndarray] | None, list[bytes]]:
+    """All blocks of a kind together, each set once per key; and the data of other blocks."""
+    blocks, rest = [], []
+    for batch in batches:
+        for k, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if k == kind:
+                blocks.append(unpack(data))
+            else:
+                rest.append((k, data))
+    if not blocks:
+        return None, rest
+    columns = [np.concatenate(x) for x in zip(*blocks, strict=True)]
+    blocks.clear()
+    order = np.lexsort((columns[1], columns[0]))
+    columns = [c[order] for c in columns]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
+    return [c[fresh] for c in columns], rest
+
+
+def _tally(nodes: np.ndarray, reps: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(reps, nodes, sums): times summed up per node and rep."""
+    order = np.lexsort((reps, nodes))
+    nodes, reps, times = nodes[order], reps[order], times[order]
+    new = np.ones(len(nodes), bool)
+    new[1:] = (nodes[1:] != nodes[:-1]) | (reps[1:] != reps[:-1])
+    at = np.flatnonzero(new)
+    sums = np.add.reduceat(times, at) if len(at) else times
+    return reps[at], nodes[at], sums
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-    names = [x.split()[0] for x in BLOCK.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether an entry is the first of its key, entries of each key) of ascending keys."""
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    return first, np.diff(np.append(np.flatnonzero(first), len(keys)))
 
 
 def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
-    """The blocks that tasks send to buckets."""
+    """The blocks that tasks send to buckets: parts by their key, documents anywhere."""
 
     def flush(keys: list, nodes: list, needs: list) -> Iterator[pa.RecordBatch]:
-        k, n, g = np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs)
+        k, n, g = np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs).astype(np.int32)
         order = np.lexsort((n, k))
         k, n, g = k[order], n[order], g[order]
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
         k, n, g = k[fresh], n[fresh], g[fresh]
-        first = np.ones(len(k), bool)
-        first[1:] = k[1:] != k[:-1]
-        runs = np.diff(np.append(np.flatnonzero(first), len(k)))
-        met = np.repeat(runs > 1, runs)
+        first, runs = _runs(k)
         # the first set of each part stands for the task; parts met here are settled and only stand for others to meet
-        to = (k[first] >> U(40)) % U(buckets)
-        for b in range(buckets):
-            own = to == b
-            if own.any():
-                yield _batch([_block(b, OPEN, k[first][own], n[first][own], g[first][own])])
+        yield from _deal(OPEN, k[first], buckets, k[first], n[first], g[first])
+        met = np.repeat(runs > 1, runs)
         if met.any():
-            to = (n[met] >> U(40)) % U(buckets)
-            for b in range(buckets):
-                own = to == b
-                if own.any():
-                    yield _batch([_block(b, MET, k[met][own], n[met][own], g[met][own])])
+            yield from _deal(MET, n[met], buckets, k[met], n[met], g[met])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, nodes, needs, held = [], [], [], 0
@@ -149,9 +216,9 @@ def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                 part = ids.slice(first, len(texts))
                 known = np.array(part.is_valid().to_pylist())
                 value = np.array(part.fill_null(0).to_pylist(), np.int64).view(U)
-                # a document's row: id, node, number of shingles (minus one more for a null id)
+                # a document's entry: id, node, number of shingles (minus one more for a null id)
                 size = np.where(known, np.diff(bounds), -1 - np.diff(bounds))
-                yield _batch([_block(int(node[0] % U(buckets)) if len(node) else 0, DOC, value, node, size)])
+                yield _batch(int(node[0] % U(buckets)), DOC, pack(value, node, size.astype(np.int32)))
                 if held >= FLUSH:
                     yield from flush(keys, nodes, needs)
                     keys, nodes, needs, held = [], [], [], 0
@@ -162,112 +229,233 @@ def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     return rows.mapInArrow(run, BLOCK)
 
 
-def _rows(kind: int, keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> Iterator[pa.RecordBatch]:
-    names = [x.split()[0] for x in FOUND.split(", ")]
-    for i in range(0, len(keys), 100_000):
-        at = slice(i, i + 100_000)
-        columns = [pa.array(np.full(len(keys[at]), kind, np.int32)), pa.array(keys[at].view(np.int64)), pa.array(nodes[at].view(np.int64)), pa.array(needs[at])]
-        yield pa.RecordBatch.from_arrays(columns, names)
+def meet(buckets: int):
+    """Of a bucket's blocks: parts that two different sets have, with each such set, dealt by the set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rest = _gather(batches, OPEN)
+        for kind, data in rest:
+            to = 0 if kind == DOC else int(_place(unpack(data)[1][:1], buckets)[0])  # a block of met parts is of one bucket
+            yield _batch(to, kind, data)
+        if found is not None:
+            k, n, g = found
+            _, runs = _runs(k)
+            shared = np.repeat(runs > 1, runs)
+            if shared.any():
+                yield from _deal(MET, n[shared], buckets, k[shared], n[shared], g[shared])
 
-def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a bucket's blocks: parts that two different sets have, with each such set; other rows pass through."""
-    open_: list[tuple[np.ndarray, ...]] = []
-    for batch in batches:
-        for row in batch.to_pylist():
-            block = np.frombuffer(row["keys"], U), np.frombuffer(row["nodes"], U), np.frombuffer(row["needs"], np.int32)
-            if row["kind"] == OPEN:
-                open_.append(block)
-            else:
-                yield from _rows(row["kind"], *block)
-    if not open_:
-        return
-    k, n, g = (np.concatenate(x) for x in zip(*open_, strict=True))
-    open_.clear()
-    order = np.lexsort((n, k))
-    k, n, g = k[order], n[order], g[order]
-    fresh = np.ones(len(k), bool)
-    fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
-    k, n, g = k[fresh], n[fresh], g[fresh]
-    first = np.ones(len(k), bool)
-    first[1:] = k[1:] != k[:-1]
-    runs = np.diff(np.append(np.flatnonzero(first), len(k)))
-    shared = np.repeat(runs > 1, runs)
-    yield from _rows(MET, k[shared], n[shared], g[shared])
-
-
-def shared_parts(found: DataFrame) -> DataFrame:
-    """key, node, need, n (parts that the node shares in that band): of sets that share as many as they need."""
-    own = Window.partitionBy("node", "need")  # a set has one need per band; where two are equal, counting both keeps more
-    once = found.where(F.col("kind") == MET).select("key", "node", "need").repartition("node").dropDuplicates(["node", "key"])
-    return once.withColumn("n", F.count(F.lit(1)).over(own)).where("n >= need")
-
-
-def _unresolved(parts_: DataFrame, label: DataFrame | None) -> DataFrame:
-    """Parts whose sets lie in different components, of sets that still share enough of them."""
-    if label is None:
-        return parts_.withColumn("comp", F.col("node"))
-    rows = parts_.drop("comp").join(label, "node")
-    split = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-    left = rows.join(split, "key", "left_semi")
-    return left.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("node", "need"))).where("n >= need")
-
-
-def _best(parts_: DataFrame) -> DataFrame:
-    """Each set with one other component's set: the one that represents most of its parts."""
-    weight = F.struct((-F.col("n")).alias("n"), F.col("node").alias("rep"), F.col("comp").alias("rep_comp"))
-    reps = parts_.groupBy("key").agg(F.min(weight).alias("r"))
-    met = parts_.join(reps, "key").where("r.rep != node AND r.rep_comp != comp")
-    tally = met.groupBy("node", F.col("r.rep").alias("rep")).count()
-    return tally.groupBy("node").agg(F.max_by("rep", F.struct("count", "rep")).alias("rep")).select(F.col("node").alias("a"), F.col("rep").alias("b"))
-
-
-def _all_pairs(parts_: DataFrame) -> DataFrame:
-    """Pairs of sets in different components that share as many parts of a band as both need."""
-    left = parts_.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("need").alias("na"))
-    right = parts_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("need").alias("nb"))
-    met = left.join(right, "key").where("a < b AND ca != cb")
-    return met.groupBy("a", "b", "na", "nb").count().where("count >= na AND count >= nb").select("a", "b").distinct()
-
-
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets are similar enough, on the exact sets; both a, b and the intersection's size."""
+    return run
+
+
+def count(buckets: int):
+    """Of a bucket of sets: the parts of those that share as many parts of a band as they need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rest = _gather(batches, MET)
+        for kind, data in rest:
+            yield _batch(0, kind, data)
+        if found is not None:
+            k, n, g = found
+            # a set has one need per band; where two bands have the same, counting both keeps more
+            order = np.lexsort((g, n))
+            k, n, g = k[order], n[order], g[order]
+            same = np.ones(len(n), bool)
+            same[1:] = (n[1:] != n[:-1]) | (g[1:] != g[:-1])
+            runs = np.diff(np.append(np.flatnonzero(same), len(n)))
+            alive = np.repeat(runs, runs) >= g
+            if alive.any():
+                yield from _deal(MET, n[alive], buckets, k[alive], n[alive], g[alive])
+
+    return run
+
+
+def documents(stored: DataFrame) -> DataFrame:
+    """doc_id, node, n_shingles from the blocks of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    kept.append((a, b, both))
-            if kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["a", "b", "both"])
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long")
+            for data in batch.column(0).to_pylist():
+                ids, node, size = unpack(data)
+                known = size >= 0
+                ids = pa.array(ids.view(np.int64), mask=~known)
+                n = np.where(known, size, -1 - size).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([ids, pa.array(node.view(np.int64)), pa.array(n)], ["doc_id", "node", "n_shingles"])
+
+    return stored.where(F.col("kind") == DOC).select("data").mapInArrow(run, "doc_id long, node long, n_shingles long")
+
+
+def stars(alive: DataFrame, buckets: int) -> DataFrame:
+    """a, b, n: sets a with the set b that stands for n of their parts (the smallest node that has the part)."""
 
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                k, n, g = unpack(data)
+                yield from _deal(OPEN, k, buckets, k, n, g)
+
+    def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, _ = _gather(batches, OPEN)
+        if found is not None:
+            k, n, _ = found
+            first, runs = _runs(k)
+            rep = np.repeat(n[first], runs)  # nodes ascend within a key
+            other = n != rep
+            b, a, times = _tally(n[other], rep[other], np.ones(int(other.sum()), np.int64))
+            yield from _deal(OPEN, a, buckets, b, a, times)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = [unpack(data) for batch in batches for data in batch.column("data").to_pylist()]
+        if blocks:
+            rep, node, times = (np.concatenate(x) for x in zip(*blocks, strict=True))
+            b, a, n = _tally(node, rep, times.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
+
+    by_key = alive.select("data").mapInArrow(send, BLOCK).repartition(buckets, "bucket")
+    by_set = by_key.mapInArrow(meet_again, BLOCK).repartition(buckets, "bucket")
+    return by_set.mapInArrow(tally, "a long, b long, n long")
+
+
+def crossing(stars_: DataFrame, label: DataFrame) -> DataFrame:
+    """The stars whose two sets lie in different components."""
+    one = stars_.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a")
+    return one.join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b").where("ca != cb").select("a", "b", "n")
+
+
+def best(pairs: DataFrame) -> DataFrame:
+    """Each set with the one that stands for most of its parts."""
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
+
+
+def families(stars_: DataFrame, label: DataFrame) -> DataFrame:
+    """node, comp, family: sets around a centre whose star crosses components; two that share a part are of one family."""
+    centres = crossing(stars_, label).select("b").distinct()
+    around = stage(stars_.join(centres, "b", "left_semi").select("a", "b"), "around")
+    nodes = around.select(F.col("a").alias("node")).union(around.select("b")).distinct()
+    return label.join(components(around, nodes).select("node", F.col("comp").alias("family")), "node")
+
+
+def close_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b, both: links that join the components within each family.
+
+    A family is dealt into chunks and every two chunks meet in one task. There, fine bit sketches tell the pairs that may be
+    similar enough, those of different components are verified on the exact sets, and a link joins its components: what comes
+    back is at most one link for each set of the two chunks.
+    """
 
-def exact_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """node, hashes (the sorted set as bytes) of one document for each node; ``members`` has doc_id and node."""
+    def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            out = []
+            for _, some in shingles.chunks([tool.decompress(d).decode("utf-8", "surrogatepass") for d in batch.column(1).to_pylist()]):
+                hashes, bounds = shingles.sets(some)
+                owner = np.repeat(np.arange(len(some)), np.diff(bounds))
+                bits = np.zeros((len(some), FINE_BITS // 64), U)
+                place = shingles.mix(hashes ^ U(0x5851F42D4C957F2D)) % U(FINE_BITS)
+                np.bitwise_xor.at(bits, (owner, (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
+                out += [b.tobytes() for b in bits]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["node", "bits", "data", "n"])
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("n", "ascending"), ("node", "ascending")])
+        node, n, mine = (table[c].to_numpy() for c in ("node", "n", "chunk"))
+        bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U).reshape(len(table), -1)
+        data, tool = table["data"].to_pylist(), zstandard.ZstdDecompressor()
+        two = table["lo"][0].as_py() != table["hi"][0].as_py()
+        _, group = np.unique(table["comp"].to_numpy(), return_inverse=True)
+        # rows of each group, so that joining two relabels the smaller one
+        rows = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
+        known: dict[int, np.ndarray] = {}
+
+        def exact(i: int) -> np.ndarray:
+            if i not in known:
+                known[i] = shingles.sets([tool.decompress(data[i])])[0]
+            return known[i]
+
+        out = []
+        # sets ascend in size: partners of i are those after it up to its largest size
+        last = np.searchsorted(n, n * 100 // percent, side="right")
+        for i in range(len(table)):
+            to = slice(i + 1, int(last[i]))
+            far = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            near = (far <= limit(n[to], n[i], percent)) & (group[to] != group[i])
+            if two:
+                near &= mine[to] != mine[i]
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                if group[i] == group[j]:
+                    continue
+                both = len(np.intersect1d(exact(i), exact(j), assume_unique=True))
+                if 100 * both >= percent * (n[i] + n[j] - both):
+                    out.append((int(node[i]), int(node[j]), both))
+                    small, large = sorted((group[i], group[j]), key=lambda g: len(rows[g]))
+                    group[rows[small]] = large
+                    rows[large] = np.concatenate((rows[large], rows[small]))
+        a, b, both = zip(*out, strict=True) if out else ([], [], [])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
+
+    sketched = texts.join(members.select("node"), "node", "left_semi").select("node", "data", "n").mapInArrow(fine, "node long, bits binary, data binary, n long")
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("int").alias("chunks"))
+    dealt = sketched.join(members, "node").join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("family", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "bits", "data")
+    return met.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long, both long")
+
+
+def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """node, n, data (compressed text) of one document for each node; ``members`` has doc_id, node and n.
+
+    Texts are fetched by doc_id; an id that repeats with another text, or is null, is told apart by the signature.
+    """
     spark = docs.sparkSession
+    members = stage(members, "members")
     if members.count() <= int_conf(spark, BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT):
         members = F.broadcast(members)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(members, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            wanted = np.array(batch.column(0).to_pylist(), np.int64).view(U)
+            wanted = batch.column(0).to_pylist()
             for first, texts in shingles.chunks(batch.column(1).to_pylist()):
-                hashes, bounds = shingles.sets(texts)
-                node = shingles.signature(hashes, bounds)
-                kept = [i for i in range(len(texts)) if node[i] == wanted[first + i]]  # ids may repeat with another text
+                node = shingles.signature(*shingles.sets(texts)).view(np.int64).tolist()
+                kept = [i for i, x in enumerate(node) if wanted[first + i] is None or wanted[first + i] == x]
                 if kept:
-                    data = [hashes[bounds[i] : bounds[i + 1]].tobytes() for i in kept]
-                    yield pa.RecordBatch.from_arrays([pa.array(node[kept].view(np.int64)), pa.array(data, pa.binary())], ["node", "hashes"])
+                    columns = [pa.array([node[i] for i in kept], pa.int64()), pa.array([tool.compress(texts[i]) for i in kept], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["node", "data"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kind = "node long, data binary"
+    named = rows.join(members.where("doc_id IS NOT NULL"), "doc_id").select("node", "text").mapInArrow(run, kind)
+    unnamed = rows.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, kind)
+    unnamed = unnamed.join(members.where("doc_id IS NULL").select("node"), "node", "left_semi")
+    once = named.union(unnamed).groupBy("node").agg(F.first("data").alias("data"))
+    return once.join(members.select("node", "n"), "node").select("node", "n", "data")
+
 
-    return rows.select("node", "text").mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
+def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """a, b, both: the pairs that are similar enough, with the size of their intersection, on the exact sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                a, b, x, y = (c.to_pylist() for c in batch.slice(at, 500).columns)
+                data = {d: i for i, d in enumerate(dict.fromkeys([*x, *y]))}
+                held = [(h, bounds) for _, some in shingles.chunks([tool.decompress(d).decode("utf-8", "surrogatepass") for d in data]) for h, bounds in [shingles.sets(some)]]
+                sets = [h[bounds[i] : bounds[i + 1]] for h, bounds in held for i in range(len(bounds) - 1)]
+                kept = []
+                for left, right, one, two in zip(a, b, x, y, strict=True):
+                    s, t = sets[data[one]], sets[data[two]]
+                    both = len(np.intersect1d(s, t, assume_unique=True))
+                    if 100 * both >= percent * (len(s) + len(t) - both):
+                        kept.append((left, right, both))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["a", "b", "both"])
+
+    sizes = texts.select("node", "n")
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    near = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    left = near.join(texts.select(F.col("node").alias("a"), F.col("data").alias("x")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("data").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long")
 
 
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -291,24 +479,24 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     """(documents: doc_id, node, n_shingles; links between nodes: a, b, both; node, comp of nodes that may have links)."""
     spark: SparkSession = docs.sparkSession
     buckets = partitions(spark)
-    sent = sketch(docs, percent, buckets).repartition(buckets, "bucket")
+    by_key = sketch(docs, percent, buckets).repartition(buckets, "bucket").mapInArrow(meet(buckets), BLOCK)
+    by_set = by_key.repartition(buckets, "bucket").mapInArrow(count(buckets), BLOCK)
     folder = new_folder(spark, "sketches")
-    sent.mapInArrow(meet, FOUND).write.partitionBy("kind").parquet(folder)
-    found = spark.read.schema(FOUND).parquet(folder)
-    members = found.where(F.col("kind") == DOC).select(
-        F.when(F.col("need") >= 0, F.col("key")).alias("doc_id"), "node", F.when(F.col("need") >= 0, F.col("need")).otherwise(-1 - F.col("need")).cast("long").alias("n_shingles")
-    )
-    alive = stage(shared_parts(found), "parts")
-    nodes = alive.select("node").distinct()
-    one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    sets = stage(exact_sets(docs, one), "sets")
-    label, links = None, None
-    for step in range(ROUNDS + 1):
-        rest = stage(_unresolved(alive, label), "unresolved")
-        got = stage(verify(_best(rest) if step < ROUNDS else _all_pairs(rest), sets, percent), "links")
-        links = got if links is None else links.union(got)
+    by_set.write.partitionBy("kind").parquet(folder)
+    stored = spark.read.schema(BLOCK).parquet(folder)
+    members, alive = documents(stored), stored.where(F.col("kind") == MET)
+    star = stage(stars(alive, buckets), "stars")
+    nodes = stage(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "nodes")
+    one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
+    texts = stage(texts_of(docs, one), "texts")
+    links = stage(verify(best(star), texts, percent), "links")
+    label = components(links, nodes)
+    for _ in range(ROUNDS):
+        links = links.union(stage(verify(best(crossing(star, label)), texts, percent), "links"))
         label = components(links, nodes)
-    return members, links, label
+    rest = stage(families(star, label), "families")
+    links = links.union(stage(close_links(rest, texts, percent), "links"))
+    return members, links, components(links, nodes)
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
