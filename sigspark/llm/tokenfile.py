@@ -105,7 +105,7 @@ class WordEncoder:
         ended = {w: bare for w in words if w[-1] in MARKS and (bare := w.rstrip(MARKS)).isalpha()}
         plain = {w for w in words if w.isalpha()} | {bare for bare in ended.values() if bare not in self.known}
         marks = {w[len(bare) :] for w, bare in ended.items()}
-        self._encode_all([*(words - ended.keys() - plain), *(marks - self.known.keys())])
+        self._encode_all([*(w for w in words if w not in ended and w not in plain), *(m for m in marks if m not in self.known)])
         many = list(plain)
         for at in range(0, len(many), 5_000):
             some = many[at : at + 5_000]
@@ -131,7 +131,7 @@ class WordEncoder:
             self.known = {"": b""} | {w: self.known[w] for w in self.again if w in self.known}
             self.again = set()
         seen = set().union(*split)
-        fresh = seen - self.known.keys()
+        fresh = {w for w in seen if w not in self.known}
         self.again |= seen - fresh
         if fresh:
             self._learn(fresh)

@@ -97,9 +97,11 @@ class Reader:
     def classes(self, words: list[str]) -> list[tuple[str, float]]:
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        for w in set(words) - self.known.keys():
-            self.known[w] = self.symbol(w)
-        return [self.known[w] for w in words]
+        known = self.known
+        for w in set(words):
+            if w not in known:
+                known[w] = self.symbol(w)
+        return [known[w] for w in words]
 
     def readings(self, text: str | None) -> tuple[np.ndarray, int]:
         """Strongest log-odds of each reading in the text, and the number of clauses with one."""
