@@ -31,13 +31,18 @@ def lines(text: Column) -> Column:
 
 
 def masked(line: Column) -> Column:
-    """The line's tokens, one space between them, tokens with digits, ``@`` or ``://`` as a field."""
-    one = F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"^ | $", "")
-    return F.regexp_replace(one, r"[^ ]*(?:[0-9@]|://)[^ ]*", FIELD)
+    """The line's tokens, one space between them, tokens with digits, ``@`` or ``://`` as a field.
 
+    Most lines need no rewriting: a search, which copies nothing, comes before each replacement.
+    """
+    wide = line.rlike(r"[\t\x0b\f\r]| {2}|^ | $")
+    one = F.when(wide, F.regexp_replace(F.regexp_replace(line, r"\s+", " "), r"^ | $", "")).otherwise(line)
+    fields = line.rlike(r"[0-9@]|://")
+    return F.when(fields, F.regexp_replace(one, r"[^ ]*(?:[0-9@]|://)[^ ]*", FIELD)).otherwise(one)
 
-def leaf(tokens: Column, depth: int) -> Column:
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
+
+def leaf(line: Column, tokens: Column, depth: int) -> Column:
+    return F.xxhash64(tokens, F.substring_index(line, " ", depth))
 
 
 def _if_small(df: DataFrame, name: str) -> DataFrame:
@@ -49,8 +54,8 @@ def _if_small(df: DataFrame, name: str) -> DataFrame:
 def _line_rows(docs: DataFrame, text: str, min_tokens: int, depth: int) -> DataFrame:
     """th (hash of the text), line, leaf: the different masked lines of each row's text."""
     each = docs.select(F.xxhash64(text, F.octet_length(text)).alias("th"), F.explode(F.array_distinct(F.transform(lines(F.col(text)), masked))).alias("line"))
-    tokens = F.split("line", " ")
-    return each.where(F.size(tokens) >= min_tokens).select("th", "line", leaf(tokens, depth).alias("leaf"))
+    counted = each.withColumn("tokens", F.size(F.split("line", " "))).where(F.col("tokens") >= min_tokens)
+    return counted.select("th", "line", leaf(F.col("line"), F.col("tokens"), depth).alias("leaf"))
 
 
 def templates(docs: DataFrame, text: str = "text", min_texts: int = MIN_TEXTS, min_constant: float = MIN_CONSTANT, min_tokens: int = MIN_TOKENS, depth: int = DEPTH) -> DataFrame:
