@@ -32,7 +32,7 @@ from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_co
 OWN = ["tokens", "epoch", "block", "order_in_block"]
 STEPS = 60
 MAX_EXPONENT = 8.0
-RANGE_ROWS = 100_000
+RANGE_ROWS = 10_000
 
 
 def word_count(text: str) -> Column:
