@@ -123,7 +123,7 @@ def op7_token_records(spark, sf_dir):
 @register
 def op8_line_templates(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = linetemplates.drop_lines(docs)
+    kept = linetemplates.drop_lines(docs, literal_tokens=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.octet_length("kept_text").cast("long").alias("kept_bytes"), F.md5(F.encode("kept_text", "UTF-8")).alias("kept_md5"))
 
 

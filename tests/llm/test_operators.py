@@ -345,6 +345,18 @@ def test_copies_count_once_and_line_cases(spark, odd):
     assert linetemplates.drop_lines(odd.limit(0)).count() == 0
 
 
+def test_short_and_long_lines_recur_literally(spark):
+    long, own = "w " * 49 + "end", lambda i: " ".join(f"own{chr(97 + i)}{c}" for c in "abcde")
+    rows = [(i, "\n".join([own(i), "Les.", " 12\t", *[long] * (i < 3)])) for i in range(12)] + [(12, own(12) + "\n13"), (13, own(13) + "\nFew.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in linetemplates.drop_lines(docs, literal_tokens=1).collect()}
+    assert got == {i: own(i) for i in range(12)} | {12: own(12) + "\n13", 13: own(13) + "\nFew."}
+    # without it short lines stay
+    assert linetemplates.drop_lines(docs).where("n_dropped > 0").count() == 3
+    two = linetemplates.drop_lines(docs.where("doc_id > 0"))
+    assert two.where("n_dropped > 0").count() == 0
+
+
 # Jaccard join
 
 

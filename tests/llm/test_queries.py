@@ -1,8 +1,11 @@
 """The registered corpus queries: brute force and accuracy where there is no SQL, and the pipeline stage by stage."""
 
+import hashlib
+import re
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sigspark.llm import decontaminate, queries
@@ -92,3 +95,32 @@ def test_pipeline_stage_by_stage(spark, sf):
     out = steps["token records"](spark, mixed, sf).collect()
     assert sorted(r.doc_id for r in out) == sorted(r.doc_id for r in mixed.collect())
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(tuple(r) for r in out)
+
+
+def brute_drops(docs, min_texts=10, min_constant=0.6, min_tokens=4, literal_tokens=1, long_tokens=50, long_texts=3):
+    """The literal lines to drop, by the three laws of the operator."""
+    texts, mask = {}, lambda w: tuple("<*>" if re.search(r"[0-9@]|://", x) else x for x in w)
+    for _, text in docs:
+        for line in (text or "").split("\n"):
+            if w := tuple(re.findall(r"[^\s]+", line, re.ASCII)):
+                texts.setdefault(w, set()).add(text)
+    drop = {w for w, t in texts.items() if len(t) >= min_texts and len(w) >= literal_tokens or len(t) >= min(long_texts, min_texts) and len(w) >= long_tokens}
+    places, made = {}, {}
+    for w, t in texts.items():
+        for pos, x in enumerate(mask(w)):
+            places.setdefault((len(w), mask(w)[:3], pos, x), set()).update(t)
+    shape = {w: tuple(x if x != "<*>" and len(places[len(w), mask(w)[:3], pos, x]) >= min_texts else None for pos, x in enumerate(mask(w))) for w in texts if len(w) >= min_tokens}
+    for w, s in shape.items():
+        made.setdefault((mask(w)[:3], s), set()).update(texts[w])
+    return drop | {w for w, s in shape.items() if sum(x is not None for x in s) >= min_constant * len(s) and len(made[mask(w)[:3], s]) >= min_texts}
+
+
+def test_line_templates_equal_brute_force(spark, sf, tmp_path):
+    with_short = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nLes."))).otherwise(F.col("text"))
+    table(spark, sf, "documents").select("doc_id", with_short.alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = [(r.doc_id, r.text) for r in table(spark, str(tmp_path), "documents").collect()]
+    drop, got = brute_drops(docs), {r.doc_id: r for r in queries.op8_line_templates(spark, str(tmp_path)).collect()}
+    assert ("Les.",) in drop
+    for doc_id, text in docs:
+        kept = [x for x in text.split("\n") if tuple(re.findall(r"[^\s]+", x, re.ASCII)) not in drop]
+        assert (got[doc_id].n_dropped, got[doc_id].kept_md5) == (len(text.split("\n")) - len(kept), hashlib.md5("\n".join(kept).encode()).hexdigest())
