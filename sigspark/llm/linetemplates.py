@@ -9,10 +9,12 @@ Lines are cut into tokens. A line is boilerplate, and dropped everywhere, by any
 
 For templates, tokens with digits, ``@`` or ``://`` are variable fields at sight. The tree has a fixed depth: a line goes to the leaf of
 its token count and its leading tokens. In a leaf, a token that ``min_texts`` different texts have at a place is a constant of that place,
-any other is a variable field; a line's template is what remains.
+any other is a variable field; a line's template is what remains. A text counts once for a line, a constant or a template,
+however many of its lines have it.
 
 Lines are cut once, into a table; all counts read it. Distinct lines are counted before anything is shuffled by leaf, so a line
-that every document has is a row per task.
+that every document has is a row per task. Different texts are counted one by one only where the sum over the lines and the
+most of one line don't tell.
 
 Cases: null texts have no lines and stay; lines without tokens stay; by default lines of fewer than ``min_tokens`` tokens stay, too,
 unless ``literal_tokens`` is given; equal texts count once; equal rows each get a row; a text that loses all lines stays as the empty
@@ -95,7 +97,12 @@ def templates(each: DataFrame, min_texts: int = MIN_TEXTS, min_constant: float =
     known = stage(pairs.groupBy("leaf", "line_hash", "line").agg(F.count(F.lit(1)).alias("texts")), "lines")
     tokens = known.select("leaf", "line_hash", "texts", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     place = ["leaf", "pos", "token"]
-    constant = tokens.where(F.col("token") != FIELD).groupBy(*place).agg(F.sum("texts").alias("n")).where(F.col("n") >= min_texts).select(*place)
+    # a text may have several of the lines: the sum is the most texts there can be, the largest the fewest
+    summed = stage(tokens.where(F.col("token") != FIELD).groupBy(*place).agg(F.sum("texts").alias("most"), F.max("texts").alias("fewest")).where(F.col("most") >= min_texts), "places")
+    open_ = _if_small(summed.where(F.col("fewest") < min_texts).select(*place), "open-places")
+    asked = tokens.join(open_, place, "left_semi").select(*place, "line_hash")
+    counted = pairs.select("leaf", "line_hash", "th").join(asked, ["leaf", "line_hash"]).select(*place, "th").distinct().groupBy(*place).count()
+    constant = summed.where(F.col("fewest") >= min_texts).select(*place).union(counted.where(F.col("count") >= min_texts).select(*place))
     constant = _if_small(constant.withColumn("fixed", F.lit(1)), "constants")
     marked = tokens.join(constant, place, "left")
     word = F.when(F.col("fixed") == 1, F.col("token")).otherwise(FIELD)
@@ -103,8 +110,9 @@ def templates(each: DataFrame, min_texts: int = MIN_TEXTS, min_constant: float =
         F.array_sort(F.collect_list(F.struct("pos", word.alias("word")))).alias("w"), F.avg(F.coalesce("fixed", F.lit(0))).alias("share")
     )
     made = made.where(F.col("share") >= min_constant).select("leaf", "line_hash", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("template"))
-    made = made.withColumn("t", F.xxhash64("leaf", "template")).join(known.select("leaf", "line_hash", "texts"), ["leaf", "line_hash"])
-    recurring = made.groupBy("t").agg(F.sum("texts").alias("n_texts")).where(F.col("n_texts") >= min_texts)
+    made = _if_small(made.withColumn("t", F.xxhash64("leaf", "template")), "made")
+    texts = pairs.select("leaf", "line_hash", "th").join(made.select("leaf", "line_hash", "t"), ["leaf", "line_hash"]).select("t", "th").distinct()
+    recurring = texts.groupBy("t").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= min_texts)
     return made.join(recurring, "t").select("line_hash", "template", "n_texts")
 
 

@@ -357,6 +357,13 @@ def test_short_and_long_lines_recur_literally(spark):
     assert two.where("n_dropped > 0").count() == 0
 
 
+def test_a_text_counts_once_for_a_template(spark):
+    log = "\n".join(f"the same start {w}" for w in "abcdefghij")
+    rows = [(0, log), (1, "something else"), *[(i, f"a line seen in {chr(97 + i)}") for i in range(2, 14)]]
+    got = {r.doc_id: r.n_dropped for r in linetemplates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0} | {i: 1 for i in range(2, 14)}
+
+
 # Jaccard join
 
 
