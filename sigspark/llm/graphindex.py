@@ -2,11 +2,13 @@
 
 Vectors are normalised in double precision and equal ones are merged into one node that keeps its k+1 smallest ids (no
 search for k others can want more). Nodes are dealt to shards by a hash of the vector; a shard holds at most
-about ``shard_nodes``, so a task's memory is bounded and more data mean more shards. Within a shard:
+about ``shard_nodes``, and more data mean more shards. Queries are dealt to blocks of about ``block_queries``. A shard's graph is built
+once and stored as a table of edges; each block of queries meets it in a task of its own, which gives back ids alone. So a task holds
+one shard and one block, however many vectors and queries there are. Within a shard:
 
 * build: nodes are put in by doubling rounds. A beam search over the graph so far proposes neighbours; robust pruning keeps
   a proposal unless a kept, nearer one is closer to it by the factor alpha; edges are added both ways and pruned again.
-* search: all queries walk the graph together by beam search from the medoid; each shard gives its best ``k``.
+* search: the queries of a block walk the graph together by beam search from the medoid; each shard gives its best ``k``.
 
 The shards' best are merged by exact cosine of the original vectors, computed as one formula everywhere.
 
@@ -31,8 +33,9 @@ DEGREE, ALPHA, BUILD_BEAM, SEARCH_BEAM = 32, 1.2, 48, 96
 # Edges that a node may collect from later nodes before they are pruned to the degree again.
 SLACK = 16
 SEED = 11
-# Queries that walk a shard's graph together.
+# Queries that walk a shard's graph together, and queries that a task answers.
 TOGETHER = 512
+BLOCK_QUERIES = 4_096
 
 
 def usable(v: Column) -> Column:
@@ -78,6 +81,13 @@ class Graph:
             start = end
         self._insert(order, None, beam)  # once more over the whole, so that early nodes see late ones
 
+    @classmethod
+    def stored(cls, points: np.ndarray, edges: np.ndarray, entry: int) -> Graph:
+        """A graph that was built before."""
+        out = cls.__new__(cls)
+        out.points, out.edges, out.entry = points.astype(np.float32), edges, entry
+        return out
+
     def _insert(self, nodes: np.ndarray, small: np.ndarray | None, beam: int) -> None:
         for at in range(0, len(nodes), TOGETHER):
             some = nodes[at : at + TOGETHER]
@@ -152,7 +162,55 @@ class Graph:
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_nodes: int = SHARD_NODES, search_beam: int = SEARCH_BEAM) -> DataFrame:
+def _matrix(table: pa.Table, name: str) -> np.ndarray:
+    """A column of lists of one length."""
+    return table[name].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+
+
+def _unit(points: np.ndarray) -> np.ndarray:
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+def build(table: pa.Table) -> pa.Table:
+    """Of a shard's nodes (shard, h, v): the same with their places in the graph, their edges, and whether the search starts there."""
+    table = table.select(["shard", "h", "v"]).sort_by([("h", "ascending")])
+    graph = Graph(_unit(_matrix(table, "v")))
+    ends = np.arange(len(table) + 1, dtype=np.int32) * graph.edges.shape[1]
+    edges = pa.ListArray.from_arrays(pa.array(ends), pa.array(graph.edges.ravel()))
+    place = np.arange(len(table), dtype=np.int32)
+    return table.append_column("place", pa.array(place)).append_column("edges", edges).append_column("entry", pa.array(place == graph.entry))
+
+
+def answer(nodes: pa.Table, asked: pa.Table, k: int, beam: int) -> pa.Table:
+    """query_id, h: the ``k`` best nodes of a stored shard for each query of a block, and those that rounding may have put level."""
+    query_ids, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(nodes) and len(asked):
+        nodes = nodes.sort_by([("place", "ascending")])
+        unit, h = _unit(_matrix(nodes, "v")), nodes["h"].to_numpy()
+        graph = Graph.stored(unit, _matrix(nodes, "edges"), int(np.flatnonzero(nodes["entry"].to_numpy(zero_copy_only=False))[0]))
+        ids, q = asked["query_id"].to_numpy(), _unit(_matrix(asked, "q"))
+        for at in range(0, len(q), TOGETHER):
+            found, _ = graph.search(q[at : at + TOGETHER], beam)
+            for query_id, vector, row in zip(ids[at : at + TOGETHER], q[at : at + TOGETHER], found, strict=True):
+                row = row[row >= 0]
+                score = unit[row] @ vector
+                most = min(len(score), k + 1)
+                best = row[score >= np.partition(score, -most)[-most] - 1e-12]
+                query_ids.append(np.full(len(best), query_id))
+                hits.append(h[best])
+    return pa.table({"query_id": pa.array(np.concatenate(query_ids), pa.int64()), "h": pa.array(np.concatenate(hits), pa.int64())})
+
+
+def blocks(queries: DataFrame, n_queries: int, shards: int, block_queries: int) -> DataFrame:
+    """The queries (query_id, q) for each shard, with shard and block."""
+    n = max(1, -(-n_queries // block_queries))
+    block = F.pmod(F.xxhash64("query_id", "q"), F.lit(n)).cast("int")
+    return queries.withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+
+def nearest(
+    vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "embedding", shard_nodes: int = SHARD_NODES, search_beam: int = SEARCH_BEAM, block_queries: int = BLOCK_QUERIES
+) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the ``k`` nearest found of every row that ``is_query`` holds for."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), is_query.alias("is_query"))
@@ -166,35 +224,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     nodes = stage(member.groupBy("h", "v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "nodes")
     queries = stage(rows.where("is_query").select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct(), "queries")
     shards = max(1, -(-nodes.count() // shard_nodes))
-    dimension = common["n"]
-    asked = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    dealt = nodes.withColumn("shard", F.pmod(F.col("h"), F.lit(shards)).cast("int"))
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            points = left["v"].combine_chunks().flatten().to_numpy().reshape(-1, dimension)
-            order = np.argsort(left["h"].to_numpy(), kind="stable")
-            points = points[order]
-            ids = [left["ids"][int(i)].as_py() for i in order]
-            unit = points / np.linalg.norm(points, axis=1, keepdims=True)
-            graph = Graph(unit)
-            asked_ids = right["query_id"].to_numpy()
-            q = right["q"].combine_chunks().flatten().to_numpy().reshape(-1, dimension)
-            q = q / np.linalg.norm(q, axis=1, keepdims=True)
-            for at in range(0, len(q), TOGETHER):
-                found, _ = graph.search(q[at : at + TOGETHER], search_beam)
-                for query_id, vector_, row in zip(asked_ids[at : at + TOGETHER].tolist(), q[at : at + TOGETHER], found, strict=True):
-                    row = row[row >= 0]
-                    score = unit[row] @ vector_
-                    # the k best of the shard, and nodes that rounding may have put level with them
-                    for i in np.flatnonzero(score >= np.partition(score, -min(len(score), k + 1))[-min(len(score), k + 1)] - 1e-12):
-                        out += [(query_id, vec_id, points[row[i]].tolist()) for vec_id in ids[row[i]] if vec_id != query_id]
-        columns = list(zip(*out, strict=True)) if out else [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.float64()))], ["query_id", "vec_id", "v"])
-
-    found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(search, "query_id long, vec_id long, v array<double>")
-    scored = found.join(queries, "query_id").select("query_id", "vec_id", cosine(F.col("q"), F.col("v")).alias("score"))
+    dealt = nodes.select(F.pmod(F.col("h"), F.lit(shards)).cast("int").alias("shard"), "h", "v")
+    kind = "shard int, h long, v array<double>, place int, edges array<int>, entry boolean"
+    graphs = stage(dealt.groupBy("shard").applyInArrow(build, kind), "graphs")
+    n_queries = queries.count()
+    asked = blocks(queries, n_queries, shards, block_queries)
+    held = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, -(-n_queries // block_queries) - 1)))))
+    pair = ["shard", "block"]
+    found = held.groupBy(*pair).cogroup(asked.groupBy(*pair)).applyInArrow(lambda left, right: answer(left, right, k, search_beam), "query_id long, h long")
+    # ids and vectors come back in Spark; two vectors of one hash are both candidates, and their scores are exact
+    scored = found.distinct().join(nodes, "h").join(queries, "query_id").select("query_id", F.explode("ids").alias("vec_id"), cosine(F.col("q"), F.col("v")).alias("score"))
+    scored = scored.where("query_id != vec_id")
     return top_per(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], k).select("query_id", "rank", "vec_id", "score")
 
 

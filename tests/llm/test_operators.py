@@ -76,6 +76,16 @@ def test_graph_with_a_third_of_equal_vectors(spark):
     assert [r.vec_id for r in got.where("query_id = 150").orderBy("rank").collect()] == [0, 3, 6, 9, 12]
 
 
+def test_graph_answers_the_same_in_bounded_blocks_of_queries(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(900)], "vec_id long, embedding array<double>")
+    ask = lambda n: rows_of(graphindex.nearest(df, F.col("vec_id") % 3 == 0, 5, shard_nodes=400, block_queries=n), "query_id", "rank", "vec_id", "score")
+    assert len(ask(1_000)) == 1_500 and ask(50) == ask(1_000)
+    queries = df.where("vec_id % 3 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    sizes = [r["count"] for r in graphindex.blocks(queries, 300, 3, 50).groupBy("shard", "block").count().collect()]
+    assert len(sizes) == 18 and max(sizes) <= 80
+
+
 # mixing
 
 
