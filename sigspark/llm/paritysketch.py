@@ -9,9 +9,10 @@ asks for; a set joins in its own band and, when a smaller partner may stand in t
 1. Each task cuts its texts into sets, sketches them and sends the parts to buckets by hash, packed in binary blocks;
    a part that repeats within a task is sent once. Buckets give back the parts that at least two different sets have.
 2. A set with fewer shared parts than it needs has no partner and is dropped.
-3. Candidates are verified on the exact shingle sets: first each set with the one that stands for most of its parts, in
-   rounds; then, of sets that still share parts with another component, the pairs whose fine bit sketches are close enough.
-   Links that would join what is joined already are not looked for.
+3. Candidates are verified on the exact shingle sets. For all links (``links="all"``), sets that share parts, directly or through others,
+   are a family, and of each family every pair whose fine bit sketches are close enough is verified. For components alone
+   (``links="joining"``), first each set with the one that stands for most of its parts is verified, in rounds; then, of sets that still share
+   parts with another component, the close pairs; links that would join what is joined already are not looked for.
 4. Components of the verified links, by label rounds that are each written to the shared folder.
 
 Equal sets are one node throughout. Sets are compared as 64-bit hashes of shingles.
@@ -43,6 +44,8 @@ ROUNDS = 1
 # Bits of the sketches that tell close pairs within a family, and sets of a family that a task compares with as many others.
 FINE_BITS = 2_048
 CHUNK_SETS = 4_096
+# The same where all links are asked for: every pair of two chunks may be one.
+ALL_CHUNK_SETS = 1_024
 
 BLOCK = "bucket int, kind int, data binary"
 # Kinds of blocks: parts to be met with those of others; parts known to be shared; documents.
@@ -334,13 +337,14 @@ def families(stars_: DataFrame, label: DataFrame) -> DataFrame:
     return label.join(components(around, nodes).select("node", F.col("comp").alias("family")), "node")
 
 
-def close_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """a, b, both: links that join the components within each family.
+def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool = False) -> DataFrame:
+    """a, b, both: links that join the components within each family, or (``every``) all links within each family.
 
     A family is dealt into chunks and every two chunks meet in one task. There, fine bit sketches tell the pairs that may be
     similar enough, those of different components are verified on the exact sets, and a link joins its components: what comes
-    back is at most one link for each set of the two chunks.
+    back is at most one link for each set of the two chunks. With ``every``, all of these pairs are verified and links join nothing.
     """
+    chunk_sets = ALL_CHUNK_SETS if every else CHUNK_SETS
 
     def fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdDecompressor()
@@ -377,15 +381,19 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         for i in range(len(table)):
             to = slice(i + 1, int(last[i]))
             far = np.bitwise_count(bits[to] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            near = (far <= limit(n[to], n[i], percent)) & (group[to] != group[i])
+            near = far <= limit(n[to], n[i], percent)
+            if not every:
+                near &= group[to] != group[i]
             if two:
                 near &= mine[to] != mine[i]
             for j in (np.flatnonzero(near) + i + 1).tolist():
-                if group[i] == group[j]:
+                if not every and group[i] == group[j]:
                     continue
                 both = len(np.intersect1d(exact(i), exact(j), assume_unique=True))
                 if 100 * both >= percent * (n[i] + n[j] - both):
                     out.append((int(node[i]), int(node[j]), both))
+                    if every:
+                        continue
                     small, large = sorted((group[i], group[j]), key=lambda g: len(rows[g]))
                     group[rows[small]] = large
                     rows[large] = np.concatenate((rows[large], rows[small]))
@@ -393,7 +401,7 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
 
     sketched = texts.join(members.select("node"), "node", "left_semi").select("node", "data", "n").mapInArrow(fine, "node long, bits binary, data binary, n long")
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / CHUNK_SETS).cast("int").alias("chunks"))
+    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / chunk_sets).cast("int").alias("chunks"))
     dealt = sketched.join(members, "node").join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("family", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "bits", "data")
@@ -475,8 +483,14 @@ def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
         label = new.select("node", "comp")
 
 
-def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents: doc_id, node, n_shingles; links between nodes: a, b, both; node, comp of nodes that may have links)."""
+def join(docs: DataFrame, percent: int = PERCENT, links: str = "all") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: doc_id, node, n_shingles; links between nodes: a, b, both; node, comp of nodes that may have links).
+
+    A node stands for all documents with equal sets. ``links="all"`` has every two similar nodes once; ``links="joining"``
+    only enough of them to join the components.
+    """
+    if links not in ("all", "joining"):
+        raise ValueError(f"links must be 'all' or 'joining', not {links!r}")
     spark: SparkSession = docs.sparkSession
     buckets = partitions(spark)
     by_key = sketch(docs, percent, buckets).repartition(buckets, "bucket").mapInArrow(meet(buckets), BLOCK)
@@ -489,19 +503,24 @@ def join(docs: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame,
     nodes = stage(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "nodes")
     one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
     texts = stage(texts_of(docs, one), "texts")
-    links = stage(verify(best(star), texts, percent), "links")
-    label = components(links, nodes)
+    if links == "all":
+        # similar sets share a part, and all sets with a part share it with the one that stands for it
+        family = components(star, nodes).select("node", F.col("node").alias("comp"), F.col("comp").alias("family"))
+        found = stage(close_links(family, texts, percent, every=True), "links")
+        return members, found, components(found, nodes)
+    found = stage(verify(best(star), texts, percent), "links")
+    label = components(found, nodes)
     for _ in range(ROUNDS):
-        links = links.union(stage(verify(best(crossing(star, label)), texts, percent), "links"))
-        label = components(links, nodes)
+        found = found.union(stage(verify(best(crossing(star, label)), texts, percent), "links"))
+        label = components(found, nodes)
     rest = stage(families(star, label), "families")
-    links = links.union(stage(close_links(rest, texts, percent), "links"))
-    return members, links, components(links, nodes)
+    found = found.union(stage(close_links(rest, texts, percent), "links"))
+    return members, found, components(found, nodes)
 
 
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
-    members, _, label = join(docs, percent)
+    members, _, label = join(docs, percent, links="joining")
     rows = members.join(label, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("low"))
     out = rows.join(least, "comp", "left")

@@ -440,6 +440,21 @@ def test_near_copies_under_null_and_repeated_ids_are_linked(spark):
     assert rows_of(got, "doc_id", "n_shingles", "component_id") == brute_components(docs)
 
 
+@pytest.mark.parametrize("chunk", [1_024, 3])
+def test_all_links_equal_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(paritysketch, "ALL_CHUNK_SETS", chunk)
+    text = [f"t{i}" for i in range(100)]
+    docs = [(i, " ".join([*text[:99], f"x{i}"])) for i in range(8)] + [(8, " ".join(text[:20])), (9, " ".join(text[:21])), (10, " ".join(text[40:])), (11, " ".join(text[40:])), (12, "")]
+    members, links, label = paritysketch.join(spark.createDataFrame(docs, "doc_id long, text string"))
+    node = {r.doc_id: r.node for r in members.collect()}
+    sets = {node[i]: shingle_set(t) for i, t in docs if t}
+    want = {frozenset((a, b)): len(sets[a] & sets[b]) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    got = links.collect()
+    assert len(want) == 29 and len(got) == 29 and {frozenset((r.a, r.b)): r.both for r in got} == want
+    comp = {r.node: r.comp for r in label.collect()}
+    assert len({comp[node[i]] for i in range(8)}) == 1 and comp[node[8]] == comp[node[9]]
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 2**63, 500).astype(np.uint64))
