@@ -10,30 +10,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sigspark.llm import decontaminate, langid, mixing, paritysketch, tokenfile
-from sigspark.llm.common import held_out, new_folder
+from sigspark.llm.common import held_out, named_back, new_folder
 from sigspark.session import stage, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what has no letter or whose language is a close call."""
     dictionaries = langid.train(docs.where(~held_out("doc_id", 4, 2)))
-    judged = langid.identify(docs.select("doc_id", "text", "lang", "source", "n_chars"), dictionaries)
-    return judged.where("NOT rejected").select(*docs.columns)
+    judged = langid.identify(docs, dictionaries)
+    return named_back(judged.where("NOT rejected"), docs, langid.OWN)
 
 
 def join_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near-duplicates."""
-    return paritysketch.keep_one(docs).select(*docs.columns)
+    return paritysketch.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a benchmark passage."""
-    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), drop="documents").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"), drop="documents")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document at least once; those of small sources up to half as often again."""
-    return mixing.mix(docs, repetition=1.5).select(*docs.columns)
+    return named_back(mixing.mix(docs, repetition=1.5), docs, mixing.OWN)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

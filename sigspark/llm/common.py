@@ -25,6 +25,13 @@ def set_aside(df: DataFrame, reserved: list[str]) -> DataFrame:
     return out
 
 
+def named_back(df: DataFrame, like: DataFrame, reserved: list[str]) -> DataFrame:
+    """The columns of ``like`` alone, those that ``set_aside`` renamed in ``df`` under their own names."""
+    aside = set_aside(like, reserved).columns
+    tick = lambda c: "`" + c.replace("`", "``") + "`"
+    return df.select(*(F.col(tick(a)).alias(c) for a, c in zip(aside, like.columns, strict=True)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the one that all executors share (``spark.checkpoint.dir``)."""
     return f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"

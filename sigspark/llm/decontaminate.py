@@ -97,11 +97,12 @@ def clean(docs: DataFrame, benchmark: DataFrame, drop: str = "documents", size:
     """``docs`` without contaminated documents, or (``drop="spans"``) with the hit words and what stands before each cut out."""
     per = hits(docs.select("doc_id", "text"), benchmark, size, max_broadcast)
     bad = per.where(F.size("found") > 0).groupBy("doc_id", "text_hash").agg(F.first("found").alias("_found"))
+    if drop == "documents":
+        bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("text_hash").alias("_bad_th"))
+        th = F.xxhash64(docs["text"], F.octet_length(docs["text"]))
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad_id"]) & (th == bad["_bad_th"]), "left_anti")
     keyed = docs.withColumn("_th", F.xxhash64("text", F.octet_length("text")))
     bad = bad.withColumnRenamed("text_hash", "_th")
-    if drop == "documents":
-        bad = bad.select(F.col("doc_id").alias("_bad_id"), F.col("_th").alias("_bad_th"))
-        return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_bad_id"]) & (keyed["_th"] == bad["_bad_th"]), "left_anti").drop("_th")
     joined = join_null_safe(keyed, bad, ["doc_id", "_th"])
     parts = F.regexp_extract_all("text", F.lit(r"([\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*)[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
     tail = F.regexp_extract("text", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*\z", 0)

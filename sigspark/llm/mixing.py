@@ -30,6 +30,8 @@ from sigspark.plans.slices import join_null_safe
 from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_conf, stage
 
 OWN = ["tokens", "epoch", "block", "order_in_block"]
+# Columns that stand beside the documents' own on the way.
+INNER = ["_source", "source_tokens", "quota", "epochs", "_h", "_range", "_base", "_before", "_at"]
 STEPS = 60
 MAX_EXPONENT = 8.0
 RANGE_ROWS = 10_000
@@ -129,8 +131,10 @@ def plan(docs: DataFrame, entropy: float | None = None, repetition: float | None
 
 def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None = 1.5, budget: int | None = None, block_tokens: int = 1_000_000, seed: int = 5, source: str = "source", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents of the mixture: input columns with tokens, epoch, block and order_in_block (sort by the last two)."""
-    rows = set_aside(docs, OWN).withColumn("tokens", word_count(text))
-    names = rows.columns
+    own = set_aside(docs, OWN)
+    rows = set_aside(own, INNER)
+    names = [F.col(f"`{a}`").alias(c) for a, c in zip(rows.columns, own.columns, strict=True)]
+    rows = rows.withColumn("tokens", word_count(text))
     weights, budget = plan(rows, entropy, repetition, budget, source)
     blocks = max(1, math.ceil(budget / block_tokens))
     spark = docs.sparkSession
@@ -148,10 +152,10 @@ def mix(docs: DataFrame, entropy: float | None = None, repetition: float | None
     before = Window.partitionBy("_source", "epoch").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.select(*group, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     # rows with equal hashes are equal in id and text: their order does not matter
-    own = Window.partitionBy(*group).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("_before", F.coalesce(F.sum("tokens").over(own), F.lit(0)))
+    earlier = Window.partitionBy(*group).orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    local = dealt.withColumn("_before", F.coalesce(F.sum("tokens").over(earlier), F.lit(0)))
     at = join_null_safe(local, base, group).withColumn("_at", F.col("epoch") * F.col("source_tokens") + F.col("_base") + F.col("_before"))
     taken = at.where((F.col("_at") < F.col("quota")) | ((F.col("tokens") == 0) & (F.col("_at") <= F.col("quota"))) | (F.col("source_tokens") == 0))
     block = F.least(F.lit(blocks - 1), F.floor(F.col("_at") * blocks / F.greatest("quota", F.lit(1)))).cast("int")
     order = F.xxhash64(F.lit(seed + 1), "_h", "epoch")
-    return taken.withColumn("block", block).withColumn("order_in_block", order).select(*names, "epoch", "block", "order_in_block")
+    return taken.withColumn("block", block).withColumn("order_in_block", order).select(*names, "tokens", "epoch", "block", "order_in_block")

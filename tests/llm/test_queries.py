@@ -124,3 +124,17 @@ def test_line_templates_equal_brute_force(spark, sf, tmp_path):
     for doc_id, text in docs:
         kept = [x for x in text.split("\n") if tuple(re.findall(r"[^\s]+", x, re.ASCII)) not in drop]
         assert (got[doc_id].n_dropped, got[doc_id].kept_md5) == (len(text.split("\n")) - len(kept), hashlib.md5("\n".join(kept).encode()).hexdigest())
+
+
+CLASHES = "lang_pred score rejected tokens epoch block order_in_block lang_pred_in _th _bad_id _kept _node _source source_tokens quota epochs _h _range _base _before _at".split()
+
+
+def test_stages_keep_extra_and_clashing_columns(spark, sf):
+    docs = table(spark, sf, "documents").limit(60)
+    docs = docs.select("*", F.array("lang").alias("extra"), *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in CLASHES))
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        got = step(spark, docs, sf)
+        assert got.columns == docs.columns and got.schema.simpleString() == docs.schema.simpleString(), name
+        rows = got.collect()
+        assert len(rows) > 30 and all(r[c] == f"{c} {r.doc_id}" for r in rows for c in CLASHES) and all(r.extra == [r.lang] for r in rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == 60
