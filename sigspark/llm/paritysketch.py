@@ -31,9 +31,10 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from sigspark.llm import shingles
-from sigspark.llm.common import new_folder, partitions
+from sigspark.llm.common import named_back, new_folder, partitions, set_aside
 from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_conf, stage
 
 U = np.uint64
@@ -47,6 +48,8 @@ CHUNK_SETS = 4_096
 # The same where all links are asked for: every pair of two chunks may be one.
 ALL_CHUNK_SETS = 1_024
 
+SIGNED = ["_node", "_n_shingles"]
+
 BLOCK = "bucket int, kind int, data binary"
 # Kinds of blocks: parts to be met with those of others; parts known to be shared; documents.
 OPEN, MET, DOC = 0, 1, 2
@@ -518,21 +521,57 @@ def join(docs: DataFrame, percent: int = PERCENT, links: str = "all") -> tuple[D
     return members, found, components(found, nodes)
 
 
+def _labelled(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, node, n_shingles, comp (null without words) for every row of ``docs``."""
+    members, _, label = join(docs, percent, links="joining")
+    return members.join(label, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+
+
 def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links) for every row of ``docs``."""
-    members, _, label = join(docs, percent, links="joining")
-    rows = members.join(label, "node", "left").withColumn("comp", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "node")))
+    rows = _labelled(docs, percent)
     least = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("low"))
     out = rows.join(least, "comp", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("low", "doc_id").alias("component_id"))
 
 
+def signed(docs: DataFrame) -> DataFrame:
+    """``docs`` with node (the signature of the text's set) and n_shingles; clashing names are not looked for."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for _, texts in shingles.chunks(batch.column(at).to_pylist()):
+                hashes, bounds = shingles.sets(texts)
+                node.append(shingles.signature(hashes, bounds).view(np.int64))
+                n.append(np.diff(bounds).astype(np.int64))
+            own = [pa.array(np.concatenate(node), pa.int64()), pa.array(np.concatenate(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], [*batch.schema.names, *SIGNED])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in SIGNED)]))
+
+
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component, that of the smallest doc_id; documents without words stay.
 
-    Repeated rows of that doc_id are one document. Rows with a null doc_id stay.
+    A document is told by its doc_id and its set: repeated rows are one, an id that stands for several texts may keep
+    several. A null doc_id comes after all others; rows without id and without words all stay.
     """
-    kept = cluster(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    known = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    one = known.join(kept, known["doc_id"].cast("long") == kept["_kept"], "left_semi")
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = stage(_labelled(docs, percent), "labelled")
+    rank = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")
+    best_ = rows.where("comp IS NOT NULL").groupBy("comp").agg(F.min(rank).alias("least")).select("least.doc_id", "least.node")
+    kept = best_.union(rows.where("comp IS NULL AND doc_id IS NOT NULL").select("doc_id", "node").distinct())
+    kept = stage(kept.select(F.col("doc_id").alias("_kept"), F.col("node").alias("_kept_node")), "kept")
+    # only where the id alone does not tell, the texts are signed again
+    several = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
+    several = stage(several.select(F.col("doc_id").alias("_several")), "several")
+    aside = set_aside(docs, SIGNED)
+    long_id = aside["doc_id"].cast("long")
+    plain = aside.where(long_id.isNotNull()).join(several, long_id == several["_several"], "left_anti").dropDuplicates(["doc_id"])
+    plain = plain.join(kept, plain["doc_id"].cast("long") == kept["_kept"], "left_semi")
+    unclear = signed(aside.where(long_id.isNull()).unionByName(aside.join(several, long_id == several["_several"], "left_semi")))
+    same = unclear["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (unclear["_node"] == kept["_kept_node"])
+    told = unclear.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_node"])
+    bare = unclear.where(unclear["doc_id"].cast("long").isNull() & (unclear["_n_shingles"] == 0))
+    return named_back(plain.unionByName(told.unionByName(bare).drop(*SIGNED)), docs, SIGNED)

@@ -455,6 +455,16 @@ def test_all_links_equal_brute_force(spark, monkeypatch, chunk):
     assert len({comp[node[i]] for i in range(8)}) == 1 and comp[node[8]] == comp[node[9]]
 
 
+def test_one_of_each_group_is_kept_under_null_and_repeated_ids(spark):
+    text = [f"t{i}" for i in range(100)]
+    near = lambda i: " ".join([*text[:99], f"x{i}"])
+    other = "quite another thing altogether my friend"
+    docs = [(1, near(1)), (1, other), (1, other), (2, near(2)), (None, near(3)), (None, "nothing like it in here at all"), (None, "nothing like it in here at all"), (None, ""), (None, None), (4, " "), (5, other), (3, near(4))]
+    got = paritysketch.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    want = [(1, near(1)), (1, other), (None, "nothing like it in here at all"), (None, ""), (None, None), (4, " ")]
+    assert rows_of(got, "doc_id", "text") == sorted(want, key=repr)
+
+
 def test_blocks_round_trip():
     rng = np.random.default_rng(4)
     keys = np.sort(rng.integers(0, 2**63, 500).astype(np.uint64))
