@@ -77,7 +77,7 @@ def test_line_templates_keep_the_other_lines(spark, sf):
 
 
 def test_pipeline_stage_by_stage(spark, sf):
-    from test_operators import brute_components
+    from test_corpus_operators import brute_components
 
     docs = table(spark, sf, "documents")
     steps = dict(corpus_pipeline.STAGES)
