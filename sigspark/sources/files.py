@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigspark.sources.textlog import START
+from sigspark.sources.textlog import is_start
 
 # Leading bytes of capture files.
 MAGIC = {
@@ -38,7 +38,7 @@ def classify_content(content: Column, printable_share: float = 0.85) -> Column:
     whole = F.decode(content, "ISO-8859-1")
     bare = F.regexp_replace(whole, r"[^\t\n\r -~]", "")
     printable = F.length(bare) / F.greatest(F.length(whole), F.lit(1)) >= printable_share
-    looks = bare.rlike("(?m)" + START) | bare.rlike(r"(?i)\b(?:received\s+from|sent\s+to)\b") | bare.rlike(r"(?m)^\s*[UTR]\s+\d{4}[/-]\d")
+    looks = F.exists(F.split(bare, "\n"), is_start) | bare.rlike(r"(?i)\b(?:received\s+from|sent\s+to)\b") | bare.rlike(r"(?m)^\s*[UTR]\s+\d{4}[/-]\d")
     kind = F.lit("unknown")
     for value, name in MAGIC.items():
         kind = F.when(magic == value, name).otherwise(kind)
