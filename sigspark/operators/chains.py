@@ -17,7 +17,7 @@ def lead_present(expr) -> Scan:
     return Scan("last", expr, inclusive=False, reverse=True)
 
 
-def reached(pieces: DataFrame, keys: Sequence[str], at: str, until: str, anywhere: str | None = None) -> DataFrame:
+def reached(pieces: DataFrame, keys: Sequence[str], at: str, until: str, anywhere: str | None = None, known_max: int | None = None) -> DataFrame:
     """The rows met when every key is walked from its first piece, always to the first piece at or after the end of the one before.
 
     ``at`` is unique within a key, ``until`` (above ``at``) is where a piece ends; null: nothing can follow it. With ``anywhere`` (a boolean column), rows where
@@ -32,7 +32,7 @@ def reached(pieces: DataFrame, keys: Sequence[str], at: str, until: str, anywher
     end = F.coalesce(F.col(until).cast("bigint"), F.lit(2**62))
     base = pieces.withColumn("_at", F.col(at).cast("bigint")).withColumn("_end", end).withColumn("_free", free)
     begins = F.col("_free") | (F.col("_at") == 0)
-    s = Scanner(base, keys, ["_at"]).add(_far=running_max(F.col("_end"), inclusive=False), _nth=running_sum(begins.cast("bigint")))
+    s = Scanner(base, keys, ["_at"], known_max=known_max).add(_far=running_max(F.col("_end"), inclusive=False), _nth=running_sum(begins.cast("bigint")))
     s.with_column("_fresh", begins & ((F.col("_nth") == 1) | (F.col("_at") >= F.col("_far"))))
     s.add(_block=running_sum(F.col("_fresh").cast("bigint")), _next=lead(F.col("_fresh")))
     rows = s.df.where(F.col("_block") > 0)

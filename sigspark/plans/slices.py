@@ -106,10 +106,10 @@ def _combine(scan: Scan, carry: Column, local: Column) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> tuple[int, int, DataFrame]:
-    """(number of keys above ``limit`` rows, rows of the largest key, their keys)."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    n, biggest = counts.agg(F.count(F.lit(1)), F.coalesce(F.max("_n"), F.lit(0))).first()
-    return n, biggest, counts.select(*keys)
+    """(number of keys above ``limit`` rows, rows of the largest key, the keys above)."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n, biggest = counts.agg(F.count_if(F.col("_n") > limit), F.coalesce(F.max("_n"), F.lit(0))).first()
+    return n, biggest, counts.where(F.col("_n") > limit).select(*keys)
 
 
 def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -138,12 +138,16 @@ def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None
     Returns (df, number of hot keys, slices per hot key). ``by`` must be a number or a time.
     ``known_max`` is a proven bound on the rows of any key, where the caller has one.
     """
+    return _slice_rows(df, keys, by, limit, known_max)[:3]
+
+
+def _slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None, known_max: int | None):
     spark = df.sparkSession
     limit = limit or int_conf(spark, GROUP_ROWS_CONF, GROUP_ROWS_DEFAULT)
     small = known_max is not None and known_max <= limit
-    n_hot, biggest, hot = (0, 0, df) if small else hot_keys(df, keys, limit)
+    n_hot, biggest, hot = (0, known_max, df) if small else hot_keys(df, keys, limit)
     if n_hot == 0:
-        return df.withColumn("_slice", F.lit(None).cast("int")), 0, 0
+        return df.withColumn("_slice", F.lit(None).cast("int")), 0, 0, biggest
     df = stage(df, "hot-rows")  # read for the split points, the slice totals and the rows themselves
     n_slices = int(max(2, -(-2 * biggest // limit)))
     probs = [i / n_slices for i in range(1, n_slices)]
@@ -158,18 +162,21 @@ def slice_rows(df: DataFrame, keys: Sequence[str], by: Column, limit: int | None
     out = join_null_safe(pos, points, keys)
     at = F.size(F.filter("_points", lambda p: p < F.coalesce(F.col("_pos"), F.lit(float("-inf")))))
     out = out.withColumn("_slice", F.when(F.col("_points").isNotNull(), at))
-    return out.drop("_points", "_pos"), n_hot, n_slices
+    return out.drop("_points", "_pos"), n_hot, n_slices, biggest
 
 
 class Scanner:
-    """Several scans over one grouping: counts and slices the groups once."""
+    """Several scans over one grouping: counts and slices the groups once.
+
+    ``most`` is the number of rows of the largest key: a bound for later scans of the same rows.
+    """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int | None = None, known_max: int | None = None):
         first = F.col(order[0])
         if df.schema[order[0]].dataType.typeName() in ("timestamp_ntz", "date"):
             first = first.cast("timestamp")
         self.keys, self.order = list(keys), list(order)
-        self._df, self.n_hot, self.n_slices = slice_rows(df, keys, first, limit, known_max)
+        self._df, self.n_hot, self.n_slices, self.most = _slice_rows(df, keys, first, limit, known_max)
         self._part = self.keys + (["_slice"] if self.n_hot else [])
         self._changed = False
 
