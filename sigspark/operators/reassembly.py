@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sigspark.plans.slices import Scanner, row_number, running_max, running_sum
+from sigspark.operators.chains import lead_present, reached
+from sigspark.plans.slices import Scanner, first_value, lead, row_number, running_max, running_sum
+from sigspark.session import stage
+from sigspark.sources.textlog import is_start
 
 
 def reassemble_fragments(df: DataFrame, keys: Sequence[str], off: str = "off", data: str = "data", more: str = "more") -> tuple[DataFrame, DataFrame]:
@@ -89,15 +94,117 @@ def diameter_length(buf: bytes) -> tuple[int, int]:
     return 0, size if len(buf) >= size else 0
 
 
+# Bytes of a line that are looked at; a longer line is neither a start line nor a header that is read.
+LINE_BYTES = 65_536
+
+
+def _stream_lines(segments: DataFrame, flow: list[str], data: str) -> DataFrame:
+    """(flow, at, end, text): the lines of each stream with their byte range; a line may stretch over segments.
+
+    Bytes are read as one character each. Lines within a segment stay where they are, only pieces at its ends are put together.
+    """
+    pieces = segments.select(*flow, "pos", F.split(F.decode(data, "ISO-8859-1"), "\n", -1).alias("_p"))
+    rows = pieces.select(*flow, "pos", F.size("_p").alias("_k"), F.posexplode("_p").alias("_i", "text"))
+    closed = F.col("_i") < F.col("_k") - 1
+    rows = rows.withColumn("_closed", closed).withColumn("_bytes", F.length("text").cast("bigint") + closed.cast("bigint"))
+    s = Scanner(rows, flow, ["pos", "_i"]).add(end=running_sum(F.col("_bytes")), _line=running_sum(F.col("_closed").cast("bigint"), inclusive=False))
+    s.with_column("_line", F.coalesce("_line", F.lit(0))).with_column("at", F.col("end") - F.col("_bytes"))
+    whole = (F.col("_i") > 0) & F.col("_closed")
+    inner = s.df.where(whole).select(*flow, "at", "end", "text")
+    edge = s.df.where(~whole)
+    s = Scanner(edge, [*flow, "_line"], ["at", "_i", "pos"], known_max=s.most).add(_from=first_value(F.col("at")))
+    # a body without line ends may be one very long line
+    near = F.when(F.col("at") - F.col("_from") < LINE_BYTES, F.struct("at", "pos", "text"))
+    joined = s.df.groupBy(*flow, "_line").agg(F.min("at").alias("at"), F.max("end").alias("end"), F.sort_array(F.collect_list(near)).alias("_parts"))
+    return inner.unionByName(joined.select(*flow, "at", "end", F.array_join(F.transform("_parts", lambda x: x["text"]), "").alias("text")))
+
+
+def _text_pieces(segments: DataFrame, flow: list[str], data: str) -> DataFrame:
+    """(flow, at, until, free): places where a text message may begin, and where it would end.
+
+    A message begins with a line, or in the middle of one if the body before it ends exactly there. It goes to the first blank line and as many
+    bytes further as its length header says. Without all of them it has no end.
+    """
+    lines = _stream_lines(segments, flow, data).withColumn("text", F.regexp_replace("text", "\r$", ""))
+    could = F.col("text").rlike(r"SIP/\d{1,3}\.\d{1,3}(?:\s*$|\s+\d)")
+    length = F.regexp_extract("text", r"(?i)^(?:content-length|l)\s*:\s*(\d{1,15})", 1)
+    kept = stage(lines.where(could | (F.col("text") == "") | (length != "")).withColumn("_cl", length.try_cast("bigint")), "stream-lines")
+    spots = F.filter(F.sequence(F.lit(1), F.length("text")), lambda i: F.substr("text", i, F.lit(1)).rlike("[A-Z]") & is_start(F.substr("text", i)))
+    begins = kept.where(could).select(*flow, "at", F.explode(spots).alias("_i")).select(*flow, (F.col("at") + F.col("_i") - 1).alias("_spot"), F.lit(0).alias("_kind"), F.lit(None).cast("bigint").alias("_v"), (F.col("_i") == 1).alias("free"))
+    blank = kept.where("text = ''").select(*flow, F.col("at").alias("_spot"), F.lit(1).alias("_kind"), F.col("end").alias("_v"), F.lit(False).alias("free"))
+    told = kept.where(F.col("_cl").isNotNull()).select(*flow, F.col("at").alias("_spot"), F.lit(2).alias("_kind"), F.col("_cl").alias("_v"), F.lit(False).alias("free"))
+    s = Scanner(begins.unionByName(blank).unionByName(told), flow, ["_spot", "_kind"])
+    s.add(_gap=lead_present(F.when(F.col("_kind") == 1, F.struct("_spot", "_v"))), _length=lead_present(F.when(F.col("_kind") == 2, F.struct("_spot", "_v"))))
+    body = F.when(F.col("_length._spot") < F.col("_gap._spot"), F.col("_length._v")).otherwise(0)
+    size = segments.groupBy(*flow).agg(F.max("end_byte").alias("_size"))
+    found = s.df.where("_kind = 0").withColumn("until", F.col("_gap._v") + body).join(size, flow)
+    return found.select(*flow, F.col("_spot").alias("at"), F.when(F.col("until") <= F.col("_size"), F.col("until")).alias("until"), "free")
+
+
+def _record_pieces(segments: DataFrame, flow: list[str], data: str) -> DataFrame:
+    """(flow, at, until, free): places with the first bytes of a record, version 1 and a length of three bytes.
+
+    After bytes that are none, only a record that is there in full is taken up; one that follows right on ends the stream if it is not.
+    """
+    head = F.substring(data, 1, 3)
+    # the three bytes after a segment, however short the next ones are
+    with_next = lambda c: F.substring(F.concat(F.col(data), F.coalesce(c, F.lit(b""))), 1, 3)
+    s = Scanner(segments, flow, ["pos"]).add(_a1=lead(head))
+    s.add(_a2=lead(with_next("_a1")))
+    s.add(_a=lead(with_next("_a2")))
+    kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in flow) + ", at bigint, until bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, until = [], [], []
+            for i, (start, payload, ahead) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("start_byte", "_data", "_a")), strict=True)):
+                b = np.frombuffer(payload + (ahead or b""), np.uint8)
+                ones = np.nonzero(b[: min(len(payload), max(len(b) - 3, 0))] == 1)[0]
+                size = (b[ones + 1].astype(np.int64) << 16) | (b[ones + 2].astype(np.int64) << 8) | b[ones + 3]
+                ok = (size >= 20) & (size % 4 == 0)
+                row.append(np.full(ok.sum(), i))
+                at.append(start + ones[ok])
+                until.append(start + ones[ok] + size[ok])
+            if row and sum(map(len, row)):
+                take = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in flow), pa.array(np.concatenate(at), pa.int64()), pa.array(np.concatenate(until), pa.int64())], names=[*flow, "at", "until"])
+
+    found = s.df.select(*flow, "start_byte", F.col(data).alias("_data"), "_a").mapInArrow(run, schema)
+    size = segments.groupBy(*flow).agg(F.max("end_byte").alias("_size"))
+    there = F.col("until") <= F.col("_size")
+    return found.join(size, flow).select(*flow, "at", F.when(there, F.col("until")).alias("until"), there.alias("free"))
+
+
 def frame_stream(segments: DataFrame, flow: Sequence[str], length_fn: Callable[[bytes], tuple[int, int]], ts: str = "ts", data: str = "payload") -> DataFrame:
     """Messages cut from ordered segments: (flow, msg_no, ts, payload, start_byte, end_byte).
 
-    ``length_fn(buffer)`` gives (bytes to skip, message length); length 0 waits for more, -1 only
-    skips. Segments of a flow follow each other in a sorted partition; the state is the unframed
-    tail, so a flow of any size streams through. The first byte's segment gives the time; a partial
-    tail is dropped.
+    Text and record framing are set-based: every place where a message may begin is found with the place where it would
+    end, and the real ones are those met by walking from end to end (``chains.reached``). Bytes that are no message cost nothing but their
+    reading, and a stream of any size is spread. Other framings (``length_fn(buffer)`` gives bytes to skip and message length) are cut in order;
+    a two-byte prefix bounds what is held. The first byte's segment gives the time; a partial end is dropped. ``segments`` is read several times.
     """
     flow = list(flow)
+    pieces = {text_length: _text_pieces, diameter_length: _record_pieces}.get(length_fn)
+    if pieces is None:
+        return _cut_in_order(segments, flow, length_fn, ts, data)
+    real = reached(stage(pieces(segments, flow, data), "stream-pieces"), flow, "at", "until", "free").where(F.col("until").isNotNull())
+    numbered = Scanner(real.select(*flow, F.col("at").alias("start_byte"), F.col("until").alias("end_byte")), flow, ["start_byte"]).add(msg_no=row_number()).df
+    messages = stage(numbered, "stream-messages")
+    spans = message_segments(messages, segments, flow)
+    parts = messages.join(spans, [*flow, "msg_no"]).withColumn("pos", F.explode(F.sequence("first_pos", "last_pos")))
+    seg = segments.select(*flow, "pos", F.col("start_byte").alias("_s"), F.col("end_byte").alias("_e"), F.col(ts).alias("_ts"), F.decode(data, "ISO-8859-1").alias("_text"))
+    begin, end = F.greatest("start_byte", "_s"), F.least("end_byte", "_e")
+    part = F.substr("_text", (begin - F.col("_s") + 1).cast("int"), (end - begin).cast("int"))
+    whole = parts.join(seg, [*flow, "pos"]).groupBy(*flow, "msg_no").agg(
+        F.min_by("_ts", "pos").alias(ts), F.sort_array(F.collect_list(F.struct("pos", part.alias("t")))).alias("_parts"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte")
+    )
+    payload = F.encode(F.array_join(F.transform("_parts", lambda x: x["t"]), ""), "ISO-8859-1")
+    return whole.select(*flow, "msg_no", ts, payload.alias("payload"), "start_byte", "end_byte")
+
+
+def _cut_in_order(segments: DataFrame, flow: list[str], length_fn, ts: str, data: str) -> DataFrame:
+    """Framing by a function of the bytes at hand: a flow streams through a sorted partition, the state is its unframed end."""
     kinds = {f.name: f.dataType.simpleString() for f in segments.schema.fields}
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in flow) + f", msg_no bigint, `{ts}` {kinds[ts]}, payload binary, start_byte bigint, end_byte bigint"
 
