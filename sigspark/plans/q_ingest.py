@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigspark.operators.reassembly import frame_stream, order_stream, text_length
 from sigspark.plans.registry import query
-from sigspark.plans.slices import Scanner, running_sum
-from sigspark.session import table
+from sigspark.plans.slices import Scanner, lead, running_sum
+from sigspark.session import stage, table
 from sigspark.sources.textlog import split_messages
 
 # Each turn of a conversation as a message in a log: some lengths are too large, some bodies may hold start lines, some turns end with dashes.
@@ -77,3 +78,63 @@ def bare_log_messages(spark, sf):
     """Messages of logs made of conversations, with the reason where a body is shorter than declared."""
     cut = split_messages(conversation_log(spark, sf), ["capture_id"])
     return cut.select("capture_id", "line_no", "declared", "got", "stopped", F.md5(F.encode("raw", "UTF-8")).alias("raw_md5"))
+
+
+# Each conversation as a byte stream of 97-byte segments: rubbish before some messages, bodies that end without a line end, some last ones cut off.
+STREAM_SQL = r"""
+    t AS (
+      SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations),
+    m AS (
+      SELECT conv_id, turn,
+             CASE WHEN turn % 4 = 3 THEN 'rubbish without an end' || chr(13) || chr(10) ELSE '' END
+             || CASE WHEN turn % 2 = 0 THEN 'MESSAGE sip:u' || turn || '@h SIP/2.0' ELSE 'SIP/2.0 200 OK' END || chr(13) || chr(10)
+             || 'Content-Length: ' || (length(text) + CASE WHEN turn = last AND conv_id % 3 = 0 THEN 50 ELSE 0 END) || chr(13) || chr(10) || chr(13) || chr(10) || text AS part
+      FROM t),
+    s AS (SELECT conv_id, string_agg(part, '' ORDER BY turn) AS stream FROM m GROUP BY conv_id)
+"""
+
+
+def conversation_stream(spark, sf):
+    """(flow, n, ts, seq, payload): the segments that STREAM_SQL describes; conversation and turn decide the order."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("flow"), "turn", plain.alias("text"))
+    s = Scanner(t, ["flow"], ["turn"]).add(_after=lead(F.col("turn")))
+    missing = F.when(F.col("_after").isNull() & (F.col("flow") % 3 == 0), 50).otherwise(0)
+    start = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("MESSAGE sip:u"), F.col("turn"), F.lit("@h SIP/2.0"))).otherwise("SIP/2.0 200 OK")
+    rubbish = F.when(F.col("turn") % 4 == 3, "rubbish without an end\r\n").otherwise("")
+    part = F.concat(rubbish, start, F.lit("\r\nContent-Length: "), (F.length("text") + missing).cast("string"), F.lit("\r\n\r\n"), F.col("text"))
+    s.with_column("_part", part).add(_end=running_sum(F.length("_part").cast("bigint")))
+    # the pieces of a part between two multiples of 97
+    begin = F.col("_end") - F.length("_part")
+    cuts = F.sequence(F.floor(begin / 97), F.floor((F.col("_end") - 1) / 97))
+    pieces = s.df.select("flow", begin.alias("_b"), "_end", "_part", F.explode(cuts).alias("n"))
+    a, z = F.greatest(F.col("_b"), F.col("n") * 97), F.least(F.col("_end"), (F.col("n") + 1) * 97)
+    text = F.substr("_part", (a - F.col("_b") + 1).cast("int"), (z - a).cast("int"))
+    whole = pieces.groupBy("flow", "n").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(a.alias("a"), text.alias("t")))), lambda x: x["t"]), "").alias("t"))
+    return whole.select("flow", "n", F.timestamp_seconds("n").alias("ts"), (F.col("n") * 97).alias("seq"), F.encode("t", "ISO-8859-1").alias("payload"))
+
+
+@query(
+    "framed_messages",
+    "WITH RECURSIVE" + STREAM_SQL + r""",
+    r AS (
+      SELECT conv_id, stream AS rest, CAST(0 AS BIGINT) AS began, CAST(0 AS BIGINT) AS until, false AS real, false AS over FROM s
+      UNION ALL
+      SELECT conv_id, substring(rest, skip + CASE WHEN starts THEN size ELSE hop END + 1), until + skip, until + skip + CASE WHEN starts THEN size ELSE hop END, starts AND size <= length(rest) - skip,
+             CASE WHEN starts THEN size IS NULL OR size > length(rest) - skip ELSE hop = 0 END
+      FROM (
+        SELECT *, position(chr(13) || chr(10) || chr(13) || chr(10) IN tail) + 3 + CAST(regexp_extract(tail, '\nContent-Length: (\d+)', 1) AS BIGINT) AS size,
+               length(regexp_extract(tail, '^((?:.|\n)*?\n)(?:MESSAGE \S+ SIP/2.0\r|SIP/2.0 200 OK\r)', 1)) AS hop
+        FROM (
+          SELECT *, length(rest) - length(ltrim(rest, chr(13) || chr(10))) AS skip, ltrim(rest, chr(13) || chr(10)) AS tail,
+                 regexp_matches(ltrim(rest, chr(13) || chr(10)), '^(MESSAGE \S+ SIP/2.0\r|SIP/2.0 200 OK\r)') AS starts
+          FROM r WHERE NOT over AND rest != ''))),
+    f AS (SELECT r.conv_id, began, until, substring(stream, began + 1, until - began) AS payload FROM r JOIN s USING (conv_id) WHERE real)
+    SELECT conv_id AS flow, row_number() OVER (PARTITION BY conv_id ORDER BY began) AS msg_no, began AS start_byte, until AS end_byte, md5(payload) AS payload_md5, began // 97 AS at_second FROM f
+    """,
+)
+def framed_messages(spark, sf):
+    """Messages framed in byte streams made of conversations."""
+    stream = stage(order_stream(conversation_stream(spark, sf), ["flow"], F.col("seq")), "stream-segments")
+    framed = frame_stream(stream, ["flow"], text_length)
+    return framed.select("flow", "msg_no", "start_byte", "end_byte", F.md5("payload").alias("payload_md5"), F.unix_seconds("ts").alias("at_second"))
