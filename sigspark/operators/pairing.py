@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.ordered import epoch_us
-from sigspark.plans.slices import Scanner, last_value, running_min, running_sum
+from sigspark.plans.slices import Scanner, last_value, row_number, running_min, running_sum
+from sigspark.session import stage
 
 
 def pair_fifo(df: DataFrame, keys: Sequence[str], is_request: Column, ts: str, row_id: str, tie: Sequence[str] = (), slow_s: float = 1.0, capture_end: DataFrame | None = None):
@@ -56,66 +58,94 @@ def _latency(out: DataFrame, ts: str, slow_s: float, capture_end: DataFrame | No
 def pair_named(df: DataFrame, keys: Sequence[str], is_request: Column, ts: str, row_id: str, name: str, tie: Sequence[str] = (), slow_s: float = 1.0, capture_end: DataFrame | None = None):
     """FIFO pairing that prefers an open request of the same name: (exchanges, orphans).
 
-    Keys in which every response finds a request of its own name are paired per (key, name). In
-    other keys a response may take the oldest request of any name, which depends on what is open at
-    that moment: these keys are replayed in order, streaming through sorted partitions with only the
-    open requests in memory. A null name fits any name.
+    A response takes the oldest open request of its name, else the oldest of any; a null name fits any name. Whatever the
+    names, the number of open requests follows from the rows' kinds alone, so a key is cut wherever it falls to 0: nothing is
+    open there, and each busy period is paired by itself. A busy period in which every response finds a request of its own
+    name is paired per (key, period, name) by position; only the others are replayed in order, streaming through sorted
+    partitions with the open requests in memory. Rows are told apart by their place in the key, so equal rows stay two rows.
     """
     keys = list(keys)
     order = [ts, *(tie or [row_id])]
     low = df.withColumn("_name", F.lower(F.regexp_replace(F.col(name), r"\.$", ""))).withColumn("_rq", is_request)
-    by_name, orphans = pair_fifo(low.where(F.col("_name").isNotNull()), [*keys, "_name"], F.col("_rq"), ts, row_id, tie, slow_s)
-    # a key needs the replay when one of its responses found no request of its name, or has no name
-    mixed = low.groupBy(*keys).agg(F.countDistinct("_name").alias("_n"), F.max(F.col("_name").isNull().cast("int")).alias("_null"))
-    stray = orphans.select(*keys).distinct().withColumn("_stray", F.lit(1))
-    replay = mixed.join(stray, keys, "left").where(
-        ((F.col("_stray") == 1) & (F.col("_n") > 1)) | (F.col("_null") == 1)
-    ).select(*keys)
-    settled = by_name.join(replay, keys, "left_anti").drop("_name", "request__rq", "response__rq")
-    pairs = _replay(low.join(replay, keys, "left_semi"), keys, order, row_id)
+    step = F.when(F.col("_rq"), F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    s = Scanner(low, keys, order).add(_s=running_sum(step), _n=row_number())
+    s.add(_least=running_min(F.col("_s")))
+    s.with_column("_idle", (F.col("_s") <= F.least(F.lit(0), F.col("_least"))).cast("bigint"))
+    s.add(_busy=running_sum(F.col("_idle"), inclusive=False))
+    low = stage(s.df.withColumn("_busy", F.coalesce("_busy", F.lit(0))).drop("_s", "_least", "_idle"), "busy-periods")
+    period, extra = [*keys, "_busy"], ["_name", "_rq", "_n"]
+    by_name, orphans = pair_fifo(low.where(F.col("_name").isNotNull()), [*period, "_name"], F.col("_rq"), ts, row_id, ["_n"], slow_s)
+    # a period needs the replay when one of its responses found no request of its name, or has no name
+    mixed = low.groupBy(*period).agg(F.countDistinct("_name").alias("_names"), F.max(F.col("_name").isNull().cast("int")).alias("_null"))
+    stray = orphans.select(*period).distinct().withColumn("_stray", F.lit(1))
+    replay = stage(mixed.join(stray, period, "left").where(((F.col("_stray") == 1) & (F.col("_names") > 1)) | (F.col("_null") == 1)).select(*period), "mixed-periods")
+    settled = by_name.join(replay, period, "left_anti").withColumnRenamed("response__n", "_rid").drop("_name", "request__rq", "response__rq", "request__n")
+    again = low.join(replay, period, "left_semi")
+    pairs = _replay(again, period)
     rest = [c for c in df.columns if c not in keys]
-    q = low.where("_rq").select(*keys, F.col(row_id).alias("_qid"), *[F.col(c).alias("request_" + c) for c in rest])
-    r = low.where(~F.col("_rq")).select(*keys, F.col(row_id).alias("_rid"), *[F.col(c).alias("response_" + c) for c in rest])
-    open_q = q.join(replay, keys, "left_semi")
-    replayed = open_q.join(pairs, [*keys, "_qid"], "left").join(r, [*keys, "_rid"], "left").drop("_qid", "_rid")
-    replayed = _latency(replayed, ts, slow_s, None, keys)
-    out = settled.unionByName(replayed)
+    q = again.where("_rq").select(*period, F.col("_n").alias("_qid"), *[F.col(c).alias("request_" + c) for c in rest])
+    r = again.where(~F.col("_rq")).select(*period, F.col("_n").alias("_rid"), *[F.col(c).alias("response_" + c) for c in rest])
+    replayed = q.join(pairs, [*period, "_qid"], "left").join(r, [*period, "_rid"], "left").drop("_qid")
+    out = settled.unionByName(_latency(replayed, ts, slow_s, None, keys))
+    answered = out.where(F.col("_rid").isNotNull()).select(*period, F.col("_rid").alias("_n"))
+    left_over = low.where(~F.col("_rq")).join(answered, [*period, "_n"], "left_anti").drop("_busy", *extra)
+    out = out.drop("_busy", "_rid")
     if capture_end is not None:
         out = _latency(out.drop("latency_us", "slow", "timed_out"), ts, slow_s, capture_end, keys)
-    answered = out.where(F.col("response_" + row_id).isNotNull()).select(*keys, F.col("response_" + row_id).alias(row_id))
-    left_over = low.where(~F.col("_rq")).join(answered, [*keys, row_id], "left_anti").drop("_name", "_rq")
     return out, left_over
 
 
-def _replay(df: DataFrame, keys, order, row_id: str) -> DataFrame:
-    """(keys, _qid, _rid) of keys replayed in order; the state is the list of open requests."""
-    cols = [*keys, *[c for c in order if c not in keys], "_name", "_rq"]
-    if row_id not in cols:
-        cols.append(row_id)
+class OpenRequests:
+    """Requests that wait, by arrival and by name; every request is put in and taken out once."""
+
+    def __init__(self):
+        self.waiting: dict[int, object] = {}
+        self.by_name: dict[object, deque] = {}
+
+    def put(self, number: int, name) -> None:
+        self.waiting[number] = name
+        self.by_name.setdefault(name, deque()).append(number)
+
+    def _oldest(self, name):
+        line = self.by_name.get(name)
+        while line and line[0] not in self.waiting:
+            line.popleft()
+        return line[0] if line else None
+
+    def take(self, name):
+        """The number of the request answered, None if none is open."""
+        if not self.waiting:
+            return None
+        fits = [] if name is None else [n for n in (self._oldest(name), self._oldest(None)) if n is not None]
+        hit = min(fits) if fits else next(iter(self.waiting))
+        del self.waiting[hit]
+        return hit
+
+
+def _replay(df: DataFrame, period: list[str]) -> DataFrame:
+    """(period, _qid, _rid) of busy periods replayed in order; the state is the open requests of one period."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    id_type = fields[row_id]
-    schema = ", ".join([f"`{k}` {fields[k]}" for k in keys] + [f"_qid {id_type}", f"_rid {id_type}"])
+    schema = ", ".join([f"`{k}` {fields[k]}" for k in period] + ["_qid bigint, _rid bigint"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, waiting = None, []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, open_ones = None, OpenRequests()
         for batch in batches:
-            found = []
-            for row in batch[[*keys, row_id, "_name", "_rq"]].itertuples(index=False, name=None):
-                key, (rid, nm, rq) = row[: len(keys)], row[len(keys) :]
+            row, asked, answer = [], [], []
+            columns = [batch.column(c).to_pylist() for c in (*period, "_n", "_name", "_rq")]
+            for i, (*key, n, name, rq) in enumerate(zip(*columns, strict=True)):
                 if key != current:
-                    current, waiting = key, []
+                    current, open_ones = key, OpenRequests()
                 if rq:
-                    waiting.append((rid, nm))
-                    continue
-                hit = next((i for i, w in enumerate(waiting) if nm is None or w[1] is None or w[1] == nm), None)
-                if hit is None and waiting:
-                    hit = 0
-                if hit is not None:
-                    found.append((*key, waiting.pop(hit)[0], rid))
-            yield pd.DataFrame(found, columns=[*keys, "_qid", "_rid"])
-
-    ordered = df.select(*cols).repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, *order)
-    return ordered.mapInPandas(run, schema)
+                    open_ones.put(n, name)
+                elif (hit := open_ones.take(name)) is not None:
+                    row.append(i)
+                    asked.append(hit)
+                    answer.append(n)
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in period), pa.array(asked, pa.int64()), pa.array(answer, pa.int64())], names=[*period, "_qid", "_rid"])
+
+    ordered = df.select(*period, "_n", "_name", "_rq").repartition(*[F.col(k) for k in period]).sortWithinPartitions(*period, "_n")
+    return ordered.mapInArrow(run, schema)
 
 
 def pair_by_id(df: DataFrame, keys: Sequence[str], is_request: Column, ts: str, row_id: str) -> DataFrame:

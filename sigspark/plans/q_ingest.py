@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigspark.operators.media import sequence_accounting
 from sigspark.operators.reassembly import frame_stream, order_stream, text_length
 from sigspark.plans.registry import query
 from sigspark.plans.slices import Scanner, lead, running_sum
@@ -138,3 +139,56 @@ def framed_messages(spark, sf):
     stream = stage(order_stream(conversation_stream(spark, sf), ["flow"], F.col("seq")), "stream-segments")
     framed = frame_stream(stream, ["flow"], text_length)
     return framed.select("flow", "msg_no", "start_byte", "end_byte", F.md5("payload").alias("payload_md5"), F.unix_seconds("ts").alias("at_second"))
+
+
+# Twenty streams of packets made of events: numbers that wrap, swapped and repeated packets, strays, and two restarts.
+PACKET_SQL = """
+    e AS (SELECT event_id % 20 AS stream, event_id // 20 AS i FROM events),
+    p AS (
+      SELECT stream, i,
+             (65400 + 7 * stream + CASE WHEN i % 10 = 4 THEN i + 1 WHEN i % 10 = 5 THEN i - 1 WHEN i % 23 = 9 THEN i - 1 ELSE i END
+              + CASE WHEN i > 33 THEN 45000 WHEN i > 17 THEN 20000 ELSE 0 END + CASE WHEN i % 41 = 30 THEN 30000 ELSE 0 END) % 65536 AS seq
+      FROM e)
+"""
+
+
+def packets_of_events(spark, sf):
+    e = table(spark, sf, "events").select((F.col("event_id") % 20).alias("stream"), F.floor(F.col("event_id") / 20).alias("i"))
+    i = F.col("i")
+    moved = F.when(i % 10 == 4, i + 1).when(i % 10 == 5, i - 1).when(i % 23 == 9, i - 1).otherwise(i)
+    restart = F.when(i > 33, 45_000).when(i > 17, 20_000).otherwise(0)
+    return e.withColumn("seq", ((65_400 + 7 * F.col("stream") + moved + restart + F.when(i % 41 == 30, 30_000).otherwise(0)) % 65_536).cast("int"))
+
+
+@query(
+    "sequence_restarts",
+    "WITH RECURSIVE" + PACKET_SQL + """,
+    r AS (
+      SELECT stream, i, CAST(seq AS BIGINT) AS base, CAST(seq AS BIGINT) AS high, CAST(-1 AS BIGINT) AS follows, [CAST(seq AS BIGINT)] AS seen,
+             CAST(0 AS BIGINT) AS dup, CAST(0 AS BIGINT) AS ooo, CAST(0 AS BIGINT) AS resets
+      FROM p WHERE i = 0
+      UNION ALL
+      SELECT stream, i, CASE WHEN restart THEN seq ELSE base END,
+             CASE WHEN restart THEN seq WHEN step > 0 AND step < 3000 THEN high + step ELSE high END,
+             CASE WHEN restart THEN -1 WHEN near THEN follows ELSE (seq + 1) % 65536 END,
+             CASE WHEN restart THEN [seq] WHEN step > 0 AND step < 3000 THEN list_append(list_filter(seen, lambda x: x > high + step - 100), high + step)
+                  WHEN near THEN list_append(seen, high + step) ELSE seen END,
+             dup + CAST(step <= 0 AND near AND list_contains(seen, high + step) AS BIGINT),
+             ooo + CAST((step <= 0 AND near AND NOT list_contains(seen, high + step)) OR (NOT near AND NOT restart) AS BIGINT),
+             resets + CAST(restart AS BIGINT)
+      FROM (
+        SELECT *, step > -100 AND step < 3000 AS near, NOT (step > -100 AND step < 3000) AND seq = follows AS restart
+        FROM (
+          SELECT p.stream, p.i, CAST(p.seq AS BIGINT) AS seq, ((p.seq - r.high % 65536 + 98304) % 65536) - 32768 AS step, r.* EXCLUDE (stream, i)
+          FROM r JOIN p ON p.stream = r.stream AND p.i = r.i + 1))),
+    z AS (SELECT stream, max(i) AS i FROM p GROUP BY stream),
+    f AS (SELECT stream, i + 1 AS packets, high - base + 1 AS span, dup, ooo, resets FROM r JOIN z USING (stream, i))
+    SELECT stream, packets, greatest(span, packets - dup) AS expected, dup AS duplicates, ooo AS out_of_order, resets,
+           greatest(0, greatest(span, packets - dup) - (packets - dup)) AS lost
+    FROM f
+    """,
+)
+def sequence_restarts(spark, sf):
+    """Sequence accounting under the restart rule; every stream has strays and may restart twice."""
+    out = sequence_accounting(packets_of_events(spark, sf), ["stream"], ["i"], "seq")
+    return out.select("stream", "packets", "expected", "duplicates", "out_of_order", "resets", "lost")

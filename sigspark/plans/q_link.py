@@ -46,7 +46,24 @@ def fifo_orphans(spark, sf):
     return orphans.select("event_id", "user_id")
 
 
-@query("named_pairing")
+@query(
+    "named_pairing",
+    """
+    WITH RECURSIVE b AS (
+      SELECT user_id, event_id, event_type = 'view' AS rq, lower(props) AS name, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n
+      FROM events WHERE event_type IN ('view', 'purchase')),
+    r AS (
+      SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(id BIGINT, name VARCHAR)[]) AS waiting, CAST(NULL AS BIGINT) AS view_id, CAST(NULL AS BIGINT) AS purchase_id, false AS same FROM b
+      UNION ALL
+      SELECT user_id, n, CASE WHEN rq THEN list_append(waiting, {'id': event_id, 'name': name}) ELSE list_filter(waiting, lambda w: w.id != hit.id OR hit.id IS NULL) END,
+             CASE WHEN NOT rq THEN hit.id END, CASE WHEN NOT rq THEN event_id END, hit.name = name
+      FROM (
+        SELECT b.*, r.waiting, coalesce(list_filter(r.waiting, lambda w: w.name = b.name)[1], r.waiting[1]) AS hit
+        FROM r JOIN b ON b.user_id = r.user_id AND b.n = r.n + 1))
+    SELECT b.user_id, b.event_id AS view_id, r.purchase_id, CASE WHEN r.view_id IS NOT NULL THEN r.same END AS same_name, r.view_id IS NULL AS timed_out
+    FROM b LEFT JOIN r ON r.user_id = b.user_id AND r.view_id = b.event_id WHERE b.rq
+    """,
+)
 def named_pairing(spark, sf):
     """Views and purchases of a user, a purchase preferring an open view of the same props."""
     rows = events(spark, sf).where("event_type IN ('view', 'purchase')").select("event_id", "user_id", "ts", "event_type", "props")
