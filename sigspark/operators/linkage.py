@@ -20,15 +20,19 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.ordered import epoch_us
-from sigspark.plans.slices import Scanner, last_value, running_sum, top_per
-from sigspark.session import stage
+from sigspark.plans.slices import Scanner, hot_keys, join_null_safe, last_value, running_sum, top_per
+from sigspark.session import int_conf, stage
 
 THRESHOLD = 500
 MARGIN = 150
+# Scored pairs of one scope that a single task may match.
+MATCH_PAIRS_CONF = "spark.sigspark.maxMatchPairs"
+MATCH_PAIRS = 500_000
 SEPARATOR, ABSENT = "\u0001", "\u0002"
 
 
@@ -268,16 +272,60 @@ def match_greedy(pool: DataFrame, scope: Sequence[str], margin: int = MARGIN) ->
     The sequential rule takes pairs by (score down, ingress time, ingress, egress); a pair whose
     egress has another free ingress within the margin bars that egress instead.
 
-    Rounds reach the same result. A pair is decidable when it comes first among the open pairs of
+    Nothing is shared between scopes, so a scope whose pairs fit a task (counted, ``MATCH_PAIRS``) is matched there by the rule as
+    it stands, however long its chains of dependent pairs. Larger scopes are matched in rounds.
+    """
+    scope = list(scope)
+    cols = [*scope, "ingress", "t", "egress", "score"]
+    pool = stage(pool.select(*cols), "match-pool")
+    limit = int_conf(pool.sparkSession, MATCH_PAIRS_CONF, MATCH_PAIRS)
+    n_large, _, large = hot_keys(pool, scope, limit)
+    small = join_null_safe(pool, stage(large, "match-large"), scope, "left_anti") if n_large else pool
+    done = stage(_match_in_order(small, scope, margin), "matched")
+    accepted, contended = done.where("n_rivals = 0").select(*cols), done.where("n_rivals > 0")
+    if n_large:
+        more, barred = _match_in_rounds(join_null_safe(pool, large, scope, "left_semi"), scope, margin)
+        accepted, contended = accepted.unionByName(more), contended.unionByName(barred.select(*contended.columns))
+    return accepted, contended
+
+
+def _match_in_order(pool: DataFrame, scope: list[str], margin: int) -> DataFrame:
+    """Pairs settled by the sequential rule, one scope at a time, with the number of rivals that bar their egress (0: accepted)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema.fields) + ", n_rivals bigint"
+
+    def run(table: pa.Table) -> pa.Table:
+        ingress, t, egress, score = (table.column(c).to_pylist() for c in ("ingress", "t", "egress", "score"))
+        order = sorted(range(len(score)), key=lambda i: (-score[i], t[i], ingress[i], egress[i]))
+        asking: dict = {}
+        for i in order:
+            asking.setdefault(egress[i], []).append(i)
+        taken, settled, row, rivals = set(), set(), [], []
+        for i in order:
+            if ingress[i] in taken or egress[i] in settled:
+                continue
+            # every egress comes here once
+            settled.add(egress[i])
+            row.append(i)
+            rivals.append(sum(1 for j in asking[egress[i]] if j != i and ingress[j] not in taken and score[i] - score[j] <= margin))
+            if not rivals[-1]:
+                taken.add(ingress[i])
+        return table.take(pa.array(row, pa.int64())).append_column("n_rivals", pa.array(rivals, pa.int64()))
+
+    return pool.groupBy(*scope).applyInArrow(run, schema)
+
+
+def _match_in_rounds(pool: DataFrame, scope: list[str], margin: int) -> tuple[DataFrame, DataFrame]:
+    """The same matching for scopes of any size.
+
+    A pair is decidable when it comes first among the open pairs of
     its ingress and of its egress, and no rival within the margin could still be taken by an earlier
     pair, that is, no rival's ingress has an open pair before it. All decidable pairs of a round are
     settled together, and the open pairs they touch drop out. The first open pair of all is always
     decidable, so the rounds end. Every step is an aggregate or an equi-join; each round is staged.
     """
-    scope = list(scope)
     cols = [*scope, "ingress", "t", "egress", "score"]
     key = F.struct((-F.col("score")).alias("s"), F.col("t").alias("t"), F.col("ingress").alias("i"), F.col("egress").alias("e"))
-    edges = stage(pool.select(*cols).withColumn("key", key), "match-pool")
+    edges = stage(pool.withColumn("key", key), "match-pool")
     accepted, barred = [], []
     while not edges.isEmpty():
         by_in = edges.groupBy(*scope, "ingress").agg(F.min("key").alias("first_in"))

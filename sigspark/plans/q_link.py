@@ -237,8 +237,26 @@ def scored_pool(spark, sf):
     pool, _ = linkage.split_ambiguous(nodes, linkage.candidates(nodes, ORDER_LINK), ORDER_LINK)
     return pool.select("o_custkey", "ingress", "egress", "score")
 
+# The pairs of the pool in the order of the sequential rule, each with the other ingress records that want its egress within the margin.
+MATCH_SQL = PAIR_SQL.replace("WITH o AS", "WITH RECURSIVE o AS") + """,
+    pool AS (SELECT p.* FROM p JOIN a USING (o_custkey, ingress) WHERE second IS NULL OR best - second > 150),
+    e AS (
+      SELECT x.o_custkey, x.ingress, x.egress, x.score, row_number() OVER (PARTITION BY x.o_custkey ORDER BY x.score DESC, x.t, CAST(x.ingress AS VARCHAR), CAST(x.egress AS VARCHAR)) AS k,
+             (SELECT coalesce(list(y.ingress), []) FROM pool y WHERE y.o_custkey = x.o_custkey AND y.egress = x.egress AND y.ingress != x.ingress AND x.score - y.score <= 150) AS rivals
+      FROM pool x),
+    g AS (
+      SELECT DISTINCT o_custkey, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS used, CAST([] AS BIGINT[]) AS settled, CAST(NULL AS BIGINT) AS ingress, CAST(NULL AS BIGINT) AS egress, CAST(NULL AS BIGINT) AS score, false AS taken FROM e
+      UNION ALL
+      SELECT o_custkey, k, CASE WHEN fine THEN list_append(used, ingress) ELSE used END, CASE WHEN free THEN list_append(settled, egress) ELSE settled END, ingress, egress, score, fine
+      FROM (
+        SELECT e.*, g.used, g.settled, NOT list_contains(g.used, e.ingress) AND NOT list_contains(g.settled, e.egress) AS free,
+               NOT list_contains(g.used, e.ingress) AND NOT list_contains(g.settled, e.egress) AND len(list_filter(e.rivals, lambda r: NOT list_contains(g.used, r))) = 0 AS fine
+        FROM g JOIN e ON e.o_custkey = g.o_custkey AND e.k = g.k + 1)),
+    won AS (SELECT o_custkey, ingress, egress, score FROM g WHERE taken)
+"""
+
 
-@query("greedy_match")
+@query("greedy_match", MATCH_SQL + "SELECT o_custkey, CAST(ingress AS VARCHAR) AS ingress, CAST(egress AS VARCHAR) AS egress, score FROM won")
 def greedy_match(spark, sf):
     nodes = linkage.with_classes(order_nodes(spark, sf), ORDER_LINK)
     pool, _ = linkage.split_ambiguous(nodes, linkage.candidates(nodes, ORDER_LINK), ORDER_LINK)
@@ -246,7 +264,30 @@ def greedy_match(spark, sf):
     return accepted.select("o_custkey", "ingress", "egress", "score")
 
 
-@query("linked_chains")
+@query(
+    "linked_chains",
+    MATCH_SQL
+    + """,
+    c AS (
+      SELECT w.o_custkey, w.ingress AS root, w.egress AS node, w.score FROM won w WHERE NOT EXISTS (SELECT 1 FROM won b WHERE b.o_custkey = w.o_custkey AND b.egress = w.ingress)
+      UNION ALL
+      SELECT c.o_custkey, c.root, w.egress, w.score FROM c JOIN won w ON w.o_custkey = c.o_custkey AND w.ingress = c.node),
+    chained AS (SELECT o_custkey, root, count(*) + 1 AS n_nodes, min(score) AS confidence FROM c GROUP BY 1, 2),
+    inside AS (SELECT o_custkey, node FROM c UNION SELECT o_custkey, root FROM c),
+    flagged AS (
+      SELECT o_custkey, node, max(score) AS best
+      FROM (SELECT o_custkey, ingress AS node, best AS score FROM a WHERE best - second <= 150
+            UNION ALL
+            SELECT n.o_custkey, n.egress, n.score
+            FROM g n JOIN g b ON b.o_custkey = n.o_custkey AND b.k = n.k - 1
+            WHERE len(n.settled) > len(b.settled) AND NOT n.taken)
+      GROUP BY 1, 2)
+    SELECT o_custkey, CAST(root AS VARCHAR) AS first_order, 'paired' AS state, n_nodes, CAST(confidence AS BIGINT) AS confidence FROM chained
+    UNION ALL
+    SELECT o.o_custkey, CAST(o.o_orderkey AS VARCHAR), CASE WHEN f.best IS NULL THEN 'unpaired' ELSE 'ambiguous' END, 1, CAST(coalesce(f.best, 0) AS BIGINT)
+    FROM o ANTI JOIN inside i ON i.o_custkey = o.o_custkey AND i.node = o.o_orderkey LEFT JOIN flagged f ON f.o_custkey = o.o_custkey AND f.node = o.o_orderkey
+    """,
+)
 def linked_chains(spark, sf):
     out = linkage.link(order_nodes(spark, sf), ORDER_LINK)
     return out["calls"].select("o_custkey", F.col("root").alias("first_order"), "state", "n_nodes", "confidence")
