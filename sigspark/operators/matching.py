@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.pairing import asof_next
+from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_conf, stage
 
+# Needles sent to every task as one automaton, in bytes; characters of a gram for more of them.
+AUTOMATON_BYTES = 16_000_000
+GRAM = 6
 ANY_ADDRESS = ("0.0.0.0", "::")
 
 
@@ -138,25 +143,69 @@ def match_keys(flows: DataFrame, keys_of_legs: DataFrame, keys: Sequence[str]) -
 
 
 def match_containment(needles: DataFrame, hays: DataFrame, needle: str, hay: str, min_len: int = 1) -> DataFrame:
-    """Distinct (scope, needle, hay) where the needle occurs in the hay, joined by equality.
+    """Distinct (scope, needle, hay) where the needle occurs in the hay. ``needles`` and ``hays`` have a scope column ``capture_id``.
 
-    Every substring of a distinct hay that is as long as some needle of its scope is listed and
-    looked up, so the join key is the whole needle and no common prefix can skew it. ``needles`` and
-    ``hays`` have a scope column ``capture_id``. Hays are ids or host names, short by nature.
+    Needles whose number and bytes were counted to be small go to every task as one automaton (Aho-Corasick), which reads each
+    hay once; nothing is shuffled but the answer. More needles meet the hays by a join on one of their character grams, the one that
+    the fewest hays of the scope have, and are then looked for in full. Hays may be of any length.
     """
-    n = needles.select("capture_id", F.col(needle).alias("_needle")).where(F.length("_needle") >= min_len).distinct()
-    h = hays.select("capture_id", F.col(hay).alias("_hay")).where(F.length("_hay") >= min_len).distinct()
-    lengths = n.select("capture_id", F.length("_needle").alias("_len")).distinct()
-    cuts = h.join(lengths, "capture_id").where(F.col("_len") <= F.length("_hay"))
-    pieces = cuts.select(
-        "capture_id", "_hay",
-        F.explode(F.array_distinct(F.transform(
-            F.sequence(F.lit(1), F.length("_hay") - F.col("_len") + 1), lambda i: F.substring("_hay", i, F.col("_len"))
-        ))).alias("_needle"),
-    )
-    return pieces.join(n, ["capture_id", "_needle"]).select(
-        "capture_id", F.col("_needle").alias(needle), F.col("_hay").alias(hay)
-    )
+    n = needles.select("capture_id", F.col(needle).alias("_needle")).where((F.length("_needle") >= max(min_len, 1)) & F.col("capture_id").isNotNull()).distinct()
+    h = hays.select("capture_id", F.col(hay).alias("_hay")).where((F.length("_hay") >= max(min_len, 1)) & F.col("capture_id").isNotNull()).distinct()
+    n = stage(n, "needles")
+    size = n.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("_needle") + F.octet_length(F.col("capture_id").cast("string"))), F.lit(0)).alias("bytes")).first()
+    small = size.n <= int_conf(n.sparkSession, BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT) and size.bytes <= AUTOMATON_BYTES
+    found = _by_automaton(n, h) if small else _by_rarest_gram(n, h)
+    return found.select("capture_id", F.col("_needle").alias(needle), F.col("_hay").alias(hay))
+
+
+def _by_automaton(n: DataFrame, h: DataFrame) -> DataFrame:
+    scopes: dict[str, set] = {}
+    for r in n.collect():  # counted before
+        scopes.setdefault(r["_needle"], set()).add(r["capture_id"])
+    sent = n.sparkSession.sparkContext.broadcast(scopes)
+    kind = h.schema["capture_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        known = sent.value
+        machine = ahocorasick.Automaton()
+        for word in known:
+            machine.add_word(word, word)
+        if not known:
+            return
+        machine.make_automaton()
+        for batch in batches:
+            row, word = [], []
+            for i, (scope, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                hits = sorted(w for w in {w for _, w in machine.iter(text)} if scope in known[w])
+                row += [i] * len(hits)
+                word += hits
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), pa.array(word, pa.string()), batch.column(1).take(take)], names=["capture_id", "_needle", "_hay"])
+
+    return h.select("capture_id", "_hay").mapInArrow(run, f"capture_id {kind}, _needle string, _hay string")
+
+
+def _by_rarest_gram(n: DataFrame, h: DataFrame) -> DataFrame:
+    def grams(text: str, length: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - length + 1, F.lit(1)))
+        return F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, length))))
+
+    # a needle shorter than a gram is a gram of its own length
+    own = F.least(F.length("_needle"), F.lit(GRAM))
+    lengths = [r[0] for r in n.select(own.alias("len")).distinct().collect()]  # GRAM at most
+    h = stage(h, "hays")
+    parts = [h.where(F.length("_hay") >= k).select("capture_id", "_hay", grams("_hay", F.lit(k)).alias("_gram")) for k in sorted(lengths)]
+    pieces = parts[0]
+    for p in parts[1:]:
+        pieces = pieces.unionByName(p)
+    often = pieces.groupBy("capture_id", "_gram").agg(F.count(F.lit(1)).alias("_often"))
+    asked = n.select("capture_id", "_needle", grams("_needle", own).alias("_gram")).join(often, ["capture_id", "_gram"], "left")
+    # a needle with a gram that no hay has occurs nowhere
+    rare = asked.groupBy("capture_id", "_needle").agg(F.min(F.struct(F.coalesce("_often", F.lit(0)).alias("o"), "_gram")).alias("r")).where("r.o > 0")
+    met = rare.select("capture_id", "_needle", F.col("r._gram").alias("_gram")).join(pieces, ["capture_id", "_gram"])
+    return met.where(F.contains("_hay", "_needle")).select("capture_id", "_needle", "_hay")
 
 
 def names_to_legs(exchanges: DataFrame, messages: DataFrame, leg_messages: DataFrame, name: str = "qname") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigspark.functions.sip import digits
-from sigspark.operators import linkage, pairing
+from sigspark.operators import linkage, matching, pairing
 from sigspark.operators.ordered import epoch_us
 from sigspark.plans.q_time import events
 from sigspark.plans.registry import query
@@ -357,3 +357,25 @@ def silent_after(spark, sf):
     return silent(
         ev.where("event_type = 'signup'"), ev.where("event_type = 'purchase'"), ["user_id"], "ts", "ts", "event_id", "event_id", 86400
     ).select("user_id", "event_id")
+
+
+@query(
+    "contained_phrases",
+    r"""
+    WITH n AS (
+      SELECT DISTINCT lang, array_to_string(w[i + 1:i + 4], ' ') AS phrase
+      FROM (SELECT regexp_extract_all(text, '[A-Za-z]+') AS w, unnest([0, 4, 8]) AS i FROM benchmark), (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)
+      WHERE length(array_to_string(w[i + 1:i + 4], ' ')) >= 12)
+    SELECT DISTINCT n.lang, phrase, md5(text) AS text_md5 FROM n JOIN documents d ON d.lang = n.lang AND contains(d.text, n.phrase)
+    """,
+)
+def contained_phrases(spark, sf):
+    """Phrases of four words from benchmark items that occur in documents of a language."""
+    docs = table(spark, sf, "documents")
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))
+    cut = table(spark, sf, "benchmark").select(words.alias("w")).select(F.explode(F.array(*[F.array_join(F.slice("w", i + 1, 4), " ") for i in (0, 4, 8)])).alias("phrase"))
+    scopes = docs.where("lang IS NOT NULL").select(F.col("lang").alias("capture_id")).distinct()
+    # every phrase is asked in each of the few languages
+    needles = cut.distinct().withColumn("capture_id", F.explode(F.array([F.lit(r[0]) for r in scopes.collect()])))
+    found = matching.match_containment(needles, docs.select(F.col("lang").alias("capture_id"), "text"), "phrase", "text", 12)
+    return found.select(F.col("capture_id").alias("lang"), "phrase", F.md5(F.encode("text", "UTF-8")).alias("text_md5"))
