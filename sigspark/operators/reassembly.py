@@ -11,35 +11,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigspark.operators.chains import lead_present, reached
-from sigspark.plans.slices import Scanner, first_value, lead, row_number, running_max, running_sum
+from sigspark.plans.slices import Scanner, first_value, lag, lead, row_number, running_max, running_sum
 from sigspark.session import stage
 from sigspark.sources.textlog import is_start
 
 
-def reassemble_fragments(df: DataFrame, keys: Sequence[str], off: str = "off", data: str = "data", more: str = "more") -> tuple[DataFrame, DataFrame]:
-    """(datagrams, incomplete): fragments without a hole from 0 to the last, overlaps cut.
-
-    A datagram holds at most 64 KiB, so its fragments fit one row.
+class Datagram:
+    """Fragments of one datagram, in order of arrival. Where parts overlap, the one with the larger offset counts, then the later one."""
+
+    def __init__(self):
+        self.parts: dict[int, bytes] = {}
+        self.end = self.ts = None
+        self.n = self.wire = 0
+
+    def add(self, off: int, data: bytes, more: bool, ts, wire: int) -> None:
+        self.n, self.wire = self.n + 1, self.wire + (wire or 0)
+        self.ts = ts if self.ts is None else min(self.ts, ts)
+        # a part that comes again replaces the beginning of the earlier one
+        self.parts[off] = data + self.parts.get(off, b"")[len(data) :]
+        if not more:
+            self.end = off + len(data)
+
+    def payload(self) -> bytes | None:
+        """The bytes from 0 to the end, None while some are missing."""
+        if self.end is None:
+            return None
+        reach, order = 0, sorted(self.parts)
+        for off in order:
+            if off > reach:
+                break
+            reach = max(reach, off + len(self.parts[off]))
+        if reach < self.end:
+            return None
+        out = bytearray(max(self.end, 0))
+        for off in order:
+            part = self.parts[off][: max(self.end - off, 0)]
+            out[off : off + len(part)] = part
+        return bytes(out)
+
+
+def reassemble_fragments(df: DataFrame, keys: Sequence[str], off: str = "off", data: str = "data", more: str = "more", timeout_s: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """(datagrams, incomplete): fragments of a key put together in order of arrival.
+
+    Ids repeat (16 bits), so a key is many datagrams one after the other: one ends as soon as it is complete, and whatever has come when
+    no fragment follows for ``timeout_s`` is incomplete. Silences are found by a scan, so a key is spread over its busy times; within
+    one, fragments stream through a sorted partition and the state is one datagram.
     """
     keys = list(keys)
-    end = F.col(off) + F.octet_length(data)
-    base = df.withColumn("_end", end).withColumn("_at", F.struct(off, "_end", "ts"))
-    s = Scanner(base, keys, [off, "_end", "ts"]).add(_reach=running_max(F.col("_end"), inclusive=False))
-    reach = F.coalesce("_reach", F.lit(0))
-    rows = s.df.withColumn("_hole", F.col(off) > reach).withColumn("_skip", F.greatest(F.lit(0), reach - F.col(off)))
-    fresh = F.when(F.col("_end") > reach, F.substring(F.col(data), F.col("_skip") + 1, F.octet_length(data)))
-    parts = F.sort_array(F.collect_list(F.when(fresh.isNotNull(), F.struct(F.col(off).alias("o"), fresh.alias("d")))))
-    out = rows.groupBy(*keys).agg(
-        F.min("ts").alias("ts"), F.sum("wire_bytes").alias("wire_bytes"), F.count(F.lit(1)).alias("n_fragments"),
-        F.max(F.col("_hole").cast("int")).alias("_hole"), F.max("_end").alias("size"),
-        F.max(F.when(~F.col(more), F.col("_end"))).alias("_last"), parts.alias("_parts"),
-    )
-    whole = (F.col("_hole") == 0) & (F.col("_last") == F.col("size"))
-    done = out.where(whole).withColumn(
-        "payload", F.aggregate("_parts", F.lit(b""), lambda acc, p: F.concat(acc, p["d"]))
-    )
-    bad = out.where(~whole | F.col("_last").isNull()).select(*keys, "ts", "n_fragments", F.lit("incomplete fragments").alias("warning"))
-    return done.drop("_hole", "_last", "_parts"), bad
+    order = ["n"] if "n" in df.columns else ["ts", off]
+    s = Scanner(df, keys, ["ts", *order[:1], off] if order == ["n"] else order).add(_before=lag(F.col("ts")))
+    silent = F.coalesce(F.unix_micros("ts") - F.unix_micros("_before") > int(timeout_s * 1e6), F.lit(False))
+    s.with_column("_silent", silent.cast("bigint")).add(_time=running_sum(F.col("_silent")))
+    busy = [*keys, "_time"]
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", ts timestamp, wire_bytes bigint, n_fragments bigint, size int, payload binary"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, Datagram()
+        names = [*keys, "ts", "wire_bytes", "n_fragments", "size", "payload"]
+
+        def told(whole):
+            return (*key[:-1], held.ts, held.wire, held.n, held.end if whole is not None else None, whole)
+
+        for batch in batches:
+            out = []
+            columns = [batch[c].tolist() for c in (*busy, off, data, more, "ts", "wire_bytes")]
+            for *own, o, d, m, ts, wire in zip(*columns, strict=True):
+                if own != key:
+                    if held.n:
+                        out.append(told(None))
+                    key, held = own, Datagram()
+                held.add(int(o), d or b"", bool(m), ts, wire)
+                whole = held.payload()
+                if whole is not None:
+                    out.append(told(whole))
+                    held = Datagram()
+            yield pd.DataFrame(out, columns=names).astype({"size": "Int32"})
+        if held.n:
+            yield pd.DataFrame([told(None)], columns=names).astype({"size": "Int32"})
+
+    cols = list(dict.fromkeys([*busy, *order, off, data, more, "ts", "wire_bytes"]))
+    spread = s.df.select(*cols).repartition(*[F.col(k) for k in busy]).sortWithinPartitions(*busy, *order)
+    told = stage(spread.mapInPandas(run, schema), "datagrams")
+    bad = told.where(F.col("payload").isNull()).select(*keys, "ts", "n_fragments", F.lit("incomplete fragments").alias("warning"))
+    return told.where(F.col("payload").isNotNull()), bad
 
 
 def order_stream(df: DataFrame, flow: Sequence[str], seq: Column | None, n: str = "n", data: str = "payload") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sigspark.operators.media import sequence_accounting
-from sigspark.operators.reassembly import frame_stream, order_stream, text_length
+from sigspark.operators.reassembly import frame_stream, order_stream, reassemble_fragments, text_length
 from sigspark.plans.registry import query
 from sigspark.plans.slices import Scanner, lead, running_sum
 from sigspark.session import stage, table
@@ -192,3 +192,29 @@ def sequence_restarts(spark, sf):
     """Sequence accounting under the restart rule; every stream has strays and may restart twice."""
     out = sequence_accounting(packets_of_events(spark, sf), ["stream"], ["i"], "seq")
     return out.select("stream", "packets", "expected", "duplicates", "out_of_order", "resets", "lost")
+
+
+@query(
+    "reassembled_datagrams",
+    r"""
+    WITH t AS (
+      SELECT conv_id, turn, regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', '?', 'g') AS text FROM conversations),
+    f AS (SELECT *, CAST(ceil(length(text) / 64.0) AS BIGINT) AS n FROM t WHERE text != '')
+    SELECT conv_id AS src, turn % 2 AS ip_id, turn * CASE WHEN conv_id % 2 = 0 THEN 1 ELSE 100 END AS at_second, n AS n_fragments, CAST(length(text) AS INTEGER) AS size, md5(text) AS payload_md5
+    FROM f WHERE NOT (conv_id % 2 = 1 AND turn % 5 = 4 AND n > 1)
+    """,
+)
+def reassembled_datagrams(spark, sf):
+    """Turns as datagrams of 64-byte fragments that come last one first; ids repeat within seconds, or some fragments are lost."""
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]", "?")
+    t = table(spark, sf, "conversations").select("conv_id", "turn", plain.alias("text")).where("text != ''")
+    last = F.ceil(F.length("text") / 64).cast("int") - 1
+    cut = t.withColumn("last", last).withColumn("i", F.explode(F.sequence(F.lit(0), "last")))
+    odd = F.col("conv_id") % 2 == 1
+    second = F.col("turn") * F.when(odd, 100).otherwise(1)
+    fragments = cut.where(~(odd & (F.col("turn") % 5 == 4) & (F.col("last") > 0) & (F.col("i") == 0))).select(
+        F.col("conv_id").alias("src"), (F.col("turn") % 2).alias("ip_id"), (F.col("i") * 64).alias("off"), (F.col("i") < F.col("last")).alias("more"),
+        F.encode(F.substr("text", F.col("i") * 64 + 1, F.lit(64)), "ISO-8859-1").alias("data"), F.timestamp_seconds(second + (F.col("last") - F.col("i")) / 1e6).alias("ts"), F.lit(64).alias("wire_bytes"),
+    )
+    whole, _ = reassemble_fragments(fragments, ["src", "ip_id"])
+    return whole.select("src", "ip_id", F.unix_seconds("ts").alias("at_second"), "n_fragments", "size", F.md5("payload").alias("payload_md5"))
