@@ -184,7 +184,9 @@ def parse_messages(df: DataFrame, raw: str = "raw") -> DataFrame:
         .withColumn("body", body_of(F.col(raw)))
         .withColumn("size", F.octet_length(raw).cast("int"))
     )
-    return out.withColumn("sdp", F.when(F.col("body_type") == "application/sdp", parse_sdp(F.col("body"))))
+    described = F.col("body_type").isin("application/sdp") | F.col("body_type").startswith("multipart/")
+    out = out.withColumn("_sdp", F.when(described, sdp_text(F.col("body"), header(hs, "content-type"))))
+    return out.withColumn("sdp", F.when(F.col("_sdp").isNotNull(), parse_sdp(F.col("_sdp")))).drop("_sdp")
 
 
 def _attr(lines: Column, prefix: str) -> Column:
@@ -309,23 +311,74 @@ def explode_sdp(df: DataFrame, keys: list[str], sdp: str = "sdp") -> tuple[DataF
     return media, payloads
 
 
+PART = "struct<path:string,part_type:string,disposition:string,boundary:string,body:string>"
+
+
+def _part(path: Column, head: Column, body: Column) -> Column:
+    """One part from its header block, folded lines taken together."""
+    flat = F.regexp_replace(head, r"\n[ \t]+", " ")
+    value = F.regexp_extract(flat, r"(?im)^content-type[ \t]*:[ \t]*(.*)$", 1)
+    return _let(value, lambda v: F.struct(
+        path.alias("path"), F.lower(F.regexp_extract(v, r"^([^;\s]+)", 1)).alias("part_type"),
+        F.lower(F.regexp_extract(flat, r"(?im)^content-disposition[ \t]*:[ \t]*([^;\s]+)", 1)).alias("disposition"), _boundary(v).alias("boundary"), body.alias("body"),
+    ))
+
+
+def _boundary(content_type: Column) -> Column:
+    quoted = F.regexp_extract(content_type, r'(?i);\s*boundary\s*=\s*"([^"]+)"', 1)
+    return F.when(quoted != "", quoted).otherwise(F.regexp_extract(content_type, r'(?i);\s*boundary\s*=\s*([^;\s"]+)', 1))
+
+
+def _children(p: Column) -> Column:
+    """The parts of a container: what stands between its delimiter lines, up to the closing one."""
+    # \Q..\E takes the boundary literally
+    literal = F.replace(p["boundary"], F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    pieces = F.split(F.concat(F.lit("\n"), p["body"]), F.concat(F.lit("\n--\\Q"), literal, F.lit("\\E(?=--|[ \t]*(?:\n|$))")))
+
+    def inside(all_pieces):
+        closing = F.array_position(F.transform(all_pieces, lambda x: x.startswith("--")), F.lit(True))
+        last = F.when(closing > 0, closing - 1).otherwise(F.size(all_pieces))
+        return F.slice(all_pieces, F.lit(2), F.greatest(last - 1, F.lit(0)).cast("int"))
+
+    def one(piece, i):
+        path = F.concat_ws(".", F.nullif(p["path"], F.lit("")), (i + 1).cast("string"))
+        text = F.regexp_replace(piece, r"^[ \t]*\n", "")
+        gap = F.position(F.lit("\n\n"), text)
+        bare = text.startswith("\n")
+        head = F.when(bare, "").when(gap > 0, F.substr(text, F.lit(1), gap)).otherwise(text)
+        body = F.when(bare, F.substr(text, F.lit(2))).when(gap > 0, F.substr(text, gap + 2)).otherwise("")
+        return _part(path, head, body)
+
+    return F.transform(_let(pieces, inside), one)
+
+
+def body_parts(body: Column, content_type: Column) -> Column:
+    """ARRAY<STRUCT<path,part_type,disposition,boundary,body>>: the parts of a body, containers within containers opened.
+
+    A body that is no container is one part with an empty path; parts of a container are "1", "2", those of the second one "2.1" and
+    so on. Containers are opened level by level, as often as the text names one.
+    """
+    text = F.regexp_replace(F.coalesce(body, F.lit("")), r"\r\n?", "\n")
+    whole = F.array(_part(F.lit(""), F.concat(F.lit("Content-Type: "), F.coalesce(content_type, F.lit(""))), text).cast(PART))
+    box = lambda p: p["part_type"].startswith("multipart/") & (p["boundary"] != "")
+    # no more levels than boundaries are named
+    levels = F.size(F.regexp_extract_all(F.concat(F.coalesce(content_type, F.lit("")), text), F.lit(r"(?i)(boundary)"), F.lit(1)))
+    opened = lambda parts: F.flatten(F.transform(parts, lambda p: F.when(box(p), _children(p).cast(f"array<{PART}>")).otherwise(F.array(p))))
+    return F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), whole, lambda parts, _: opened(parts))).otherwise(whole)
+
+
+def sdp_text(body: Column, content_type: Column) -> Column:
+    """The session description of a body: all of it, or the first such part of a container; null without one."""
+    kind = F.lower(F.trim(F.substring_index(content_type, ";", 1)))
+    inner = F.filter(body_parts(body, content_type), lambda p: p["part_type"] == "application/sdp")
+    return F.when(kind == "application/sdp", body).when(kind.startswith("multipart/"), F.try_element_at(inner, F.lit(1))["body"])
+
+
 def split_parts(df: DataFrame, body: str = "body", content_type: str = "content_type") -> DataFrame:
-    """Multipart bodies to one row per part with its type and disposition."""
-    boundary = F.regexp_extract(content_type, r'(?i)boundary="?([^";]+)"?', 1)
-    text = F.regexp_replace(F.col(body), r"\r\n?", "\n")
-    marker = F.concat(F.lit("\n--"), boundary)
-    # a split pattern must be quoted: \Q..\E takes the boundary literally
-    parts = F.split(F.concat(F.lit("\n"), text), F.concat(F.lit("\\Q"), marker, F.lit("\\E")))
-    out = df.where(boundary != "").select("*", F.posexplode(parts).alias("part_no", "_part"))
-    out = out.where((F.col("part_no") > 0) & ~F.col("_part").startswith("--"))
-    head = F.substring_index(F.regexp_replace("_part", r"^\n", ""), "\n\n", 1)
-    at = F.locate("\n\n", F.col("_part"))
-    return (
-        out.withColumn("part_type", F.lower(F.regexp_extract(head, r"(?im)^content-type\s*:\s*([^;\s]+)", 1)))
-        .withColumn("disposition", F.lower(F.regexp_extract(head, r"(?im)^content-disposition\s*:\s*([^;\s]+)", 1)))
-        .withColumn("part_body", F.when(at > 0, F.substring("_part", at + 2, F.length("_part"))))
-        .drop("_part")
-    )
+    """Container bodies to one row per part with its path, type, disposition and text."""
+    parts = body_parts(F.col(body), F.col(content_type))
+    rows = df.where(_boundary(F.col(content_type)) != "").select("*", F.posexplode(parts).alias("part_no", "_p"))
+    return rows.select("*", F.col("_p.path").alias("part_path"), F.col("_p.part_type").alias("part_type"), F.col("_p.disposition").alias("disposition"), F.col("_p.body").alias("part_body")).drop("_p")
 
 
 def rtp_header(payload: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigspark.functions.sip import body_parts, header, parse_messages
 from sigspark.operators.media import sequence_accounting
 from sigspark.operators.reassembly import frame_stream, order_stream, reassemble_fragments, text_length
 from sigspark.plans.registry import query
@@ -218,3 +219,34 @@ def reassembled_datagrams(spark, sf):
     )
     whole, _ = reassemble_fragments(fragments, ["src", "ip_id"])
     return whole.select("src", "ip_id", F.unix_seconds("ts").alias("at_second"), "n_fragments", "size", F.md5("payload").alias("payload_md5"))
+
+
+@query(
+    "multipart_media",
+    """
+    SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '' WHEN 1 THEN '2' ELSE '2.2' END AS sdp_path, CASE turn % 3 WHEN 0 THEN 1 ELSE 2 + CAST(turn % 3 = 2 AS INT) END AS n_parts,
+           CAST(10000 + turn AS INTEGER) AS port, CASE WHEN conv_id % 2 = 0 THEN 'opus' ELSE 'AMR-WB' END AS codec
+    FROM conversations
+    """,
+)
+def multipart_media(spark, sf):
+    """Media of messages whose session description is the body, a part of it, or a part of a part."""
+    eol = "\r\n"
+    codec = F.when(F.col("conv_id") % 2 == 0, "opus").otherwise("AMR-WB")
+    sdp = F.concat(F.lit(f"v=0{eol}c=IN IP4 192.0.2.1{eol}m=audio "), (F.lit(10_000) + F.col("turn")).cast("string"), F.lit(f" RTP/AVP 96{eol}a=rtpmap:96 "), codec, F.lit(f"/48000{eol}"))
+    part = lambda b, kind, body: F.concat(F.lit(f"--{b}{eol}Content-Type: {kind}{eol}{eol}"), body, F.lit(eol))
+    both = lambda b, x, y: F.concat(x, y, F.lit(f"--{b}--{eol}"))
+    text = part("b1", "text/plain", F.lit("--b1x no delimiter"))
+    flat = both("b1", text, part("b1", "application/sdp", sdp))
+    inner = both("b1x", part("b1x", "application/isup;version=1", F.lit("IAM")), part("b1x", "application/sdp", sdp))
+    nested = both("b1", text, part("b1", f'multipart/mixed;{eol} boundary="b1x"', inner))
+    kind = F.when(F.col("turn") % 3 == 0, "application/sdp").otherwise("multipart/mixed; boundary=b1")
+    body = F.when(F.col("turn") % 3 == 0, sdp).when(F.col("turn") % 3 == 1, flat).otherwise(nested)
+    raw = F.concat(F.lit(f"INVITE sip:a@b SIP/2.0{eol}Call-ID: x{eol}Content-Type: "), kind, F.lit(eol + eol), body)
+    parsed = parse_messages(table(spark, sf, "conversations").select("conv_id", "turn", raw.alias("raw")))
+    parts = body_parts(F.col("body"), header(F.col("headers"), "content-type"))
+    media = F.col("sdp.media")[0]
+    at = F.filter("parts", lambda p: p["part_type"] == "application/sdp")[0]["path"]
+    return parsed.withColumn("parts", parts).select(
+        "conv_id", "turn", at.alias("sdp_path"), F.size("parts").alias("n_parts"), media["port"].alias("port"), media["payloads"][0]["codec"].alias("codec")
+    )

@@ -57,3 +57,22 @@ def test_repeated_ids_give_a_datagram_each(spark):
     finally:
         spark.conf.unset("spark.sigspark.maxGroupRows")
     assert sorted(got, key=repr) == in_order(rows)
+
+
+def test_containers_within_containers(spark):
+    from pyspark.sql import functions as F
+
+    from sigspark.functions import sip
+
+    cases = [
+        ("multipart/mixed;boundary=b", "preamble\r\n--b\r\nContent-Type: a/b;\r\n boundary=no\r\n\r\nx\r\n\r\ny\r\n--b  \r\n\r\nbare\r\n--b--\r\nepilogue\r\n--b\r\nno\r\n"),
+        ('multipart/mixed; boundary="q.+\\E("', "--q.+\\E(\nContent-Disposition: signal\n\n1\n--q.+\\E(x\n\n--q.+\\E(--"),
+        ("multipart/a;boundary=1", "--1\nContent-Type: multipart/b;boundary=2\n\n--2\nContent-Type: multipart/c;boundary=3\n\n--3\nContent-Type: t/deep\n\nd\n--3--\n--2--\n--1\nContent-Type: t/last\n\nz"),
+        ("text/plain", "--b\n"), (None, None), ("multipart/mixed", "--b\n\nx"), ("multipart/mixed;boundary=b", ""),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, b string")
+    got = {r.i: [(p.path, p.part_type, p.disposition, p.body) for p in r.p] for r in df.select("i", sip.body_parts(F.col("b"), F.col("t")).alias("p")).collect()}
+    assert got[0] == [("1", "a/b", "", "x\n\ny"), ("2", "", "", "bare")]
+    assert got[1] == [("1", "", "signal", "1\n--q.+\\E(x\n")]
+    assert got[2] == [("1.1.1", "t/deep", "", "d"), ("2", "t/last", "", "z")]
+    assert got[3] == [("", "text/plain", "", "--b\n")] and got[4] == [("", "", "", "")] and got[5] == [("", "multipart/mixed", "", "--b\n\nx")] and got[6] == []
