@@ -20,7 +20,7 @@ from sigspark.functions.redact import (
 )
 from sigspark.functions.sip import explode_sdp, header, parse_messages
 from sigspark.operators import linkage, manip, media, repeats, rollups, rowdiff
-from sigspark.operators.classify import indicators, run_rules, score_labels
+from sigspark.operators.classify import rank_fixes, indicators, run_rules, score_labels
 from sigspark.operators.dialogs import group_flows, sip_dialogs, transactions
 from sigspark.operators.matching import (
     ice_keys,
@@ -50,6 +50,7 @@ class Capture:
     dtls: DataFrame | None = None
     rules: DataFrame | None = None
     isup: DataFrame | None = None  # capture_id, msg_id, isup
+    fixes: DataFrame | None = None  # rule_id, vendor, fix: what may be done about the advice of a rule
 
 
 def redact(messages: DataFrame, mask_numbers: bool = False) -> DataFrame:
@@ -172,6 +173,11 @@ def analyze(capture: Capture, mask_numbers: bool = False) -> dict[str, DataFrame
     t["scenarios"] = score_labels(facts, ["capture_id"], profile.scenario_tests())
     t["causes"] = fnd.release_causes(messages, capture.q931)
     t["advice"], t["rule_matches"] = run_rules(profile.advice_rules(t))
+    t["vendors"] = profile.vendors(messages)
+    if capture.fixes is not None:
+        # the fixes of every rule that has spoken, those for equipment of the capture first
+        spoken = t["rule_matches"].select("capture_id", "rule_id").distinct()
+        t["fixes"] = rank_fixes(spoken.join(capture.fixes, "rule_id"), t["vendors"])
     t["findings"] = fnd.all_findings(t)
     t["message_severity"] = fnd.message_severity(t)
     t["stats"] = rollups.capture_stats(messages)

@@ -17,6 +17,7 @@ from sigspark.functions.sip import (
     via_host,
 )
 from sigspark.operators.classify import SUBJECTS, Indicator, Rule, Test, with_subjects
+from sigspark.operators.labels import LabelRule, label_texts, rule_table
 from sigspark.operators.linkage import Block, Linkage, Proximity, Signal
 from sigspark.operators.matching import match_containment
 from sigspark.operators.ordered import epoch_us, peak_concurrency
@@ -27,6 +28,24 @@ CAPTURE = ["capture_id"]
 # ---- linkage of call legs ------------------------------------------------------------------------
 
 
+# Words by which equipment names itself in User-Agent and Server, with the name that fixes are filed under.
+VENDOR_RULES = [
+    LabelRule("oracle-acme", "acme", r"acme\s*packet"), LabelRule("oracle-acme", "net-net"), LabelRule("oracle-acme", "oracle"),
+    LabelRule("oracle-acme", "sbc", r"sd\s*sbc"), LabelRule("oracle-acme", "os-e"),
+    LabelRule("audiocodes", "audiocodes"), LabelRule("audiocodes", "mediant"), LabelRule("audiocodes", "mp-1", r"mp-1\d{2}"), LabelRule("audiocodes", "mp-5", r"mp-5\d{2}"),
+    LabelRule("ribbon", "ribbon"), LabelRule("ribbon", "sonus"), LabelRule("ribbon", "sbc", r"sbc\s*[57]\d{3}"), LabelRule("ribbon", "nbs"), LabelRule("ribbon", "sbc", r"sbc\s*swe"),
+    LabelRule("cisco-cube", "cisco", r"cisco-?sipgateway|cisco-?cube|cisco\s*ios"),
+    LabelRule("freeswitch", "freeswitch"),
+    LabelRule("asterisk", "asterisk"), LabelRule("asterisk", "freepbx"),
+]
+
+
+def vendors(messages: DataFrame) -> DataFrame:
+    """(capture_id, vendor): equipment that the messages of a capture name themselves."""
+    said = messages.select("capture_id", F.explode(F.concat(headers(F.col("headers"), "user-agent"), headers(F.col("headers"), "server"))).alias("agent"))
+    return label_texts(said, rule_table(messages.sparkSession, VENDOR_RULES), ["capture_id"], "agent").withColumnRenamed("label", "vendor")
+
+
 def party_keys(user: Column) -> Column:
     """Keys of which two user parts naming one party share at least one."""
     low = F.lower(F.trim(user))

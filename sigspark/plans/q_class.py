@@ -8,6 +8,8 @@ from sigspark.functions.quality import estimate_mos
 from sigspark.operators import classify, manip, media, rollups, rowdiff
 from sigspark.operators.ordered import peak_concurrency
 from sigspark.plans.q_time import events
+from sigspark.operators.labels import label_texts, rule_table
+from sigspark.plans.profile_sip import VENDOR_RULES
 from sigspark.plans.registry import query
 from sigspark.plans.slices import lead, scan, top_per
 from sigspark.session import table
@@ -546,3 +548,27 @@ def top_orders(spark, sf):
     c = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice").join(c, "o_custkey")
     return top_per(o, ["c_mktsegment"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 8).select("c_mktsegment", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "agent_labels",
+    r"""
+    WITH a AS (
+      SELECT DISTINCT s_nationkey AS capture_id,
+             CASE s_suppkey % 11 WHEN 0 THEN 'ACME   Packet 7.' || s_suppkey WHEN 1 THEN 'Acme Corp' WHEN 2 THEN 'Mediant SW/MP-1' || s_suppkey WHEN 3 THEN 'mp-5' || s_suppkey
+                  WHEN 4 THEN 'SBC 5' || s_suppkey WHEN 5 THEN 'sbc swe' WHEN 6 THEN 'Cisco-CUBE' WHEN 7 THEN 'cisco phone' WHEN 8 THEN 'FreePBX on Asterisk' WHEN 9 THEN 'Oracle SD SBC 7123' END AS agent
+      FROM supplier),
+    r(vendor, pattern) AS (VALUES
+      ('oracle-acme', 'acme\s*packet|net-net|oracle|sd\s*sbc|os-e'), ('audiocodes', 'audiocodes|mediant|mp-1\d{2}|mp-5\d{2}'), ('ribbon', 'ribbon|sonus|sbc\s*[57]\d{3}|nbs|sbc\s*swe'),
+      ('cisco-cube', 'cisco-?sipgateway|cisco-?cube|cisco\s*ios'), ('freeswitch', 'freeswitch'), ('asterisk', 'asterisk|freepbx'))
+    SELECT DISTINCT capture_id, vendor FROM a JOIN r ON regexp_matches(lower(agent), pattern)
+    """,
+)
+def agent_labels(spark, sf):
+    """Equipment named by texts made of suppliers, per nation."""
+    number = F.col("s_suppkey")
+    said = [F.concat(F.lit("ACME   Packet 7."), number), F.lit("Acme Corp"), F.concat(F.lit("Mediant SW/MP-1"), number), F.concat(F.lit("mp-5"), number), F.concat(F.lit("SBC 5"), number), F.lit("sbc swe"),
+            F.lit("Cisco-CUBE"), F.lit("cisco phone"), F.lit("FreePBX on Asterisk"), F.lit("Oracle SD SBC 7123"), F.lit(None).cast("string")]
+    agents = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("capture_id"), F.array(*said)[(number % 11).cast("int")].alias("agent"))
+    found = label_texts(agents, rule_table(spark, VENDOR_RULES), ["capture_id"], "agent")
+    return found.select("capture_id", F.col("label").alias("vendor"))

@@ -68,3 +68,17 @@ def test_ten_thousand_pairs_that_depend_on_each_other(spark):
     rival = own.select("g", "ingress", "t", F.format_string("e%06d", F.col("t") + 1).alias("egress"), (F.col("score") - 1).alias("score"))
     accepted, barred = linkage.match_greedy(own.unionByName(rival), ["g"], 0)
     assert accepted.count() == n and barred.count() == 0
+
+
+def test_labels_need_anchor_and_pattern(spark):
+    from sigspark.functions.sip import parse_messages
+    from sigspark.operators.labels import LabelRule, label_texts, rule_table
+    from sigspark.plans import profile_sip
+
+    rules = rule_table(spark, [LabelRule("a", "X-"), LabelRule("a", "zz"), LabelRule("b", "x-", r"x-\d+$"), LabelRule("c", "")])
+    texts = spark.createDataFrame([(1, "ax-7"), (1, "AX-7"), (2, "x-7b zz"), (3, None), (4, "none"), (None, "X-12")], "k int, t string")
+    got = sorted(((r.k, r.label) for r in label_texts(texts, rules, ["k"], "t").collect()), key=repr)
+    assert got == sorted([(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, "b")], key=repr)
+    raw = "OPTIONS sip:a@b SIP/2.0\r\nUser-Agent: FreePBX 15\r\nServer: Oracle SBC\r\n\r\n"
+    parsed = parse_messages(spark.createDataFrame([("c", raw), ("c", raw), ("d", "OPTIONS sip:a@b SIP/2.0\r\n\r\n")], "capture_id string, raw string"))
+    assert sorted((r.capture_id, r.vendor) for r in profile_sip.vendors(parsed).collect()) == [("c", "asterisk"), ("c", "oracle-acme")]
