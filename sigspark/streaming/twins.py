@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 from typing import Any
 
@@ -10,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery, StreamingQueryListener
 
+from sigspark.operators.dialogs import KIND_BY_METHOD
+from sigspark.operators.media import SequenceWindow
+
 
 def event_time(df: DataFrame, ts: str, delay: str) -> DataFrame:
     """Watermarked stream; a time without zone is taken in the session zone."""
@@ -62,10 +66,65 @@ def unanswered_stream(requests: DataFrame, responses: DataFrame, keys: Sequence[
     return q.join(r, cond, "leftOuter").drop(*["_r_" + k for k in keys])
 
 
+class DialogFacts:
+    """What decides about the state of a dialog: earliest and latest times of some kinds of messages.
+
+    All parts are minima, maxima and sums, so facts merge in any order and bracketing, and rows may come in any order. The state is
+    read from them by the rules of ``dialogs.dialog_state``; a stream and a batch over the same rows agree.
+    """
+
+    LEAST, MOST, SUMS = ("first", "ok", "call_fail", "any_ok", "any_fail", "cancel", "invite", "bye"), ("gone", "last"), ("n",)
+
+    def __init__(self, parts: dict | None = None):
+        self.parts = parts or {}
+
+    def _put(self, name: str, value) -> None:
+        old = self.parts.get(name)
+        if value is None or old is None:
+            self.parts[name] = old if value is None else value
+        elif name in self.SUMS:
+            self.parts[name] = old + value
+        else:
+            self.parts[name] = min(old, value) if name in self.LEAST else max(old, value)
+
+    def add(self, us: int, ord_: int, method: str | None, status: int | None, is_request: bool, to_tag: str | None) -> None:
+        at = [us, ord_]
+        self._put("n", 1)
+        self._put("last", us)
+        self._put("first", [*at, is_request, method or "", not to_tag])
+        if is_request:
+            for name, wanted in (("invite", "INVITE"), ("bye", "BYE"), ("cancel", "CANCEL")):
+                if method == wanted:
+                    self._put(name, at)
+        elif status is not None and status >= 200:
+            self._put("any_ok" if status < 300 else "any_fail", [*at, status])
+            if method == "INVITE":
+                self._put("ok" if status < 300 else "call_fail", [*at, status])
+                if status == 487:
+                    self._put("gone", at)
+
+    def merge(self, other: DialogFacts) -> None:
+        for name, value in other.parts.items():
+            self._put(name, value)
+
+    def state(self) -> str:
+        p = self.parts.get
+        _, _, is_request, method, untagged = self.parts["first"]
+        if not (is_request and untagged and KIND_BY_METHOD.get(method) == "call"):
+            return "completed" if p("any_ok") else "failed" if p("any_fail") else "in-progress"
+        if p("ok") and p("bye"):
+            return "completed"
+        if p("cancel") and p("gone") and p("cancel") < p("gone"):
+            return "canceled"
+        if p("ok"):
+            return "answered"
+        return "failed" if p("call_fail") else "no-answer" if p("invite") else "in-progress"
+
+
 class DialogState(StatefulProcessor):
     """Call state per dialog key: emits each change, and 'expired' after an idle time.
 
-    The state is one small row per open dialog; an event-time timer removes it.
+    The state is the facts of one open dialog; an event-time timer removes it.
     """
 
     def __init__(self, idle_ms: int):
@@ -73,104 +132,129 @@ class DialogState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("dialog", "state string, n long, last_ms long, answered boolean, canceled boolean")
+        self.facts = handle.getValueState("dialog", "facts string")
+
+    def _row(self, key: Any, facts: DialogFacts, expired: bool) -> pd.DataFrame:
+        return pd.DataFrame([(str(key[0]), facts.state(), facts.parts["n"], facts.parts["last"] // 1_000, expired)], columns=["dialog", "state", "n", "last_ms", "expired"])
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        old = self.state.get() if self.state.exists() else ("in-progress", 0, 0, False, False)
-        state, n, last, answered, canceled = old
-        frames = [f for f in rows]
-        batch = pd.concat(frames) if frames else pd.DataFrame()
-        if len(batch):
-            batch = batch.sort_values("ts_ms", kind="stable")
-        for method, status, is_request, at in zip(batch["method"], batch["status"], batch["is_request"], batch["ts_ms"], strict=True):
-            n, last = n + 1, max(last, int(at))
-            state, answered, canceled = next_state(state, answered, canceled, method, None if pd.isna(status) else int(status), bool(is_request))
+        facts = DialogFacts(json.loads(self.facts.get()[0]) if self.facts.exists() else None)
+        for frame in rows:
+            for method, status, is_request, us, ord_, to_tag in zip(*(frame[c] for c in ("method", "status", "is_request", "us", "ord", "to_tag")), strict=True):
+                facts.add(int(us), int(ord_), method, None if pd.isna(status) else int(status), bool(is_request), None if pd.isna(to_tag) else to_tag)
         for timer in self.handle.listTimers():
             self.handle.deleteTimer(timer)
-        self.state.update((state, n, last, answered, canceled))
-        self.handle.registerTimer(last + self.idle_ms)
-        yield pd.DataFrame([(str(key[0]), state, n, last, False)], columns=["dialog", "state", "n", "last_ms", "expired"])
+        self.facts.update((json.dumps(facts.parts),))
+        self.handle.registerTimer(facts.parts["last"] // 1_000 + self.idle_ms)
+        yield self._row(key, facts, False)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        state, n, last, *_ = self.state.get()
-        self.state.clear()
-        yield pd.DataFrame([(str(key[0]), state, n, last, True)], columns=["dialog", "state", "n", "last_ms", "expired"])
+        facts = DialogFacts(json.loads(self.facts.get()[0]))
+        self.facts.clear()
+        yield self._row(key, facts, True)
 
     def close(self) -> None:
         pass
 
 
-def next_state(state: str, answered: bool, canceled: bool, method: str, status: int | None, is_request: bool):
-    """One step of the call state machine: the same rules as ``dialog_state`` in batch."""
-    if is_request:
-        if method == "CANCEL":
-            return state, answered, True
-        if method == "BYE" and answered:
-            return "completed", answered, canceled
-        if method == "INVITE" and state == "in-progress":
-            return "no-answer", answered, canceled
-        return state, answered, canceled
-    if method != "INVITE" or status is None or status < 200:
-        return state, answered, canceled
-    if status < 300:
-        return ("answered" if state != "completed" else state), True, canceled
-    if status == 487 and canceled and not answered:
-        return "canceled", answered, canceled
-    return (state if answered or state == "canceled" else "failed"), answered, canceled
-
-
 DIALOG_OUT = "dialog string, state string, n long, last_ms long, expired boolean"
 
 
 def dialog_state_stream(df: DataFrame, key: Column, ts: str, delay: str, idle_s: int) -> DataFrame:
-    """State changes of dialogs; rows need method, status, is_request. Idle dialogs expire."""
+    """State changes of dialogs; rows need method (of responses: that of their CSeq), status, is_request, and may have ord and
+    to_tag. Idle dialogs expire."""
+    may = lambda c, kind: (F.col(c) if c in df.columns else F.lit(None)).cast(kind)
     base = event_time(df, ts, delay).select(
-        key.cast("string").alias("dialog_key"), ts, "method", "status", "is_request", F.unix_millis(ts).alias("ts_ms")
-    )
+        key.cast("string").alias("dialog_key"), ts, "method", "status", "is_request", F.unix_micros(ts).alias("us"),
+        F.coalesce(may("ord", "bigint"), F.lit(0).cast("bigint")).alias("ord"), may("to_tag", "string").alias("to_tag"),
+    )
     return base.groupBy("dialog_key").transformWithStateInPandas(
         statefulProcessor=DialogState(idle_s * 1000), outputStructType=DIALOG_OUT, outputMode="Update", timeMode="EventTime"
     )
 
 
 class StreamCounters(StatefulProcessor):
-    """Loss and jitter of media streams, carried from batch to batch."""
+    """Loss and jitter of media streams by the rules of the batch operators, restarts and repeats included.
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("stream", "packets long, base long, top long, cycles long, jitter double, last_rtp long, last_us long")
+    With ``hold`` packets wait until the watermark has passed them and are then taken in order of time, so the
+    answer does not depend on the micro-batch they came with; a stream idle for ``idle_ms`` is forgotten. Without it packets are taken
+    as they come, in order within a micro-batch, and streams stay.
+    """
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        st = self.state.get() if self.state.exists() else (0, -1, 0, 0, 0.0, 0, 0)
-        packets, base, top, cycles, jitter, last_rtp, last_us = st
-        batch = pd.concat(list(rows)).sort_values("us", kind="stable")
-        for seq, rtp, us, rate in zip(batch["seq"], batch["rtp_ts"], batch["us"], batch["rate"], strict=True):
-            packets += 1
-            if base < 0:
-                base = top = seq
-            else:
-                if 0 < (seq - top) & 0xFFFF < 3000:
-                    cycles += 65536 if seq < top else 0
-                    top = seq
+    def __init__(self, hold: bool, idle_ms: int):
+        self.hold, self.idle_ms = hold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("stream", "run string")
+        if self.hold:
+            self.waiting = handle.getListState("waiting", "us long, seq long, rtp_ts long, rate long")
+
+    def _take(self, key: Any, packets: list[tuple], expired: bool = False) -> pd.DataFrame:
+        window, jitter, last_rtp, last_us = SequenceWindow(), 0.0, 0, 0
+        if self.state.exists():
+            (window.base, window.high, window.follows, window.seen, window.counts), jitter, last_rtp, last_us = json.loads(self.state.get()[0])
+        for us, seq, rtp, rate in sorted(packets):
+            if window.high is not None:
                 step = (rtp - last_rtp + 2**31) % 2**32 - 2**31
                 d = abs((us - last_us) / 1e6 * rate - step)
                 if d <= rate * 10:
                     jitter += (d - jitter) / 16
+            window.take(seq)
             last_rtp, last_us = rtp, us
-        self.state.update(tuple(float(v) if i == 4 else int(v) for i, v in enumerate((packets, base, top, cycles, jitter, last_rtp, last_us))))
-        expected = max(cycles + top - base + 1, packets)
-        yield pd.DataFrame([(str(key[0]), int(packets), int(expected), int(expected - packets), float(jitter))], columns=["stream", "packets", "expected", "lost", "jitter"])
+        self.state.update((json.dumps([[window.base, window.high, window.follows, window.seen, window.counts], jitter, last_rtp, last_us]),))
+        n, span, repeats, late, resets = window.totals()
+        expected = max(span, n - repeats)
+        row = (str(key[0]), n, expected, max(0, expected - (n - repeats)), repeats, late, resets, jitter, expired)
+        return pd.DataFrame([row], columns=["stream", "packets", "expected", "lost", "duplicates", "out_of_order", "resets", "jitter", "expired"])
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        new = [tuple(map(int, r)) for frame in rows for r in zip(*(frame[c] for c in ("us", "seq", "rtp_ts", "rate")), strict=True)]
+        if not self.hold:
+            yield self._take(key, new)
+            return
+        yield from self._release(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key: Any, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        held = [tuple(map(int, r)) for r in self.waiting.get()] + new if self.waiting.exists() else new
+        ready = [p for p in held if p[0] < watermark_ms * 1_000]
+        rest = [p for p in held if p[0] >= watermark_ms * 1_000]
+        self.waiting.clear()
+        if rest:
+            self.waiting.put(rest)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if ready:
+            yield self._take(key, ready)
+        if rest:
+            self.handle.registerTimer(max(p[0] for p in rest) // 1_000 + 1)
+        elif self.state.exists():
+            last_us = json.loads(self.state.get()[0])[3]
+            self.handle.registerTimer(max(last_us // 1_000, watermark_ms) + self.idle_ms)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        if self.waiting.exists():
+            yield from self._release(key, [], timerValues.getCurrentWatermarkInMs())
+        else:
+            yield self._take(key, [], True)
+            self.state.clear()
 
     def close(self) -> None:
         pass
 
 
-STREAM_OUT = "stream string, packets long, expected long, lost long, jitter double"
+STREAM_OUT = "stream string, packets long, expected long, lost long, duplicates long, out_of_order long, resets long, jitter double, expired boolean"
+
 
+def stream_quality_stream(packets: DataFrame, key: Column, ts: str, rate: int = 8000, delay: str | None = None, idle_s: int = 3600) -> DataFrame:
+    """Running packets, expected, lost, repeats, restarts and jitter (clock units) per media stream.
 
-def stream_quality_stream(packets: DataFrame, key: Column, ts: str, rate: int = 8000) -> DataFrame:
-    """Running packets, expected, lost and jitter (clock units) per media stream."""
-    base = packets.select(key.cast("string").alias("stream_key"), "seq", "rtp_ts", F.unix_micros(F.col(ts).cast("timestamp")).alias("us"), F.lit(rate).alias("rate"))
+    ``delay`` is how late a packet may come: they are then put in order before they count.
+    """
+    rows = event_time(packets, ts, delay) if delay else packets.withColumn(ts, F.col(ts).cast("timestamp"))
+    base = rows.select(key.cast("string").alias("stream_key"), *([ts] if delay else []), "seq", "rtp_ts", F.unix_micros(ts).alias("us"), F.lit(rate).alias("rate"))
     return base.groupBy("stream_key").transformWithStateInPandas(
-        statefulProcessor=StreamCounters(), outputStructType=STREAM_OUT, outputMode="Update", timeMode="None"
+        statefulProcessor=StreamCounters(bool(delay), idle_s * 1000), outputStructType=STREAM_OUT, outputMode="Update", timeMode="EventTime" if delay else "None"
     )
 
 
