@@ -17,6 +17,7 @@ gives an empty index; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -31,8 +32,9 @@ from sigspark.llm.common import filesystem, partitions
 
 HAS_ID, WIDE = 1, 2
 # Words whose ids a process remembers; when full, those met once are forgotten, which changes speed alone.
-REMEMBERED_WORDS = 500_000
+REMEMBERED_WORDS = 1_000_000
 MARKS = ".,;:!?)]}\"-_/*"
+PARTED = re.compile(r"(?<=[^\W\d_])([" + re.escape(MARKS) + r"]+)(?= |$)")
 # Texts encoded together.
 TOGETHER = 500
 INDEX = "doc_id long, part int, file string, ordinal long, offset long, length long, n_tokens long, first_token long"
@@ -126,7 +128,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         # names of special tokens keep their case
         low = (t.lower() if t.isascii() and "<|" not in t else t for t in texts)
-        split = [t.replace("\n", " ").split(" ") for t in low]
+        # marks behind a letter are a piece of their own: parted, far fewer words differ
+        split = [PARTED.sub(r" \1", t.replace("\n", " ")).split(" ") for t in low]
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {"": b""} | {w: self.known[w] for w in self.again if w in self.known}
             self.again = set()
