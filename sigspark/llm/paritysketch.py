@@ -13,7 +13,8 @@ asks for; a set joins in its own band and, when a smaller partner may stand in t
    are a family, and of each family every pair whose fine bit sketches are close enough is verified. For components alone
    (``links="joining"``), first each set with the one that stands for most of its parts is verified, in rounds; then, of sets that still share
    parts with another component, the close pairs; links that would join what is joined already are not looked for.
-4. Components of the verified links, by label rounds that are each written to the shared folder.
+4. Components of the verified links: every task leaves a spanning forest of its links; what is left is joined in one task
+   while counted to be small, else by label rounds that are each written to the shared folder.
 
 Equal sets are one node throughout. Sets are compared as 64-bit hashes of shingles.
 
@@ -47,6 +48,11 @@ FINE_BITS = 2_048
 CHUNK_SETS = 4_096
 # The same where all links are asked for: every pair of two chunks may be one.
 ALL_CHUNK_SETS = 1_024
+# Bytes of the compressed texts of a chunk, and of the exact sets that a task keeps while it compares.
+CHUNK_BYTES = 24_000_000
+KNOWN_BYTES = 64_000_000
+# Links that a task turns into a spanning forest at once; a forest of no more is joined in one task.
+FOREST_EDGES = 2_000_000
 
 SIGNED = ["_node", "_n_shingles"]
 
@@ -372,10 +378,17 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
         # rows of each group, so that joining two relabels the smaller one
         rows = [np.flatnonzero(group == g) for g in range(group.max() + 1)]
         known: dict[int, np.ndarray] = {}
+        held = 0
 
         def exact(i: int) -> np.ndarray:
+            nonlocal held
             if i not in known:
-                known[i] = shingles.sets([tool.decompress(data[i])])[0]
+                one = shingles.sets([tool.decompress(data[i])])[0]
+                if held + one.nbytes > KNOWN_BYTES:
+                    # cut again when asked for again
+                    known.clear()
+                    held = 0
+                known[i], held = one, held + one.nbytes
             return known[i]
 
         out = []
@@ -404,7 +417,10 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
 
     sketched = texts.join(members.select("node"), "node", "left_semi").select("node", "data", "n").mapInArrow(fine, "node long, bits binary, data binary, n long")
-    sizes = members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / chunk_sets).cast("int").alias("chunks"))
+    # chunks of a bounded number of sets and bytes
+    weighed = members.select("node", "family").join(texts.select("node", F.octet_length("data").cast("long").alias("bytes")), "node")
+    enough = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("bytes") / CHUNK_BYTES))
+    sizes = weighed.groupBy("family").agg(enough.cast("int").alias("chunks"))
     dealt = sketched.join(members, "node").join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("family", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "bits", "data")
@@ -469,8 +485,60 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, both long")
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and the smallest node each can reach by the links a-b, but for the smallest ones themselves."""
+    ids, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        if np.array_equal(new, label):
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            return ids[moved], ids[label[moved]]
+        label = new
+
+
+def forest(links: DataFrame, edges: int) -> DataFrame:
+    """a, b: links with the same components, of every ``edges`` links of a task one for each node but the smallest of its component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= edges:
+                yield cut(held)
+                held, n = [], 0
+        if n:
+            yield cut(held)
+
+    def cut(held):
+        a, b = (np.concatenate([x.column(i).to_numpy() for x in held]) for i in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in spanning(a, b)], ["a", "b"])
+
+    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
 def components(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable by ``links`` (a, b), for all ``nodes``; every round is written."""
+    """node, comp: the smallest node reachable by ``links`` (a, b), for all ``nodes``, in a written table.
+
+    Every task leaves a spanning forest of its links. Forests counted to be small are joined in one task; larger ones in label
+    rounds, each written.
+    """
+    trees = stage(forest(links, FOREST_EDGES), "forest")
+    if trees.count() <= FOREST_EDGES:
+        low = forest(trees.coalesce(1), FOREST_EDGES).select(F.col("a").alias("node"), F.col("b").alias("low"))
+        return stage(nodes.select("node").join(low, "node", "left").select("node", F.coalesce("low", "node").alias("comp")), "labels")
+    return label_rounds(trees, nodes)
+
+
+def label_rounds(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``components`` for any number of links; every round is written."""
     label = stage(nodes.select("node", F.col("node").alias("comp")), "labels")
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     while True:
