@@ -40,6 +40,8 @@ from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_co
 
 U = np.uint64
 PERCENT = 75
+# A part is met by 56 bits of its hash: fewer bytes to send, and what is met by chance is verified like all else.
+KEY_BITS = U(0xFFFFFFFFFFFFFF00)
 # Parts collected by a task before they are sent on: 8 bytes each, and their set.
 FLUSH = 1_000_000
 ROUNDS = 1
@@ -81,7 +83,7 @@ def parts(hashes: np.ndarray, sizes: np.ndarray, owners: np.ndarray, floors: np.
     # the part's set bits, 2^64 places wide and nearly all zero, are kept as the XOR of their (mixed) positions
     bits = np.bitwise_xor.reduceat(shingles.mix(hashes), at)
     keys = shingles.mix(shingles.mix(bits + band[at] * U(0x9E3779B97F4A7C15)) + part[at])
-    return keys, owners[at]
+    return keys & KEY_BITS, owners[at]
 
 
 def bands(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
