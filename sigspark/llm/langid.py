@@ -35,6 +35,7 @@ SHARPNESS = 40.0
 # Bits per letter by which the best must beat the second best.
 MIN_MARGIN = 0.005
 NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+LETTER = regex.compile(r"\p{L}")
 
 
 def normalise(text: str) -> str:
@@ -75,7 +76,8 @@ class Classifier:
     def judge(self, text: str | None) -> tuple[str, float, float]:
         """Language, score, margin in bits per letter."""
         plain = normalise(text or "")
-        if not plain or not self.names:
+        # marks alone are no letters
+        if not LETTER.search(plain) or not self.names:
             return UND, 0.0, 0.0
         sizes = np.zeros(len(self.names))
         for i in range(0, len(plain), SEGMENT):
