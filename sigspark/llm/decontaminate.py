@@ -40,6 +40,11 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     return cut.groupBy("n", "window").agg(F.collect_set("item_id").alias("items")).withColumn("h", F.xxhash64("window"))
 
 
+def _found_type(benchmark: DataFrame) -> str:
+    """Hit windows of a row, with item ids of whatever type they have."""
+    return f"array<struct<pos:int,n:int,items:array<{benchmark.schema['item_id'].dataType.simpleString()}>>>"
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_words, found (array of pos, n, items; one per hit window)."""
     known = windows(benchmark, size)
@@ -51,7 +56,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcas
     text = F.col("text")
     base = docs.select("doc_id", F.xxhash64("text", F.octet_length(text)).alias("text_hash"), words(text).alias("w"))
     if not lengths:
-        return base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(None).cast("array<struct<pos:int,n:int,items:array<bigint>>>").alias("found"))
+        return base.select("doc_id", "text_hash", F.size("w").alias("n_words"), F.lit(None).cast(_found_type(benchmark)).alias("found"))
     k = len(lengths)
     # place -1 stands for the row itself and survives without a hit; place i is word i div k with the length i mod k
     places = base.select("doc_id", "text_hash", "w", F.size("w").alias("n_words"), F.explode(F.sequence(F.lit(-1), F.size("w") * k - 1)).alias("i"))
@@ -84,7 +89,7 @@ def covered(found: Column) -> Column:
 def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     per = hits(docs, benchmark, size, max_broadcast)
-    found = F.coalesce("found", F.array().cast("array<struct<pos:int,n:int,items:array<bigint>>>"))
+    found = F.coalesce("found", F.array().cast(_found_type(benchmark)))
     items = F.array_sort(F.transform(F.array_distinct(F.flatten(F.transform(found, lambda x: x["items"]))), lambda i: i.cast("string")))
     out = per.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered(found).alias("n_hit"), items.alias("items"))
     return out.select(
