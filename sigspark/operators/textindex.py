@@ -82,7 +82,8 @@ def headed_sections(pages: DataFrame, row: str, text: str, atx: bool = True) ->
     made = numbered.groupBy(row, "no").agg(names.alias("names"), F.regexp_replace(text_of, r"^\s+|\s+$", "").alias("body"))
     made = made.where(F.col("body") != "")
     last_two = F.slice("names", F.greatest(F.lit(1), F.size("names") - 1), F.lit(2))
-    made = made.select(row, "no", F.when(F.size("names") > 0, F.array_join(last_two, " > ")).alias("heading"), "body")
+    # read twice below
+    made = stage(made.select(row, "no", F.when(F.size("names") > 0, F.array_join(last_two, " > ")).alias("heading"), "body"), "sections")
     bare = pages.select(row, F.regexp_replace(text, r"^\s+|\s+$", "").alias("body")).where(F.col("body") != "").join(made.select(row), row, "left_anti")
     both = made.unionByName(bare.select(row, F.lit(0).cast("long").alias("no"), F.lit(None).cast("string").alias("heading"), "body"))
     return both.select(row, (F.row_number().over(Window.partitionBy(row).orderBy("no")) - 1).alias("section"), "heading", "body")
@@ -116,8 +117,8 @@ def sections(pages: DataFrame, doc_id: str, text: str = "text", page: str | None
     ``doc_id`` and ``page`` name a page. The lines of a page meet in one task, pages spread over the cluster.
     """
     keys = [doc_id] + ([page] if page else [])
-    # rows with the same keys are pages of their own: the text and a running number tell them apart
-    rows = pages.select(F.struct(*keys, F.xxhash64(text).alias("_hash"), F.monotonically_increasing_id().alias("_row")).alias("_page"), F.col(text).alias("_text"))
+    # rows with the same keys are pages of their own: a running number tells them apart, written once so that all readers see the same
+    rows = stage(pages.select(F.struct(*keys, F.monotonically_increasing_id().alias("_row")).alias("_page"), F.col(text).alias("_text")), "pages")
     cut = chunks(headed_sections(rows, "_page", "_text", atx), ["_page", "section"])
     number = F.row_number().over(Window.partitionBy("_page").orderBy("section", "part")) - 1
     return cut.withColumn("chunk", number).select(*[F.col("_page")[k].alias(k) for k in keys], "section", "chunk", "heading", "body")
