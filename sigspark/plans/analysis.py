@@ -79,6 +79,12 @@ def mask_legs(legs: DataFrame) -> DataFrame:
     return out
 
 
+def with_row_id(rows: DataFrame, named: list[str], name: str) -> DataFrame:
+    """``rows`` written once with a ``row_id`` of their own, equal packets too: a hash of ``named`` and a running number."""
+    key = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in named]))
+    return stage(rows.withColumn("row_id", F.concat_ws("-", key, F.monotonically_increasing_id().cast("string"))), name)
+
+
 def _empty(spark: SparkSession, ddl: str) -> DataFrame:
     return spark.createDataFrame([], ddl)
 
@@ -178,7 +184,8 @@ def analyze(capture: Capture, mask_numbers: bool = False) -> dict[str, DataFrame
         # the fixes of every rule that has spoken, those for equipment of the capture first
         spoken = t["rule_matches"].select("capture_id", "rule_id").distinct()
         t["fixes"] = rank_fixes(spoken.join(capture.fixes, "rule_id"), t["vendors"])
-    t["findings"] = fnd.all_findings(t)
+    t["findings"] = stage(fnd.all_findings(t), "findings")
+    t["finding_refs"] = fnd.finding_refs(t)
     t["message_severity"] = fnd.message_severity(t)
     t["stats"] = rollups.capture_stats(messages)
     if capture.rules is not None:
@@ -198,7 +205,7 @@ def _aux(capture: Capture, t, spark, messages, leg_messages, legs, call_legs, sd
         r = F.col("is_response")
         d = capture.dns.withColumn("client", F.when(r, F.col("dst")).otherwise(F.col("src"))).withColumn("cport", F.when(r, F.col("dport")).otherwise(F.col("sport")))
         d = d.withColumn("server", F.when(r, F.col("src")).otherwise(F.col("dst"))).withColumn("vport", F.when(r, F.col("sport")).otherwise(F.col("dport")))
-        d = d.withColumn("row_id", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("capture_id", "ts", "src", "sport", "txid", "is_response", "qname")])))
+        d = with_row_id(d, ["capture_id", "ts", "src", "sport", "txid", "is_response", "qname"], "dns-rows")
         last = capture.dns.select("capture_id", "ts").unionByName(messages.select("capture_id", "ts")).groupBy("capture_id").agg(F.max("ts").alias("capture_end"))
         t["dns"], t["dns_orphans"] = pair_named(d, flow, ~F.col("is_response"), "ts", "row_id", "qname", capture_end=last)
         t["dns"] = stage(t["dns"], "dns")
@@ -212,7 +219,7 @@ def _aux(capture: Capture, t, spark, messages, leg_messages, legs, call_legs, sd
         q = F.col("is_request")
         d = capture.diameter.withColumn("client", F.when(q, F.col("src")).otherwise(F.col("dst"))).withColumn("cport", F.when(q, F.col("sport")).otherwise(F.col("dport")))
         d = d.withColumn("server", F.when(q, F.col("dst")).otherwise(F.col("src"))).withColumn("vport", F.when(q, F.col("dport")).otherwise(F.col("sport")))
-        d = d.withColumn("row_id", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in ("capture_id", "ts", "src", "sport", "hop_by_hop", "is_request", "command")])))
+        d = with_row_id(d, ["capture_id", "ts", "src", "sport", "hop_by_hop", "is_request", "command"], "diameter-rows")
         ex, _ = pair_fifo(d, ["capture_id", "hop_by_hop", "command", "app_id", "client", "cport", "server", "vport"], q, "ts", "row_id", capture_end=ends)
         ex = ex.withColumnRenamed("command", "request_command")
         sip = leg_messages.select("capture_id", "leg_id", fnd.icid(header(F.col("headers"), "p-charging-vector")).alias("icid")).where(F.col("icid").isNotNull()).distinct()

@@ -118,14 +118,57 @@ def all_findings(t: dict[str, DataFrame]) -> DataFrame:
     return number_rows(ranked, ["capture_id"], ["rank", "category", "title", "subject"], "f", "finding_id").drop("rank")
 
 
-# Findings whose subject is a call; the subject of all others may be a leg.
-ABOUT_CALLS = ["diff", "correlation"]
+# Titles of findings by what their subject names.
+ABOUT_CALLS = ["ambiguous correlation, no guess made"]
+ABOUT_LEGS = ["policy request refused while the call failed", "policy request refused next to a failing call"]
+ABOUT_NAMES = ["lookup never answered", "slow lookup", "lookup failed"]
+ABOUT_CHECKS = ["no connectivity check succeeded", "connectivity checks succeeded"]
+ABOUT_POLICY, ABOUT_HANDSHAKES = "policy exchange tied to the call", "media handshake stalled"
+
+
+def finding_refs(t: dict[str, DataFrame]) -> DataFrame:
+    """(capture_id, finding_id, kind, id): the legs (kind ``leg``) and calls (``call``) that each finding is about.
+
+    A subject that is a name, a pair of addresses, a charging id or a pair of legs is led back to legs by the tables
+    that tied it to them. A finding about the whole capture has no row.
+    """
+    f = t["findings"].select("capture_id", "finding_id", "category", "title", "subject")
+    out = ["capture_id", "finding_id"]
+
+    def refs(rows: DataFrame, kind: str, ref: str) -> DataFrame:
+        return rows.select(*out, F.lit(kind).alias("kind"), F.col(ref).cast("string").alias("id"))
+
+    def by_subject(rows: DataFrame, links: DataFrame, subject: Column) -> DataFrame:
+        ties = links.select("capture_id", subject.cast("string").alias("subject"), "leg_id").where("leg_id IS NOT NULL").distinct()
+        return refs(rows.join(ties, ["capture_id", "subject"]), "leg", "leg_id")
+
+    legs = t["legs"].select("capture_id", F.col("leg_id").alias("subject"))
+    media = f.where(F.col("category") == "media")
+    named = f.where(F.col("category").isin("retransmission", "media") | F.col("title").isin(ABOUT_LEGS))
+    pairs = t["pair_signals"].select("capture_id", F.concat_ws("-", "ingress", "egress").alias("pair"), F.explode(F.array("ingress", "egress")).alias("leg_id"))
+    parts = [
+        refs(f.where((F.col("category") == "diff") | F.col("title").isin(ABOUT_CALLS)), "call", "subject"),
+        # what is no leg is a pair of addresses or a count
+        refs(named.join(legs, ["capture_id", "subject"], "left_semi"), "leg", "subject"),
+        by_subject(f.where((F.col("category") == "correlation") & ~F.col("title").isin(ABOUT_CALLS)), pairs, F.col("pair")),
+    ]
+    if "stream_legs" in t:
+        parts.append(by_subject(media, t["stream_legs"], F.concat_ws("-", "src", "dst")))
+    if "dns_legs" in t:
+        parts.append(by_subject(f.where(F.col("title").isin(ABOUT_NAMES)), t["dns_legs"], F.col("request_qname")))
+    if "diameter_legs" in t:
+        parts.append(by_subject(f.where(F.col("title") == ABOUT_POLICY), t["diameter_legs"], F.col("icid")))
+    if "check_legs" in t:
+        parts.append(by_subject(f.where(F.col("title") == ABOUT_HANDSHAKES), t["check_legs"], F.col("pair")))
+        tied = t["check_legs"].select("capture_id", "leg_id").distinct()
+        parts.append(refs(f.where(F.col("title").isin(ABOUT_CHECKS)).join(tied, "capture_id"), "leg", "leg_id"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def message_severity(t: dict[str, DataFrame]) -> DataFrame:
     """Gravest severity per message: findings about its leg or call, every match of the rules filling the gaps."""
-    about_call = F.col("category").isin(ABOUT_CALLS)
-    found = t["findings"].select("capture_id", F.when(~about_call, F.col("subject")).alias("leg_id"), F.when(about_call, F.col("subject")).alias("call_no"), "severity", F.lit("finding").alias("source"))
+    found = t["finding_refs"].join(t["findings"].select("capture_id", "finding_id", "severity"), ["capture_id", "finding_id"])
+    found = found.select("capture_id", *[F.when(F.col("kind") == k, F.col("id")).alias(c) for k, c in (("leg", "leg_id"), ("call", "call_no"))], "severity", F.lit("finding").alias("source"))
     advised = t["rule_matches"].select("capture_id", "leg_id", "call_no", "severity", F.lit("advice").alias("source"))
     both = found.unionByName(advised)
     calls = t["call_legs"].select("capture_id", F.col("call_no").cast("string").alias("call_no"), "leg_id")
