@@ -4,6 +4,7 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from sigspark.plans import registry
 from sigspark.session import stage, stage_dir
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
@@ -20,9 +21,9 @@ def test_query_equals_sql(spark, con, sf, name):
     assert error is None, error
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_query_runs(spark, sf, name):
-    assert QUERIES[name](spark, sf).count() >= 0
+def test_every_query_of_the_library_has_sql():
+    # the corpus queries without SQL have brute-force tests beside them
+    assert not set(registry.QUERIES) - set(registry.SQL)
 
 
 def test_entry(spark):
