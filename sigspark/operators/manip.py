@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sigspark.functions.net import ips_in
 from sigspark.functions.sip import canonical
-from sigspark.plans.slices import top_per
+from sigspark.plans.slices import join_null_safe, top_per
+from sigspark.session import stage
 
 # Change tags a header rule can cause.
 MANIP_TAGS = [
@@ -83,26 +84,33 @@ def rules_vs_changes(rules: DataFrame, items: DataFrame, call: str = "call_no",
     """Three verdicts: observed-as-configured, configured-not-observed, observed-not-configured.
 
     ``rules``: rule_id, header, expected ARRAY<tag>. ``items``: tag, header (null when not about one)
-    and the call. An equi-join on the tag; changes are grouped by (tag, header) before it, so the
-    join sees as many rows as there are kinds of change, not changes.
+    and the call. Calls with the same kinds of change (tag, header) are counted together, and rules that
+    expect the same are answered together, so the changes are read once and joined with no rule: the
+    joins see kinds of calls and kinds of rules.
     """
-    kinds = items.groupBy("tag", "header").agg(F.count(F.lit(1)).alias("n_items"))
+    per_call = items.groupBy(call).agg(F.sort_array(F.collect_set(F.struct("tag", "header"))).alias("kinds"))
+    profiles = per_call.groupBy("kinds").agg(F.count(call).alias("n_calls"))
+    # the running number must be the same for all readers
+    profiles = stage(profiles.withColumn("profile", F.monotonically_increasing_id()), "call-profiles")
+    members = profiles.select("profile", "n_calls", F.explode("kinds").alias("k")).select("profile", "n_calls", "k.*")
+    kinds = members.groupBy("tag", "header").agg(F.sum("n_calls").alias("n_calls"))
     wanted = rules.select("rule_id", F.lower("header").alias("rule_header"), F.explode("expected").alias("tag"))
+    wanted = wanted.groupBy("rule_id").agg(F.sort_array(F.collect_set(F.struct("tag", "rule_header"))).alias("want"))
+    wants = wanted.select("want").distinct().select("want", F.explode("want").alias("w")).select("want", "w.*")
     fits = F.col("header").isNull() | (F.col("header") == F.col("rule_header"))
-    hits = wanted.join(kinds, "tag").where(fits)
-    explained = hits.select("rule_id", "tag", "header")
-    seen = explained.join(items.select("tag", F.col("header").alias("_h"), call), "tag").where(F.col("header").eqNullSafe(F.col("_h")))
-    per_rule = seen.groupBy("rule_id").agg(
-        F.countDistinct(call).alias("n_calls"), F.sort_array(F.collect_set("tag")).alias("tags")
+    explained = wants.join(kinds.drop("n_calls"), "tag").where(fits).select("want", "tag", "header").distinct()
+    # a call counts once, however many of its changes are expected
+    seen = join_null_safe(explained, members, ["tag", "header"], "inner").groupBy("want", "profile", "n_calls").agg(F.collect_set("tag").alias("tags"))
+    per_want = seen.groupBy("want").agg(
+        F.sum("n_calls").alias("n_calls"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("tags")))).alias("tags")
     )
+    per_rule = wanted.join(per_want, "want")
     observed = per_rule.select(F.col("rule_id"), F.lit("observed-as-configured").alias("verdict"), "n_calls", F.array_join("tags", ",").alias("tags"), F.lit(None).cast("string").alias("header"))
     missing = rules.select("rule_id").join(per_rule.select("rule_id"), "rule_id", "left_anti").select(
         "rule_id", F.lit("configured-not-observed").alias("verdict"), F.lit(0).cast("bigint").alias("n_calls"), F.lit("").alias("tags"), F.lit(None).cast("string").alias("header")
     )
-    claimed = explained.select("tag", F.col("header").alias("_h")).distinct()
-    left = items.where(F.col("tag").isin(list(tags)))
-    left = left.join(claimed.withColumnRenamed("tag", "_t"), (F.col("tag") == F.col("_t")) & F.col("header").eqNullSafe(F.col("_h")), "left_anti")
-    rest = left.groupBy("tag", "header").agg(F.countDistinct(call).alias("n_calls")).select(
+    left = join_null_safe(kinds.where(F.col("tag").isin(list(tags))), explained.select("tag", "header").distinct(), ["tag", "header"], "left_anti")
+    rest = left.select(
         F.lit(None).cast("string").alias("rule_id"), F.lit("observed-not-configured").alias("verdict"), "n_calls", F.col("tag").alias("tags"), "header"
     )
     return observed.unionByName(missing).unionByName(rest)
