@@ -131,27 +131,37 @@ def write_conflicts(rules: DataFrame) -> DataFrame:
 
     Instead of comparing rules pairwise, each rule enters the groups in which others look for it
     (message type or any, each method or any, adds and the rest apart), each group keeps its two
-    first rules, and a rule looks into the groups it overlaps. Linear in rules times methods.
+    first rules, and a rule looks into the groups it overlaps. Rules that agree in target, type,
+    methods and adding enter and look alike, so they do both once: only their two first rules
+    enter, and what they find is shared. Linear in rules plus kinds of rules times methods.
     """
     r = rules.where(F.col("operation").isin(WRITE_OPS)).select(
         "rule_id", "set_name", "ord", "operation", canonical(F.col("target_header")).alias("h"),
         F.coalesce("target_element", F.lit("")).alias("el"), F.coalesce("msg_type", F.lit("any")).alias("ty"),
-        F.coalesce("methods", F.array().cast("array<string>")).alias("ms"),
-    )
+        F.coalesce("methods", F.array().cast("array<string>")).alias("ms"), (F.col("operation") == "add").alias("adds"),
+    ).where(F.col("set_name").isNotNull() & F.col("h").isNotNull())
+    alike = ["set_name", "h", "el", "ty", "ms", "adds"]
+    # one copy of the rules' own rows, and no sort of their copies: read again below
+    firsts = stage(_two_first(r.select(*alike, "ord", "rule_id", "operation").distinct(), alike), "rule-kinds")
     some = F.size("ms") > 0
     offered = (
-        r.withColumn("ty_k", F.explode(F.array(F.concat(F.lit("="), F.col("ty")), F.lit("*"))))
+        firsts.select(*alike, F.explode(F.array_compact(F.array("a", "b"))).alias("o")).select(*alike, "o.*")
+        .withColumn("ty_k", F.explode(F.array(F.concat(F.lit("="), F.col("ty")), F.lit("*"))))
         .withColumn("m_k", F.explode(F.concat(F.when(some, F.transform("ms", lambda m: F.concat(F.lit("="), m))).otherwise(F.array(F.lit("=any"))), F.array(F.lit("*")))))
-        .withColumn("add_k", F.explode(F.array(F.when(F.col("operation") == "add", "add").otherwise("other"), F.lit("*"))))
+        .withColumn("add_k", F.explode(F.array(F.when(F.col("adds"), "add").otherwise("other"), F.lit("*"))))
     )
     keys = ["set_name", "h", "el", "ty_k", "m_k", "add_k"]
     heads = _two_first(offered.select(*keys, "ord", "rule_id", "operation").distinct(), keys)
     looks = (
-        r.withColumn("ty_k", F.explode(F.when(F.col("ty") == "any", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), F.col("ty")), F.lit("=any")))))
+        firsts.select(*alike)
+        .withColumn("ty_k", F.explode(F.when(F.col("ty") == "any", F.array(F.lit("*"))).otherwise(F.array(F.concat(F.lit("="), F.col("ty")), F.lit("=any")))))
         .withColumn("m_k", F.explode(F.when(some, F.concat(F.transform("ms", lambda m: F.concat(F.lit("="), m)), F.array(F.lit("=any")))).otherwise(F.array(F.lit("*")))))
-        .withColumn("add_k", F.when(F.col("operation") == "add", "other").otherwise("*"))
+        .withColumn("add_k", F.when(F.col("adds"), "other").otherwise("*"))
     )
-    met = looks.join(heads, keys).withColumn("o", F.when(F.col("a.rule_id") != F.col("rule_id"), F.col("a")).otherwise(F.col("b")))
+    # at most two heads per method of the rule and two more
+    found = looks.join(heads, keys).groupBy(*alike).agg(F.collect_set(F.struct("a", "b")).alias("heads"))
+    other = F.transform("heads", lambda x: F.when(x["a"]["rule_id"] != F.col("rule_id"), x["a"]).otherwise(x["b"]))
+    met = r.join(found, alike).select("set_name", "rule_id", "ord", "operation", F.array_min(other).alias("o"))
     first = met.where(F.col("o").isNotNull()).groupBy("set_name", "rule_id", "ord", "operation").agg(F.min("o").alias("o"))
     return first.select(
         "set_name", "rule_id", F.lit("write-conflict").alias("kind"), F.col("o.rule_id").alias("other_id"),

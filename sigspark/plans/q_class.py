@@ -12,7 +12,7 @@ from sigspark.operators.labels import label_texts, rule_table
 from sigspark.plans.profile_sip import VENDOR_RULES
 from sigspark.plans.registry import query
 from sigspark.plans.slices import lead, scan, top_per
-from sigspark.session import table
+from sigspark.session import spread, table
 
 # ---- diff of adjacent order lines -----------------------------------------------------------------
 
@@ -115,7 +115,7 @@ RULE_SQL = """
 
 def part_rules(spark, sf):
     """Parts read as header rules: brand and name are the set, type the header, size the rest."""
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     size = F.col("p_size")
     methods = F.when(size % 5 == 0, F.array().cast("array<string>")).when(size % 5 < 3, F.array(F.lit("INVITE"), F.lit("BYE"))).otherwise(F.array(F.lit("REGISTER"), F.lit("BYE")))
     return p.select(

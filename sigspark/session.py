@@ -46,13 +46,14 @@ def int_conf(spark: SparkSession, key: str, default: int) -> int:
     return int(spark.conf.get(key, str(default)))
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """The rows of a file scan over all cores, when the files are so few that some cores would stay idle.
 
     For work that is heavy per row, such as cutting texts; only for scans, whose partitions are known without running them.
+    Rows are dealt by ``keys`` where given, which takes no memory; else in turn, for which a task sorts its rows.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def stage_dir(spark: SparkSession) -> str:

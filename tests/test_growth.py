@@ -51,3 +51,37 @@ def test_changes_are_joined_with_no_rule(spark):
     out = manip.rules_vs_changes(rules, counted).collect()
     assert {(r.verdict, r.n_calls) for r in out} == {("observed-as-configured", 5_000)} and len(out) == 200
     assert reads.value == 5_000
+
+
+RULE = "rule_id string, set_name string, ord long, operation string, target_header string, target_element string, msg_type string, methods array<string>"
+
+
+def test_conflicts_of_rules_equal_comparing_all(spark):
+    rng = random.Random(5)
+    rules = [
+        (f"r{i}", rng.choice(["s1", "s2", None]), rng.randrange(30), rng.choice(["add", "add", "delete", "modify", "store"]), rng.choice(["To", "f"]), rng.choice([None, "uri"]),
+         rng.choice(["any", "request", "response", None]), rng.choice([None, [], ["A"], ["A", "B"], ["B", "C"], ["A", "A"]])) for i in range(120)
+    ]
+    got = manip.write_conflicts(spark.createDataFrame(rules, RULE)).select("set_name", "rule_id", "other_id", "severity", "other_wins").collect()
+    want = []
+    for a in rules:
+        met = []
+        for b in rules:
+            types = a[6] in ("any", None) or b[6] in ("any", None) or a[6] == b[6]
+            methods = not a[7] or not b[7] or set(a[7]) & set(b[7])
+            if a[0] != b[0] and a[1] and a[1] == b[1] and a[4:5] + ((a[5] or ""),) == b[4:5] + ((b[5] or ""),) and "store" not in (a[3], b[3]) and (a[3], b[3]) != ("add", "add") and types and methods:
+                met.append((b[2], b[0], b[3]))
+        if met:
+            o = min(met)
+            want.append((a[1], a[0], o[1], "warn" if "delete" in (a[3], o[2]) else "notice", o[0] > a[2]))
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 30
+
+
+def test_rules_alike_enter_once(spark, monkeypatch):
+    rules = spark.range(900).selectExpr("cast(id as string) rule_id", "'s' set_name", "id ord", "'modify' operation", "'To' target_header", "null target_element", "'request' msg_type", "array('A', 'B') methods")
+    rows, two_first = [], manip._two_first
+    monkeypatch.setattr(manip, "_two_first", lambda df, keys: rows.append(df.count()) or two_first(df, keys))
+    out = manip.write_conflicts(rules).collect()
+    assert len(out) == 900 and {r.other_id for r in out} == {"0", "1"}
+    # each rule once, and then the two first of them in 12 groups
+    assert rows == [900, 24]
