@@ -12,16 +12,18 @@ done between *classes* of equal records:
    and the number of later members say all that ranking and the ambiguity test need. They come from
    an ordered scan over the members of both classes.
 
-So a group of copies, however large, costs its own rows and not its pairs.
+So a group of copies, however large, costs its own rows and not its pairs. Scopes of few records (counted,
+``SCOPE_RECORDS``) need neither blocks nor scans: their records are brought together once and compared there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.operators.ordered import epoch_us
@@ -33,6 +35,9 @@ MARGIN = 150
 # Scored pairs of one scope that a single task may match.
 MATCH_PAIRS_CONF = "spark.sigspark.maxMatchPairs"
 MATCH_PAIRS = 500_000
+# Records of one scope that are compared pair by pair where the scope lies.
+SCOPE_RECORDS_CONF = "spark.sigspark.maxScopeRecords"
+SCOPE_RECORDS = 64
 SEPARATOR, ABSENT = "\u0001", "\u0002"
 
 
@@ -87,7 +92,7 @@ def with_classes(nodes: DataFrame, link: Linkage) -> DataFrame:
     text = F.concat_ws(SEPARATOR, *[F.coalesce(F.col(c).cast("string"), F.lit(ABSENT)) for c in link.attributes])
     classed = nodes.select(
         *link.scope, "node_id", epoch_us(F.col("start_ts")).alias("t"), F.col("ord").cast("string").alias("ord"),
-        attrs.alias("a"), F.md5(text).alias("cls"),
+        attrs.alias("a"), F.unhex(F.md5(text)).alias("cls"),
     )
     return stage(classed, "linkage-nodes")  # read half a dozen times from here on
 
@@ -177,8 +182,75 @@ def candidates(nodes: DataFrame, link: Linkage, pairs: DataFrame | None = None)
 
     Rows: scope, node_id, t, ord, l_cls, r_cls, base, n, best_id, best, second_id, second.
     """
+    scope = list(link.scope)
+    if pairs is not None:
+        return stage(_candidates_by_class(nodes, link, pairs), "candidates")
+    n_large, _, large = hot_keys(nodes, scope, int_conf(nodes.sparkSession, SCOPE_RECORDS_CONF, SCOPE_RECORDS))
+    if not n_large:
+        return stage(_candidates_in_scope(nodes, link), "candidates")
+    large = stage(large, "large-scopes")
+    rest = stage(join_null_safe(nodes, large, scope, "left_semi"), "large-scopes")
+    out = _candidates_in_scope(join_null_safe(nodes, large, scope, "left_anti"), link).unionByName(_candidates_by_class(rest, link, class_pairs(rest, link)))
+    return stage(out, "candidates")
+
+
+def _blocked(link: Linkage, left: Column, right: Column, lt: Column, rt: Column, arrays: Sequence[str]) -> Column:
+    """True when two records share a key of a block, as ``_block_keys`` makes them."""
+    found, w = F.lit(False), link.proximity.window_us
+    for block in link.blocks:
+        same = F.lit(True)
+        for c in block.columns:
+            same = same & F.coalesce(F.arrays_overlap(left[c], right[c]) if c in arrays else left[c] == right[c], F.lit(False))
+        if block.near:
+            at, then = F.floor(lt / w), F.floor(rt / w)
+            same = same & (at.eqNullSafe(then) | (at + 1).eqNullSafe(then))
+        if block.right_if is not None:
+            same = same & F.coalesce(block.right_if(right), F.lit(False))
+        found = found | same
+    return found
+
+
+def _within(link: Linkage, base: Column, t: Column, et: Column) -> Column:
+    """Whether an egress at ``et`` counts: one that needs time points does up to the distance that still reaches the threshold."""
+    p, w = link.proximity.points, link.proximity.window_us
+    reach = F.least(F.lit(w - 1), F.floor((p - (link.threshold - base) + 0.5) * w / p).cast("bigint"))
+    # as structs, nulls come first, as in the order of a scan
+    return (base >= link.threshold) | ~(F.struct(et) > F.struct(t + reach))
+
+
+def _candidates_in_scope(nodes: DataFrame, link: Linkage) -> DataFrame:
+    """``candidates`` for scopes of few records: all steps after the one shuffle by scope stay where the scope lies."""
+    scope = list(link.scope)
+    arrays = [f.name for f in nodes.schema["a"].dataType.fields if f.dataType.typeName() == "array"]
+    near = nodes.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in scope], F.lit(True))).repartition(*scope)
+    # of a record that comes twice in its class, the last one asks
+    last = Window.partitionBy(*scope, "cls", "node_id").orderBy(F.col("t").desc(), F.col("ord").desc())
+    record = F.struct("t", "ord", "node_id", "cls", "a", (F.row_number().over(last) == 1).alias("asks"))
+    records = near.select(*scope, record.alias("r")).groupBy(*scope).agg(F.collect_list("r").alias("rs"))
+    both = records.select(*scope, "rs", F.explode("rs").alias("l")).where("l.asks").select(*scope, "l", F.explode("rs").alias("r"))
+    l, r = F.col("l"), F.col("r")
+    both = both.withColumn("base", score(link, l["a"], r["a"])).where(F.col("base") + link.proximity.points >= link.threshold)
+    later = F.struct(r["t"], r["ord"]) > F.struct(l["t"], l["ord"])
+    met = both.select(
+        *scope, l["cls"].alias("l_cls"), r["cls"].alias("r_cls"), "base", l["node_id"].alias("node_id"), l["t"].alias("t"), l["ord"].alias("ord"),
+        F.struct(r["t"].alias("t"), r["ord"].alias("ord"), r["node_id"].alias("id")).alias("e"),
+        (later & _within(link, F.col("base"), l["t"], r["t"])).alias("counts"), _blocked(link, l["a"], r["a"], l["t"], r["t"], arrays).alias("hit"),
+    )
+    # classes meet as soon as one pair of their members shares a block
+    met = met.withColumn("hit", F.max("hit").over(Window.partitionBy(*scope, "l_cls", "r_cls"))).where(F.col("hit") & F.col("counts"))
+    out = met.groupBy(*scope, "l_cls", "r_cls", "base", "node_id", "t", "ord").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    best, second = F.get("es", F.lit(0)), F.get("es", F.lit(1))
+    return out.select(
+        *scope, "l_cls", "r_cls", "base", "node_id", "t", "ord", F.size("es").cast("bigint").alias("n"),
+        best["id"].alias("best_id"), _near_points(link, F.col("base"), best["t"] - F.col("t")).alias("best"),
+        second["id"].alias("second_id"), F.when(F.size("es") > 1, _near_points(link, F.col("base"), second["t"] - F.col("t"))).alias("second"),
+    )
+
+
+def _candidates_by_class(nodes: DataFrame, link: Linkage, pairs: DataFrame) -> DataFrame:
+    """``candidates`` for scopes of any size."""
     # read by the count of group sizes and by both sides of the scan: worth one write each
-    pairs = stage(class_pairs(nodes, link) if pairs is None else pairs, "class-pairs")
+    pairs = stage(pairs, "class-pairs")
     scope, p, w = list(link.scope), link.proximity.points, link.proximity.window_us
     rel = [*scope, "l_cls", "r_cls"]
     slim = nodes.select(*scope, "node_id", "t", "ord", "cls")
@@ -215,7 +287,7 @@ def candidates(nodes: DataFrame, link: Linkage, pairs: DataFrame | None = None)
     ).where(F.col("n") > 0)
     two = F.col("n") >= 2
     out = out.withColumn("second_id", F.when(two, F.col("second_id"))).withColumn("second", F.when(two, F.col("second")))
-    return stage(out, "candidates")
+    return out
 
 
 def rank_candidates(cand: DataFrame, link: Linkage) -> DataFrame:
@@ -416,9 +488,9 @@ def build_calls(nodes: DataFrame, accepted: DataFrame, contended: DataFrame, amb
 
 def pair_candidates(pairs: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Scored pairs (scope, ingress, t, ord, egress, score) in the form of ``candidates``."""
-    none = F.lit(None).cast("string")
+    none, no_class = F.lit(None).cast("string"), F.lit(None).cast("binary")
     return pairs.select(
-        *scope, none.alias("l_cls"), none.alias("r_cls"), F.col("score").alias("base"), F.col("ingress").alias("node_id"), "t", "ord",
+        *scope, no_class.alias("l_cls"), no_class.alias("r_cls"), F.col("score").alias("base"), F.col("ingress").alias("node_id"), "t", "ord",
         F.lit(1).cast("bigint").alias("n"), F.col("egress").alias("best_id"), F.col("score").alias("best"),
         none.alias("second_id"), F.lit(None).cast("bigint").alias("second"),
     )

@@ -85,3 +85,37 @@ def test_rules_alike_enter_once(spark, monkeypatch):
     assert len(out) == 900 and {r.other_id for r in out} == {"0", "1"}
     # each rule once, and then the two first of them in 12 groups
     assert rows == [900, 24]
+
+
+def test_small_scopes_are_compared_in_place_with_the_same_candidates(spark, monkeypatch):
+    from sigspark.operators import linkage
+
+    rng = random.Random(11)
+    rows = []
+    for scope in [*range(30), None]:
+        for i in range(90 if scope == 4 else rng.randint(1, 14)):
+            t = rng.choice([None, *[rng.randrange(0, 400) for _ in range(12)]])
+            rows.append((scope, f"n{i}", t, f"{rng.randrange(90):03d}", rng.choice("abc"), rng.choice("xy"), rng.choice([None, "p", "q"]), rng.choice([None, [], ["u"], ["u", "v"], ["w"]])))
+    rows += rng.sample(rows, 25)  # rows that come twice
+    nodes = spark.createDataFrame(rows, "g int, node_id string, s long, ord string, p string, q string, r string, ids array<string>")
+    nodes = nodes.withColumn("start_ts", F.timestamp_seconds("s")).drop("s")
+    same = lambda c: lambda a, b: a[c] == b[c]
+    spec = linkage.Linkage(
+        scope=("g",), attributes=("p", "q", "r", "ids"),
+        signals=(linkage.Signal("p", 450, same("p")), linkage.Signal("q", 300, same("q")), linkage.Signal("r", 100, same("r")), linkage.Signal("ids", 520, lambda a, b: F.arrays_overlap(a["ids"], b["ids"]))),
+        blocks=(linkage.Block(("p", "q"), right_if=lambda a: a["r"] == "p"), linkage.Block(("p",), near=True), linkage.Block(("ids",)), linkage.Block(("q", "r"), near=True)),
+        proximity=linkage.Proximity(150, 60_000_000),
+    )
+    calls, by_class = [], linkage._candidates_by_class
+    monkeypatch.setattr(linkage, "_candidates_by_class", lambda n, *a: calls.append({r.g for r in n.select("g").distinct().collect()}) or by_class(n, *a))
+    classed = linkage.with_classes(nodes, spec)
+    found = {}
+    for limit in ("0", "64"):
+        spark.conf.set("spark.sigspark.maxScopeRecords", limit)
+        try:
+            found[limit] = sorted(map(tuple, linkage.candidates(classed, spec).collect()), key=repr)
+        finally:
+            spark.conf.unset("spark.sigspark.maxScopeRecords")
+    assert found["0"] == found["64"] and len(found["0"]) > 200
+    # only the large scope goes through blocks and classes
+    assert calls[1] == {4}
