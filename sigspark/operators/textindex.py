@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sigspark.plans.slices import top_per
-from sigspark.session import stage
+from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_conf, stage
 
 # Words too common to tell passages apart: articles, pronouns, auxiliaries, prepositions, conjunctions.
 STOPWORDS = (
@@ -161,26 +161,32 @@ def bm25(index: dict[str, DataFrame], queries: DataFrame, query_id: str, text: C
     """The ``k`` best chunks of each query: (query, key, score, rank).
 
     Postings are joined with the query terms and summed per (query, chunk): common terms cost their
-    postings once per query that uses them, and AQE splits a term that is too long for one task.
+    postings once per query that uses them. Few query terms (counted) go to the chunks, whose postings are
+    shuffled once; else AQE splits a term that is too long for one task.
     """
     key = list(chunk_key)
-    q = query_terms(queries, query_id, text).join(index["df"], "term")  # unknown terms do not count
-    nq = q.groupBy(query_id).agg(F.count(F.lit(1)).alias("nq"))
+    q = query_terms(queries, query_id, text).where(F.col(query_id).isNotNull()).join(index["df"], "term")  # unknown terms do not count
     n = index["totals"].select("n").scalar()
     avgdl = index["totals"].select("avgdl").scalar()
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    q = q.withColumn("idf", idf)
-    hits = index["postings"].join(q, "term").join(index["lengths"], key)
+    # the number of its terms goes with each term of a query, so that no sum has to be shuffled to its query for it
+    q = stage(q.withColumn("idf", idf).withColumn("nq", F.count(F.lit(1)).over(Window.partitionBy(query_id))), "query-terms")
+    few = q.count() <= int_conf(q.sparkSession, BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT)
+    # dealt by chunk, so that its length and the sums of all queries need no further shuffle; a bounded (counted) table of terms comes to it
+    if few:
+        postings = index["postings"].dropna(subset=key).repartition(*key).withColumn("dl", F.sum("tf").over(Window.partitionBy(*key)))
+    else:
+        postings = index["postings"].join(index["lengths"], key)
+    hits = postings.join(F.broadcast(q) if few else q, "term")
     norm = K1 * (1 - B + B * (F.greatest("dl", F.lit(1)) / avgdl))
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + norm)
-    sums = hits.groupBy(query_id, *key).agg(F.sum(part).alias("raw"), F.sum("in_heading").alias("in_heading"))
-    sums = sums.join(nq, query_id)
+    sums = hits.groupBy(query_id, *key).agg(F.sum(part).alias("raw"), F.sum("in_heading").alias("in_heading"), F.max("nq").alias("nq"))
     score = F.col("raw") * (1 + HEADING_BOOST * F.col("in_heading") / F.col("nq"))
     # nine decimals: copies of one text tie whatever the order their terms were added in
     scored = sums.select(query_id, *key, F.round(score, 9).alias("_score")).where(F.col("_score") > 0)
     top = top_per(scored, [query_id], [F.col("_score").desc(), *[F.col(c) for c in key]], k)
-    best = top.where(F.col("rank") == 1).select(query_id, F.col("_score").alias("_best"))
-    kept = top.join(best, query_id).where(F.col("_score") >= F.col("_best") * min_ratio)
+    # k rows of a query are left to be read
+    kept = top.withColumn("_best", F.max("_score").over(Window.partitionBy(query_id))).where(F.col("_score") >= F.col("_best") * min_ratio)
     return kept.select(query_id, *key, F.round("_score", 4).alias("score"), "rank")
 
 
