@@ -76,12 +76,23 @@ def diff_sets(a: Column, b: Column) -> Column:
     return F.struct(removed.alias("removed"), added.alias("added"), (F.size(added) == 0).alias("subset"))
 
 
-def group_items(items: DataFrame, keys: Sequence[str], call: str, evidence: str, cap: int) -> DataFrame:
-    """Items per tag, label and values: distinct calls, rows, and up to ``cap`` sample ids (display)."""
-    group = [*keys, "tag", "label", "ingress_value", "egress_value"]
-    total = items.groupBy(*group).agg(F.countDistinct(call).alias("n_calls"), F.count(F.lit(1)).alias("n_items"))
+# Items that one task keeps apart by call while it counts them.
+ITEMS_PER_TASK = 500_000
+
+
+def group_items(items: DataFrame, keys: Sequence[str], call: str, evidence: str, cap: int, about: int | None = None) -> DataFrame:
+    """Items per tag, label and values: distinct calls, rows, and up to ``cap`` sample ids (display).
+
+    ``about`` how many items there are at most, where the caller knows it; else they are counted. It decides balance only.
+    """
     from sigspark.plans.slices import join_null_safe, top_per
 
+    group = [*keys, "tag", "label", "ingress_value", "egress_value"]
+    # few bytes are many items: the parts in which they are kept apart by call go by their count, not by their bytes
+    about = items.count() if about is None else about
+    parts = max(items.sparkSession.sparkContext.defaultParallelism, -(-about // ITEMS_PER_TASK))
+    apart = items.select(*dict.fromkeys([*group, call])).repartition(parts, *dict.fromkeys([*group, call]))
+    total = apart.groupBy(*group).agg(F.countDistinct(call).alias("n_calls"), F.count(F.lit(1)).alias("n_items"))
     ids = top_per(items.select(*group, evidence).distinct(), group, [F.col(evidence)], cap)
     ids = ids.groupBy(*group).agg(F.sort_array(F.collect_list(evidence)).alias("sample"))
     return join_null_safe(total, ids, group)

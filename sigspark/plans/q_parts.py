@@ -8,7 +8,7 @@ from sigspark.functions.redact import mask_uris
 from sigspark.functions.sip import digits, rtp_header, same_party, transaction_key
 from sigspark.operators import rowdiff
 from sigspark.operators.dialogs import group_dialogs
-from sigspark.plans.q_class import LINE_SQL, line_items
+from sigspark.plans.q_class import LINE_COMPARATORS, LINE_SQL, line_items
 from sigspark.plans.q_time import events
 from sigspark.plans.registry import query
 from sigspark.session import table
@@ -136,7 +136,9 @@ def transaction_keys(spark, sf):
 )
 def item_groups(spark, sf):
     """Changes between the lines of orders, grouped by what changed into what, with three line numbers as samples."""
-    return rowdiff.group_items(line_items(spark, sf).withColumns({"label": F.col("tag"), "ingress_value": F.col("ingress"), "egress_value": F.col("egress")}), ["severity"], "l_orderkey", "l_linenumber", 3).drop("label")
+    items = line_items(spark, sf).withColumns({"label": F.col("tag"), "ingress_value": F.col("ingress"), "egress_value": F.col("egress")})
+    most = table(spark, sf, "lineitem").count() * len(LINE_COMPARATORS)
+    return rowdiff.group_items(items, ["severity"], "l_orderkey", "l_linenumber", 3, most).drop("label")
 
 
 @query(

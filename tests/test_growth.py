@@ -119,3 +119,47 @@ def test_small_scopes_are_compared_in_place_with_the_same_candidates(spark, monk
     assert found["0"] == found["64"] and len(found["0"]) > 200
     # only the large scope goes through blocks and classes
     assert calls[1] == {4}
+
+
+def test_items_are_kept_apart_in_parts_by_their_count(spark, monkeypatch):
+    from sigspark.operators import rowdiff
+
+    rng = random.Random(2)
+    rows = [("s", rng.choice(["t", "u"]), "l", rng.choice(["a", None]), rng.choice(["b", "c"]), rng.choice([*range(9), None]), rng.choice([*range(5), None])) for _ in range(300)]
+    items = spark.createDataFrame(rows, "severity string, tag string, label string, ingress_value string, egress_value string, call int, line int")
+    monkeypatch.setattr(rowdiff, "ITEMS_PER_TASK", 7)
+    out = rowdiff.group_items(items, ["severity"], "call", "line", 3)
+    key = lambda r: (r[0], r[1], r[3], r[4])
+    want = {}
+    for r in rows:
+        calls, lines, n = want.setdefault(key(r), (set(), set(), []))
+        n.append(1), calls.add(r[5]), lines.add(r[6])
+    for g in out.collect():
+        calls, lines, n = want.pop((g.severity, g.tag, g.ingress_value, g.egress_value))
+        first = sorted(lines, key=lambda x: (x is not None, x))[:3]
+        assert (g.n_calls, g.n_items, g["sample"]) == (len(calls - {None}), len(n), [x for x in first if x is not None])
+    assert not want
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "43" in [w for line in plan.splitlines() if "RepartitionByExpression" in line for w in line.replace(",", " ").split()]
+
+
+def test_query_terms_come_to_chunks_with_the_same_scores(spark):
+    from sigspark.operators import textindex
+
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "rho", "tau", "pi"]) for _ in range(n))
+    texts = spark.createDataFrame([(i, say(rng.randint(0, 30)), say(2)) for i in [*range(40), 3, 7]], "id int, body string, heading string")
+    asked = spark.createDataFrame([(f"q{i}", say(3)) for i in range(12)] + [("q3", "alpha tau"), ("none", "zz"), (None, "pi")], "q string, text string")
+    index = textindex.build_index(texts, ["id"], F.col("body"), F.col("heading"))
+    got = {}
+    for rows in ("200000", "3"):
+        spark.conf.set("spark.sigspark.maxBroadcastRows", rows)
+        try:
+            hits = textindex.bm25(index, asked, "q", F.col("text"), ["id"])
+            got[rows] = sorted(map(tuple, hits.collect()))
+            plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sigspark.maxBroadcastRows")
+        # the sums of a query are not joined with its number of terms
+        assert plan.count("Join") == (1 if rows == "200000" else 2)
+    assert got["3"] == got["200000"] and {r[0] for r in got["3"]} == {f"q{i}" for i in range(12)}
