@@ -38,6 +38,8 @@ MATCH_PAIRS = 500_000
 # Records of one scope that are compared pair by pair where the scope lies.
 SCOPE_RECORDS_CONF = "spark.sigspark.maxScopeRecords"
 SCOPE_RECORDS = 64
+# Records that a task holds while it compares those of small scopes.
+TASK_RECORDS = 250_000
 SEPARATOR, ABSENT = "\u0001", "\u0002"
 
 
@@ -222,7 +224,9 @@ def _candidates_in_scope(nodes: DataFrame, link: Linkage) -> DataFrame:
     """``candidates`` for scopes of few records: all steps after the one shuffle by scope stay where the scope lies."""
     scope = list(link.scope)
     arrays = [f.name for f in nodes.schema["a"].dataType.fields if f.dataType.typeName() == "array"]
-    near = nodes.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in scope], F.lit(True))).repartition(*scope)
+    # parts by their count (told by the written table), not by their few bytes
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, -(-nodes.count() // TASK_RECORDS))
+    near = nodes.where(reduce(Column.__and__, [F.col(c).isNotNull() for c in scope], F.lit(True))).repartition(parts, *scope)
     # of a record that comes twice in its class, the last one asks
     last = Window.partitionBy(*scope, "cls", "node_id").orderBy(F.col("t").desc(), F.col("ord").desc())
     record = F.struct("t", "ord", "node_id", "cls", "a", (F.row_number().over(last) == 1).alias("asks"))
