@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,10 +34,16 @@ from sigspark.llm.common import filesystem, partitions
 HAS_ID, WIDE = 1, 2
 # Words whose ids a process remembers; when full, those met once are forgotten, which changes speed alone.
 REMEMBERED_WORDS = 1_000_000
-MARKS = ".,;:!?)]}\"-_/*"
-PARTED = re.compile(r"(?<=[^\W\d_])([" + re.escape(MARKS) + r"]+)(?= |$)")
-# Texts encoded together.
-TOGETHER = 500
+# ASCII marks but for the apostrophe, which may begin a piece with letters, and those of special tokens' names.
+MARKS = ".,;:!?)(]}[{\"-_/*$%&#@+=~^`\\"
+# Letters whose normal or lower form ends in what is none, so that a mark behind them is of the same piece.
+NO_END = "\u0130\u0958-\u095f\u09dc-\u09df\u0a33-\u0a5e\u0b5c\u0b5d\u0f43-\u0f69\ufb1d-\ufb4e"
+# The mark comes first, so that the search goes by it; what stands before it is looked at then.
+PARTED = re.compile(r"([" + re.escape(MARKS) + r"](?<=[^\W\d_" + NO_END + r"].)[" + re.escape(MARKS) + r"]*)(?= |$)")
+# Characters beyond those whose lower case is one character and which no normalisation joins or changes.
+UNSAFE = re.compile("[^\\x00-\\u012f\\u0131-\\u024f\\u2000-\\u206f\\u20ac]")
+# Characters of the texts encoded together; a longer text is encoded alone.
+TOGETHER = 4_000_000
 INDEX = "doc_id long, part int, file string, ordinal long, offset long, length long, n_tokens long, first_token long"
 RECORDS = "doc_id long, part int, ordinal long, n_tokens long, first_token long, ids_crc32 long"
 
@@ -90,56 +97,78 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.dtype = dtype
-        self.known: dict[str, bytes] = {"": b""}
-        self.again: set[str] = set()  # words met in more than one call since the memory was last thinned out
         # ids that end a word, by the mark that the vocabulary gives them
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _encode_all(self, words: list[str]) -> None:
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = np.array(got.ids, self.dtype).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        # letters and the marks behind them are two pieces to the pre-tokenizer: encode each once
-        ended = {w: bare for w in words if w[-1] in MARKS and (bare := w.rstrip(MARKS)).isalpha()}
-        plain = {w for w in words if w.isalpha()} | {bare for bare in ended.values() if bare not in self.known}
-        marks = {w[len(bare) :] for w, bare in ended.items()}
-        self._encode_all([*(w for w in words if w not in ended and w not in plain), *(m for m in marks if m not in self.known)])
-        many = list(plain)
-        for at in range(0, len(many), 5_000):
-            some = many[at : at + 5_000]
-            # words of letters in one go, told apart by the ids that end a word
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(some) and cut[-1] == len(ids):
-                data, width = ids.tobytes(), ids.itemsize
-                start = 0
-                for word, end in zip(some, (cut * width).tolist(), strict=True):
-                    self.known[word] = data[start:end]
-                    start = end
-            else:
-                self._encode_all(some)
-        for w, bare in ended.items():
-            self.known[w] = self.known[bare] + self.known[w[len(bare) :]]
+        # words by number; the ids of word i are ids[bounds[i] : bounds[i + 1]]; the first is the empty word
+        self.numbers: dict[str, int] = {"": 0}
+        self.ids = np.zeros(0, dtype)
+        self.bounds = np.zeros(2, np.int64)
+        self.again = np.ones(1, bool)  # words met in more than one call since the memory was last thinned out
+
+    def _encode_each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, number of ids of each)"""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for ids in got for i in ids], self.ids.dtype), np.array([len(ids) for ids in got], np.int64)
+
+    def _encode_letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters, in one go, told apart by the ids that end a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.ids.dtype)
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(words) and cut[-1] == len(ids):
+            return ids, np.diff(cut, prepend=0)
+        return self._encode_each(words)
+
+    def _learn(self, words: list[str]) -> None:
+        letters, other = [], []
+        for w in words:
+            (letters if w.isalpha() else other).append(w)
+        found = [self._encode_letters(letters[at : at + 5_000]) for at in range(0, len(letters), 5_000)]
+        found.append(self._encode_each(other))
+        ids, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        self.numbers.update(zip([*letters, *other], range(len(self.numbers), len(self.numbers) + len(words)), strict=True))
+        self.ids = np.concatenate((self.ids, ids))
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(sizes)))
+        self.again = np.concatenate((self.again, np.zeros(len(words), bool)))
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in a row, where each word's ids end)"""
+        start = self.bounds[words]
+        size = self.bounds[words + 1] - start
+        end = np.cumsum(size)
+        return self.ids[np.repeat(start - end + size, size) + np.arange(size.sum())], end
+
+    def _forget(self) -> None:
+        """Keeps the words met again alone."""
+        self.again[0] = True
+        kept = np.flatnonzero(self.again)
+        words = list(self.numbers)  # in the order of their numbers
+        self.numbers = {words[i]: n for n, i in enumerate(kept.tolist())}
+        self.ids, end = self._gather(kept)
+        self.bounds = np.concatenate((np.zeros(1, np.int64), end))
+        self.again = np.zeros(len(kept), bool)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         # names of special tokens keep their case
-        low = (t.lower() if t.isascii() and "<|" not in t else t for t in texts)
+        low = (t if "<|" in t or not t.isascii() and UNSAFE.search(t) else t.lower() for t in texts)
         # marks behind a letter are a piece of their own: parted, far fewer words differ
-        split = [PARTED.sub(r" \1", t.replace("\n", " ")).split(" ") for t in low]
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""} | {w: self.known[w] for w in self.again if w in self.known}
-            self.again = set()
-        seen = set().union(*split)
-        fresh = {w for w in seen if w not in self.known}
-        self.again |= seen - fresh
-        if fresh:
-            self._learn(fresh)
-        known = self.known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        split = pc.split_pattern(pa.array([PARTED.sub(r" \1", t.replace("\n", " ")) for t in low], pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.numbers) > REMEMBERED_WORDS:
+            self._forget()
+        number = np.array([self.numbers.get(w, -1) for w in words], np.int64)
+        fresh = number < 0
+        self.again[number[~fresh]] = True
+        if fresh.any():
+            new = [words[i] for i in np.flatnonzero(fresh).tolist()]
+            self._learn(new)
+            number[fresh] = [self.numbers[w] for w in new]
+        ids, end = self._gather(number[coded.indices.to_numpy()])
+        cut = (np.concatenate((np.zeros(1, np.int64), end))[split.offsets.to_numpy()] * ids.itemsize).tolist()
+        data = ids.tobytes()
+        return [data[a:b] for a, b in zip(cut, cut[1:], strict=False)]
 
 
 class WholeEncoder:
@@ -179,6 +208,18 @@ def splits_words(tokenizer_json: str) -> bool:
     return cuts and {n.get("type") for n in norms} <= {"NFC", "Replace", "Lowercase"} and any(n.get("type") == "Lowercase" for n in norms)
 
 
+def together(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of texts in a row that have ``most`` characters or are one text."""
+    first = size = 0
+    for i, text in enumerate(texts):
+        if i > first and size + len(text) > most:
+            yield first, i
+            first, size = i, 0
+        size += len(text)
+    if texts:
+        yield first, len(texts)
+
+
 def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 1, n_files: int | None = None) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files under ``folder``, ascending by doc_id; returns the index, also kept there.
 
@@ -209,10 +250,9 @@ def write(docs: DataFrame, tokenizer_file: str, folder: str, end_id: int = 1, n_
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(draft)
             rows = []
-            for at in range(0, batch.num_rows, TOGETHER):
-                some = batch.slice(at, TOGETHER)
-                encoded = encoder.encode([t or "" for t in some.column(1).to_pylist()])
-                for doc_id, text_ids in zip(some.column(0).to_pylist(), encoded, strict=True):
+            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            for at, to in together(texts, TOGETHER):
+                for doc_id, text_ids in zip(doc_ids[at:to], encoder.encode(texts[at:to]), strict=True):
                     ids = text_ids + end
                     record = frame(pack(doc_id, ids, wide))
                     out.write(record)

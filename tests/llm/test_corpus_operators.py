@@ -316,6 +316,45 @@ def test_words_encode_like_whole_texts(spark, sf):
     assert tokenfile.WordEncoder(model, "<u2").encode(texts) == tokenfile.WholeEncoder(model, "<u2").encode(texts)
 
 
+def test_words_that_differ_by_case_or_marks_are_encoded_once():
+    model = open(TOKENIZER, encoding="utf-8").read()
+    encoder, asked = tokenfile.WordEncoder(model, "<u2"), []
+
+    class Listening:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(w for t in texts for w in t.split(" "))
+            return self.tokenizer.encode_batch_fast(texts, **options)
+
+    encoder.tokenizer = Listening(encoder.tokenizer)
+    texts = ["ciudád Ciudád CIUDÁD ciudád$$$ ciudád&&& ciudád.%%%", "", "ŝtono $$$ Ŝtono&&&"]
+    whole = tokenfile.WholeEncoder(model, "<u2")
+    assert encoder.encode(texts) == whole.encode(texts)
+    assert sorted(asked) == sorted(["ciudád", "$$$", "&&&", ".%%%", "ŝtono"])
+    assert encoder.encode(texts[::-1]) == whole.encode(texts[::-1]) and len(asked) == 5
+
+
+def test_marks_and_cases_of_all_letters_encode_like_whole_texts(monkeypatch):
+    model = open(TOKENIZER, encoding="utf-8").read()
+    characters = [chr(c) for c in [*range(0x20, 0x300), *range(0x2000, 0x2070), 0x20AC, 0x2126, 0x212A, 0x2160, 0x958, 0x9DF, 0xA36, 0xFB1D]]
+    texts = [f"{c}a B{c} É{c}, x{c}y {c}" for c in characters] + [f"wörd{a}{b} Wörd{a}{b}s wörd{a}{b}" for a in "'<|>.$`\\" for b in "'<|>.$`\\s"]
+    whole = tokenfile.WholeEncoder(model, "<u2").encode(texts)
+    assert tokenfile.WordEncoder(model, "<u2").encode(texts) == whole
+    # words are forgotten and met again
+    monkeypatch.setattr(tokenfile, "REMEMBERED_WORDS", 50)
+    encoder = tokenfile.WordEncoder(model, "<u2")
+    for _ in range(2):
+        assert [x for a, b in tokenfile.together(texts, 300) for x in encoder.encode(texts[a:b])] == whole
+    assert len(encoder.numbers) < len(texts)
+
+
+def test_texts_are_taken_together_up_to_a_size():
+    assert list(tokenfile.together(["aa", "b", "cccc", "", "d"], 3)) == [(0, 2), (2, 3), (3, 5)]
+    assert list(tokenfile.together([], 3)) == [] and list(tokenfile.together([""], 3)) == [(0, 1)]
+
+
 def test_damaged_records_are_refused():
     good = tokenfile.frame(tokenfile.pack(7, np.array([1, 2], "<u2").tobytes(), False))
     assert tokenfile.unpack(tokenfile.unframe(good))[1].tolist() == [1, 2]
