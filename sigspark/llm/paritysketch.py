@@ -3,7 +3,8 @@
 A set is XOR-hashed into a bit sketch of wide parts: every shingle flips one bit of one part, and a part is kept as the XOR of
 its set bits' positions. Two sketches differ in at most as many bits as the sets have elements in their symmetric
 difference, which a Jaccard similarity of t limits to (1-t)/(1+t) of the summed sizes, d. So at most d parts differ, and of a set's non-zero parts at least (number - d) are found
-equal in any partner: the pigeonhole join is one on equal non-zero parts. Sketches have as many parts as the size band
+equal in any partner: the pigeonhole join is one on equal non-zero parts. Of the parts that both sets have, the first k
+in order are among the first d + k of each set, so that each sends no more than these and needs to share k. Sketches have as many parts as the size band
 asks for; a set joins in its own band and, when a smaller partner may stand in the band below, there too.
 
 1. Each task cuts its texts into sets, sketches them and sends the parts to buckets by hash, packed in binary blocks;
@@ -40,8 +41,10 @@ from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_co
 
 U = np.uint64
 PERCENT = 75
-# A part is met by 56 bits of its hash: fewer bytes to send, and what is met by chance is verified like all else.
-KEY_BITS = U(0xFFFFFFFFFFFFFF00)
+# A part is met by 48 bits of its hash: fewer bytes to send, and what is met by chance is verified like all else.
+KEY_BITS = U(0xFFFFFFFFFFFF0000)
+# Parts that a set needs to share, if it has as many beyond those that may differ: an 8th of its band's floor, but at least 8.
+SHARE, LEAST_SHARE = 8, 8
 # Parts collected by a task before they are sent on: 8 bytes each, and their set.
 FLUSH = 1_000_000
 ROUNDS = 1
@@ -87,7 +90,10 @@ def parts(hashes: np.ndarray, sizes: np.ndarray, owners: np.ndarray, floors: np.
 
 
 def bands(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of several sets: keys, the number of each key's set, and how many parts that set needs to share in the key's band."""
+    """Of several sets: keys, the number of each key's set, and how many parts that set needs to share in the key's band.
+
+    A set's parts are in the order of their places, which is the same for all sets of a band: enough of the first ones are kept.
+    """
     n = np.diff(bounds)
     floor = 1 << (np.frexp(np.maximum(n, 1))[1] - 1)
     out = []
@@ -107,7 +113,11 @@ def bands(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
         size = n[chosen]
         take = np.repeat(bounds[chosen] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         keys, owner = parts(hashes[take], size, np.repeat(np.arange(len(chosen)), size), at[chosen])
-        need = np.bincount(owner, minlength=len(chosen)) - most[chosen]
+        count = np.bincount(owner, minlength=len(chosen))
+        share = np.maximum(at[chosen] // SHARE, LEAST_SHARE)
+        need = np.minimum(count - most[chosen], share)
+        first = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) < (most[chosen] + share)[owner]
+        keys, owner = keys[first], owner[first]
         out.append((keys, chosen[owner], need[owner]))
     if not out:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -115,7 +125,7 @@ def bands(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndar
 
 
 def pack(keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> bytes:
-    """Parts of sets in one block: keys ascending as differences, each set once with its need."""
+    """Parts of sets in one block: keys ascending as differences, each set once with its need, ascending likewise."""
     order = np.argsort(keys, kind="stable")
     keys, nodes, needs = keys[order], nodes[order], needs[order]
     by_set = np.lexsort((needs, nodes))
@@ -124,9 +134,9 @@ def pack(keys: np.ndarray, nodes: np.ndarray, needs: np.ndarray) -> bytes:
     at = np.empty(len(keys), np.uint32)
     at[by_set] = np.cumsum(new) - 1
     first = by_set[new]
-    steps = np.diff(keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
+    steps, sets = (np.diff(x, prepend=U(0)).view(np.uint8).reshape(-1, 8).T for x in (keys, nodes[first]))
     places = at.view(np.uint8).reshape(-1, 4).T
-    own = [nodes[first].tobytes(), needs[first].astype(np.int32).tobytes()]
+    own = [sets.tobytes(), needs[first].astype(np.int32).tobytes()]
     raw = b"".join([np.array([len(keys), len(first)], U).tobytes(), steps.tobytes(), places.tobytes(), *own])
     return zstandard.ZstdCompressor(level=1).compress(raw)
 
@@ -135,11 +145,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
     """keys, nodes, needs of a block."""
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m = (int(x) for x in np.frombuffer(raw, U, 2))
-    at = 16
-    keys = np.cumsum(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T.copy().view(U).ravel(), dtype=U)
-    places = np.frombuffer(raw, np.uint8, 4 * n, at + 8 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
-    at += 12 * n
-    return [keys, np.frombuffer(raw, U, m, at)[places], np.frombuffer(raw, np.int32, m, at + 8 * m)[places]]
+    ascending = lambda k, at: np.cumsum(np.frombuffer(raw, np.uint8, 8 * k, at).reshape(8, k).T.copy().view(U).ravel(), dtype=U)
+    places = np.frombuffer(raw, np.uint8, 4 * n, 16 + 8 * n).reshape(4, n).T.copy().view(np.uint32).ravel()
+    at = 16 + 12 * n
+    return [ascending(n, 16), ascending(m, at)[places], np.frombuffer(raw, np.int32, m, at + 8 * m)[places]]
 
 
 def _batch(bucket: int, kind: int, data: bytes) -> pa.RecordBatch:
@@ -420,7 +429,7 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
 
     sketched = texts.join(members.select("node"), "node", "left_semi").select("node", "data", "n").mapInArrow(fine, "node long, bits binary, data binary, n long")
     # chunks of a bounded number of sets and bytes
-    weighed = members.select("node", "family").join(texts.select("node", F.octet_length("data").cast("long").alias("bytes")), "node")
+    weighed = members.select("node", "family").join(texts.select("node", "bytes"), "node")
     enough = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("bytes") / CHUNK_BYTES))
     sizes = weighed.groupBy("family").agg(enough.cast("int").alias("chunks"))
     dealt = sketched.join(members, "node").join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
@@ -430,9 +439,10 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
 
 
 def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """node, n, data (compressed text) of one document for each node; ``members`` has doc_id, node and n.
+    """node, n, bytes, data (compressed text) of one document for each node; ``members`` has doc_id, node and n.
 
-    Texts are fetched by doc_id; an id that repeats with another text, or is null, is told apart by the signature.
+    Texts are fetched by doc_id; an id that repeats with another text, or is null, is told apart by the signature. What is
+    fetched is written; rows that repeat fall together where texts are joined by node, for which they are dealt once.
     """
     spark = docs.sparkSession
     members = stage(members, "members")
@@ -442,21 +452,22 @@ def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            wanted = batch.column(0).to_pylist()
+            wanted, n = (batch.column(c).to_pylist() for c in (0, 2))
             for first, texts in shingles.chunks(batch.column(1).to_pylist()):
                 node = shingles.signature(*shingles.sets(texts)).view(np.int64).tolist()
                 kept = [i for i, x in enumerate(node) if wanted[first + i] is None or wanted[first + i] == x]
                 if kept:
-                    columns = [pa.array([node[i] for i in kept], pa.int64()), pa.array([tool.compress(texts[i]) for i in kept], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(columns, ["node", "data"])
+                    data = [tool.compress(texts[i]) for i in kept]
+                    numbers = [[node[i] for i in kept], [n[first + i] for i in kept], [len(d) for d in data]]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in numbers), pa.array(data, pa.binary())], ["node", "n", "bytes", "data"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    kind = "node long, data binary"
-    named = rows.join(members.where("doc_id IS NOT NULL"), "doc_id").select("node", "text").mapInArrow(run, kind)
-    unnamed = rows.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text").mapInArrow(run, kind)
-    unnamed = unnamed.join(members.where("doc_id IS NULL").select("node"), "node", "left_semi")
-    once = named.union(unnamed).groupBy("node").agg(F.first("data").alias("data"))
-    return once.join(members.select("node", "n"), "node").select("node", "n", "data")
+    kind = "node long, n long, bytes long, data binary"
+    named = rows.join(members.where("doc_id IS NOT NULL"), "doc_id").select("node", "text", F.col("n").cast("long")).mapInArrow(run, kind)
+    unnamed = rows.where("doc_id IS NULL").select(F.lit(None).cast("long").alias("node"), "text", F.lit(None).cast("long").alias("n")).mapInArrow(run, kind)
+    unnamed = unnamed.drop("n").join(members.where("doc_id IS NULL").select("node", F.col("n").cast("long")), "node").select("node", "n", "bytes", "data")
+    fetched = stage(named.union(unnamed), "texts")
+    return fetched.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "bytes", "data")))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -575,7 +586,7 @@ def join(docs: DataFrame, percent: int = PERCENT, links: str = "all") -> tuple[D
     star = stage(stars(alive, buckets), "stars")
     nodes = stage(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "nodes")
     one = members.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
-    texts = stage(texts_of(docs, one), "texts")
+    texts = texts_of(docs, one)
     if links == "all":
         # similar sets share a part, and all sets with a part share it with the one that stands for it
         family = components(star, nodes).select("node", F.col("node").alias("comp"), F.col("comp").alias("family"))

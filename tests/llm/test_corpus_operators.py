@@ -524,6 +524,39 @@ def test_sketch_distance_bounds_the_symmetric_difference():
         assert len(one - two) <= len(np.setxor1d(a, b))
 
 
+def test_sets_send_no_more_parts_than_a_link_needs():
+    rng = np.random.default_rng(9)
+    mixed = lambda n: shingles.mix(rng.integers(0, 2**63, n).astype(np.uint64))
+    linked = 0
+    for _ in range(300):
+        common = mixed(int(rng.integers(3, 1_500)))
+        more = max(1, len(common) // 4)
+        pair = [np.unique(np.concatenate((common, mixed(int(rng.integers(0, more)))))) for _ in range(2)]
+        bounds = np.cumsum([0, *map(len, pair)])
+        keys, owner, need = paritysketch.bands(np.concatenate(pair), bounds, 75)
+        for n, i in ((len(pair[0]), 0), (len(pair[1]), 1)):
+            floor = 1 << (n.bit_length() - 1)
+            # of its own band and the one below: those that may differ, and an 8th of the floor or 8
+            assert (owner == i).sum() <= sum((25 * (n + n * 100 // 75) // 175, max(8, floor // 8))) + (n + floor) // 7 + max(8, floor // 16)
+        both = len(np.intersect1d(*pair))
+        if 100 * both >= 75 * (len(pair[0]) + len(pair[1]) - both) and len(pair[0]) != both != len(pair[1]):
+            linked += 1
+            # in one band they share as many parts as each needs there
+            shared = np.intersect1d(keys[owner == 0], keys[owner == 1])
+            needs = [need[owner == i][np.isin(keys[owner == i], shared)] for i in (0, 1)]
+            assert len(shared) and all(any((x == k).sum() >= k for k in set(x.tolist())) for x in needs)
+    assert linked > 50
+
+
+def test_blocks_of_many_buckets_stay_small():
+    rng = np.random.default_rng(10)
+    nodes = rng.integers(0, 2**63, 8_000).astype(np.uint64)
+    of = np.repeat(np.arange(8_000), 3)
+    keys = shingles.mix(rng.integers(0, 2**63, len(of)).astype(np.uint64)) & paritysketch.KEY_BITS
+    # keys of 48 bits, ascending, the place of their set, and sets that ascend too
+    assert len(paritysketch.pack(keys, nodes[of], np.full(len(of), 8))) < 8.8 * len(of)
+
+
 def test_shingles_equal_brute_force():
     texts = ["", " ", "a b", "a  b\n", "A", "a b c d e", "a b c d E f", "é ß ñ ü ö", LONG, "\ta\x0bb\x0cc\rd e f g"]
     hashes, bounds = shingles.sets([t.encode() for t in texts])
