@@ -9,8 +9,10 @@ asks for; a set joins in its own band and, when a smaller partner may stand in t
 
 1. Each task cuts its texts into sets, sketches them and sends the parts to buckets by hash, packed in binary blocks;
    a part that repeats within a task is sent once. Buckets give back the parts that at least two different sets have.
-2. A set with fewer shared parts than it needs has no partner and is dropped.
-3. Candidates are verified on the exact shingle sets. For all links (``links="all"``), sets that share parts, directly or through others,
+2. A set with fewer shared parts than it needs has no partner and is dropped. Of the others' parts, those that fewest sets have
+   come first: without the last (needed - 1) of each set, two partners still meet in one part, while a passage that very many
+   texts hold joins few of them.
+3. Candidates are verified on the exact shingle sets. For all links (``links="all"``), sets that share such parts, directly or through others,
    are a family, and of each family every pair whose fine bit sketches are close enough is verified. For components alone
    (``links="joining"``), first each set with the one that stands for most of its parts is verified, in rounds; then, of sets that still share
    parts with another component, the close pairs; links that would join what is joined already are not looked for.
@@ -26,6 +28,7 @@ equal rows each get a row; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sigspark.llm import shingles
 from sigspark.llm.common import named_back, new_folder, partitions, set_aside
@@ -47,6 +50,8 @@ KEY_BITS = U(0xFFFFFFFFFFFF0000)
 SHARE, LEAST_SHARE = 8, 8
 # Parts collected by a task before they are sent on: 8 bytes each, and their set.
 FLUSH = 1_000_000
+# Steps in which the number of sets that have a part is told, four for every doubling.
+LEVELS = 128
 ROUNDS = 1
 # Bits of the sketches that tell close pairs within a family, and sets of a family that a task compares with as many others.
 FINE_BITS = 2_048
@@ -55,6 +60,8 @@ CHUNK_SETS = 4_096
 ALL_CHUNK_SETS = 1_024
 # Bytes of the compressed texts of a chunk, and of the exact sets that a task keeps while it compares.
 CHUNK_BYTES = 24_000_000
+# A family of more chunks than this is dealt by size, so that chunks whose sets are too far apart in size never meet.
+PLAIN_CHUNKS = 3
 KNOWN_BYTES = 64_000_000
 # Links that a task turns into a spanning forest at once; a forest of no more is joined in one task.
 FOREST_EDGES = 2_000_000
@@ -308,7 +315,11 @@ def documents(stored: DataFrame) -> DataFrame:
 
 
 def stars(alive: DataFrame, buckets: int) -> DataFrame:
-    """a, b, n: sets a with the set b that stands for n of their parts (the smallest node that has the part)."""
+    """a, b, n: sets a with the set b that stands for n of their parts (the smallest node that has the part).
+
+    Partners share at least as many parts as each of them needs. So in one order of all parts, those that fewest sets have
+    first, the first one that two partners share is not among the last (needed - 1) of either: these are left out.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -316,6 +327,30 @@ def stars(alive: DataFrame, buckets: int) -> DataFrame:
                 k, n, g = unpack(data)
                 yield from _deal(OPEN, k, buckets, k, n, g)
 
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, _ = _gather(batches, OPEN)
+        if found is not None:
+            k, n, g = found
+            _, runs = _runs(k)
+            level = np.repeat(np.minimum(4 * np.log2(runs), LEVELS - 1).astype(np.int32), runs)
+            met = np.repeat(runs > 1, runs)
+            yield from _deal(OPEN, n[met], buckets, k[met], n[met], g[met] * np.int32(LEVELS) + level[met])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, _ = _gather(batches, OPEN)
+        if found is not None:
+            k, n, told = found
+            need, level = told // LEVELS, told % LEVELS
+            order = np.lexsort((k, level, need, n))
+            k, n, need = k[order], n[order], need[order]
+            # a set's parts of a band: those of one need, as where they were counted
+            new = np.ones(len(n), bool)
+            new[1:] = (n[1:] != n[:-1]) | (need[1:] != need[:-1])
+            start = np.flatnonzero(new)
+            runs = np.diff(np.append(start, len(n)))
+            first = np.arange(len(n)) - np.repeat(start, runs) <= np.repeat(runs, runs) - need
+            yield from _deal(OPEN, k[first], buckets, k[first], n[first], need[first])
+
     def meet_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, _ = _gather(batches, OPEN)
         if found is not None:
@@ -334,6 +369,8 @@ def stars(alive: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n.astype(np.int64))], ["a", "b", "n"])
 
     by_key = alive.select("data").mapInArrow(send, BLOCK).repartition(buckets, "bucket")
+    by_set = by_key.mapInArrow(weigh, BLOCK).repartition(buckets, "bucket")
+    by_key = by_set.mapInArrow(rarest, BLOCK).repartition(buckets, "bucket")
     by_set = by_key.mapInArrow(meet_again, BLOCK).repartition(buckets, "bucket")
     return by_set.mapInArrow(tally, "a long, b long, n long")
 
@@ -360,7 +397,7 @@ def families(stars_: DataFrame, label: DataFrame) -> DataFrame:
 def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool = False) -> DataFrame:
     """a, b, both: links that join the components within each family, or (``every``) all links within each family.
 
-    A family is dealt into chunks and every two chunks meet in one task. There, fine bit sketches tell the pairs that may be
+    A family is dealt into chunks (``dealt``) and every two chunks whose sets may be alike in size meet in one task. There, fine bit sketches tell the pairs that may be
     similar enough, those of different components are verified on the exact sets, and a link joins its components: what comes
     back is at most one link for each set of the two chunks. With ``every``, all of these pairs are verified and links join nothing.
     """
@@ -370,18 +407,18 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
         tool = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for _, some in shingles.chunks([tool.decompress(d).decode("utf-8", "surrogatepass") for d in batch.column(1).to_pylist()]):
+            for _, some in shingles.chunks([tool.decompress(d).decode("utf-8", "surrogatepass") for d in batch.column("data").to_pylist()]):
                 hashes, bounds = shingles.sets(some)
                 owner = np.repeat(np.arange(len(some)), np.diff(bounds))
                 bits = np.zeros((len(some), FINE_BITS // 64), U)
                 place = shingles.mix(hashes ^ U(0x5851F42D4C957F2D)) % U(FINE_BITS)
                 np.bitwise_xor.at(bits, (owner, (place >> U(6)).astype(np.int64)), U(1) << (place & U(63)))
                 out += [b.tobytes() for b in bits]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(1), batch.column(2)], ["node", "bits", "data", "n"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "bits"])
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("n", "ascending"), ("node", "ascending")])
-        node, n, mine = (table[c].to_numpy() for c in ("node", "n", "chunk"))
+        node, n, mine = (table[c].to_numpy() for c in ("node", "n", "place"))
         bits = np.frombuffer(b"".join(table["bits"].to_pylist()), U).reshape(len(table), -1)
         data, tool = table["data"].to_pylist(), zstandard.ZstdDecompressor()
         two = table["lo"][0].as_py() != table["hi"][0].as_py()
@@ -427,17 +464,39 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
         a, b, both = zip(*out, strict=True) if out else ([], [], [])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "both": pa.array(both, pa.int64())})
 
-    sketched = texts.join(members.select("node"), "node", "left_semi").select("node", "data", "n").mapInArrow(fine, "node long, bits binary, data binary, n long")
-    # chunks of a bounded number of sets and bytes
-    weighed = members.select("node", "family").join(texts.select("node", "bytes"), "node")
-    enough = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("bytes") / CHUNK_BYTES))
-    sizes = weighed.groupBy("family").agg(enough.cast("int").alias("chunks"))
-    dealt = sketched.join(members, "node").join(sizes, "family").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("family", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi"), "chunk", "node", "comp", "n", "bits", "data")
+    # a chunk's place and the places that it meets are found without the texts, which are then dealt by node and by place alone
+    placed = dealt(members.join(texts.select("node", "n", "bytes"), "node"), percent, chunk_sets)
+    whole = texts.select("node", "data").join(placed, "node").select("node", "n", "comp", "family", "place", "others", "data")
+    sketched = whole.mapInArrow(fine, StructType([*whole.schema.fields, StructField("bits", BinaryType())]))
+    met = sketched.withColumn("other", F.explode("others"))
+    met = met.select("family", F.least("place", "other").alias("lo"), F.greatest("place", "other").alias("hi"), "place", "node", "comp", "n", "bits", "data")
     return met.groupBy("family", "lo", "hi").applyInArrow(compare, "a long, b long, both long")
 
 
+def dealt(members: DataFrame, percent: int, chunk_sets: int) -> DataFrame:
+    """``members`` (node, comp, family, n, bytes) with place, the chunk of their family, and others, the places it meets.
+
+    Chunks have a bounded number of sets and bytes. Of a family of few chunks all meet. A larger one is dealt into bands of
+    sizes first, as wide as partners may differ: a chunk meets those of its own band and of the two next to it.
+    """
+    members = stage(members, "weighed")
+    enough = F.greatest(F.ceil(F.count(F.lit(1)) / chunk_sets), F.ceil(F.sum("bytes") / CHUNK_BYTES)).cast("int")
+    # families of several chunks are few: each has more sets or bytes than a chunk
+    large = F.broadcast(members.groupBy("family").agg(enough.alias("whole")).where("whole > 1"))
+    # a little wider, so that rounding never puts partners two bands apart
+    width = 1.0001 * max(math.log(100 / percent), 0.001)
+    band = F.when(F.col("whole") > PLAIN_CHUNKS, F.floor(F.log("n") / width)).otherwise(0).cast("long")
+    banded = members.join(large, "family", "left").withColumn("band", band)
+    chunks = stage(banded.where("whole > 1").groupBy("family", "band").agg(enough.alias("chunks")), "chunks")
+    near = chunks.select("family", F.explode(F.array(*(F.col("band") + i for i in (-1, 0, 1)))).alias("band"), F.struct("band", "chunks").alias("near"))
+    seen = chunks.join(near.groupBy("family", "band").agg(F.collect_list("near").alias("near")), ["family", "band"])
+    place = lambda band, chunk: band * F.lit(1 << 32) + chunk
+    others = F.flatten(F.transform("near", lambda x: F.transform(F.sequence(F.lit(0), x["chunks"] - 1), lambda i: place(x["band"], i))))
+    own = place(F.col("band"), F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))))
+    out = banded.join(F.broadcast(seen), ["family", "band"], "left").withColumn("place", own)
+    return out.withColumn("others", F.coalesce(others, F.array("place"))).select(*members.columns, "place", "others")
+
+
 def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
     """node, n, bytes, data (compressed text) of one document for each node; ``members`` has doc_id, node and n.
 

@@ -557,6 +557,37 @@ def test_blocks_of_many_buckets_stay_small():
     assert len(paritysketch.pack(keys, nodes[of], np.full(len(of), 8))) < 8.8 * len(of)
 
 
+def test_a_common_passage_joins_no_families(spark):
+    rng = np.random.default_rng(11)
+    # pairs of sets with 10 parts of their own and 5 that all have, where 8 are needed
+    keys = np.sort(rng.choice(2**40, 10 * 20 + 5, replace=False).astype(np.uint64) << np.uint64(16))
+    common, own = keys[::41], np.setdiff1d(keys, keys[::41]).reshape(20, 10)
+    rows = [(k, 2 * pair + side + 1) for pair in range(20) for side in (0, 1) for k in [*own[pair], *common]]
+    k, n = (np.array(x, np.uint64) for x in zip(*rows, strict=True))
+    half = np.arange(len(k)) % 2 == 0
+    blocks = [(bytearray(paritysketch.pack(k[x], n[x], np.full(x.sum(), 8))),) for x in (half, ~half)]
+    stars = paritysketch.stars(spark.createDataFrame(blocks, "data binary"), 8).collect()
+    assert sorted((r.b, r.a) for r in stars) == [(2 * pair + 1, 2 * pair + 2) for pair in range(20)]
+
+
+@pytest.mark.parametrize("percent", [75, 50, 100])
+def test_chunks_far_apart_in_size_do_not_meet(spark, percent):
+    rng = np.random.default_rng(12)
+    sizes = [2**i for i in range(14)] + np.exp(rng.uniform(0, 9, 180)).astype(int).tolist()
+    rows = [(i, 0, 1, int(n), 100) for i, n in enumerate(sizes)] + [(1_000 + i, 0, 2, 50, 100) for i in range(8)]
+    members = spark.createDataFrame(rows, "node long, comp long, family long, n long, bytes long")
+    got = {r.node: r for r in paritysketch.dealt(members, percent, 10).collect()}
+    assert sorted(got) == sorted(r[0] for r in rows)
+    for i, a in enumerate(sizes):
+        for j, b in enumerate(sizes):
+            if 100 * min(a, b) >= percent * max(a, b):
+                assert got[j].place in got[i].others
+    assert all(len(set(r.others)) == len(r.others) and r.place in r.others for r in got.values())
+    # 194 sets are 20 chunks at least, and each set met all of them
+    assert percent == 50 or sum(len(got[i].others) for i in range(len(sizes))) < 10 * len(sizes)
+    assert all(r.others == [r.place] for r in got.values() if r.family == 2)
+
+
 def test_shingles_equal_brute_force():
     texts = ["", " ", "a b", "a  b\n", "A", "a b c d e", "a b c d E f", "é ß ñ ü ö", LONG, "\ta\x0bb\x0cc\rd e f g"]
     hashes, bounds = shingles.sets([t.encode() for t in texts])
