@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from sigspark.session import stage_dir
 
+ARROW_ROWS_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+TEXT_ROWS = 1_000
+
 
 def set_aside(df: DataFrame, reserved: list[str]) -> DataFrame:
     """``df`` with columns that clash with ``reserved`` names renamed to ``<name>_in`` (``_in_in`` and so on)."""
@@ -46,6 +49,20 @@ def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Has the session hand Python at most TEXT_ROWS rows at once; a smaller number set by the caller stays.
+
+    Spark's 10,000 rows of whole texts are a batch of tens of MB, held several times over by a task and its Python worker.
+    """
+    now = int(spark.conf.get(ARROW_ROWS_CONF))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(ARROW_ROWS_CONF, str(TEXT_ROWS))
+
+
+# What a Python worker keeps for tasks to come. Workers serve tasks of all kinds, and those of another kind clear it first.
+WORKER_HELD: dict = {}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

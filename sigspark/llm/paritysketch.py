@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from sigspark.llm import shingles
-from sigspark.llm.common import named_back, new_folder, partitions, set_aside
+from sigspark.llm.common import WORKER_HELD, named_back, new_folder, partitions, set_aside, text_batches
 from sigspark.session import BROADCAST_ROWS_CONF, BROADCAST_ROWS_DEFAULT, int_conf, stage
 
 U = np.uint64
@@ -49,7 +49,7 @@ KEY_BITS = U(0xFFFFFFFFFFFF0000)
 # Parts that a set needs to share, if it has as many beyond those that may differ: an 8th of its band's floor, but at least 8.
 SHARE, LEAST_SHARE = 8, 8
 # Parts collected by a task before they are sent on: 8 bytes each, and their set.
-FLUSH = 1_000_000
+FLUSH = 500_000
 # Steps in which the number of sets that have a part is told, four for every doubling.
 LEVELS = 128
 ROUNDS = 1
@@ -218,9 +218,13 @@ def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
     """The blocks that tasks send to buckets: parts by their key, documents anywhere."""
 
     def flush(keys: list, nodes: list, needs: list) -> Iterator[pa.RecordBatch]:
-        k, n, g = np.concatenate(keys), np.concatenate(nodes), np.concatenate(needs).astype(np.int32)
-        order = np.lexsort((n, k))
-        k, n, g = k[order], n[order], g[order]
+        columns = []
+        for x in (keys, nodes, needs):
+            columns.append(np.concatenate(x))
+            x.clear()
+        order = np.lexsort((columns[1], columns[0]))
+        k, n, g = (columns.pop(0)[order] for _ in range(3))
+        del order
         fresh = np.ones(len(k), bool)
         fresh[1:] = (k[1:] != k[:-1]) | (n[1:] != n[:-1])
         k, n, g = k[fresh], n[fresh], g[fresh]
@@ -232,16 +236,17 @@ def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
             yield from _deal(MET, n[met], buckets, k[met], n[met], g[met])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        WORKER_HELD.clear()
         keys, nodes, needs, held = [], [], [], 0
         for batch in batches:
             ids = batch.column(0)
-            for first, texts in shingles.chunks(batch.column(1).to_pylist()):
+            for first, texts in shingles.pieces(batch.column(1)):
                 hashes, bounds = shingles.sets(texts)
                 node = shingles.signature(hashes, bounds)
                 k, owner, need = bands(hashes, bounds, percent)
                 keys.append(k)
                 nodes.append(node[owner])
-                needs.append(need)
+                needs.append(need.astype(np.int32))
                 held += len(k)
                 part = ids.slice(first, len(texts))
                 known = np.array(part.is_valid().to_pylist())
@@ -251,11 +256,12 @@ def sketch(docs: DataFrame, percent: int, buckets: int) -> DataFrame:
                 yield _batch(int(node[0] % U(buckets)), DOC, pack(value, node, size.astype(np.int32)))
                 if held >= FLUSH:
                     yield from flush(keys, nodes, needs)
-                    keys, nodes, needs, held = [], [], [], 0
+                    held = 0
         if held:
             yield from flush(keys, nodes, needs)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text_batches(docs.sparkSession)
     return rows.mapInArrow(run, BLOCK)
 
 
@@ -467,6 +473,7 @@ def close_links(members: DataFrame, texts: DataFrame, percent: int, every: bool
     # a chunk's place and the places that it meets are found without the texts, which are then dealt by node and by place alone
     placed = dealt(members.join(texts.select("node", "n", "bytes"), "node"), percent, chunk_sets)
     whole = texts.select("node", "data").join(placed, "node").select("node", "n", "comp", "family", "place", "others", "data")
+    text_batches(texts.sparkSession)
     sketched = whole.mapInArrow(fine, StructType([*whole.schema.fields, StructField("bits", BinaryType())]))
     met = sketched.withColumn("other", F.explode("others"))
     met = met.select("family", F.least("place", "other").alias("lo"), F.greatest("place", "other").alias("hi"), "place", "node", "comp", "n", "bits", "data")
@@ -512,7 +519,7 @@ def texts_of(docs: DataFrame, members: DataFrame) -> DataFrame:
         tool = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             wanted, n = (batch.column(c).to_pylist() for c in (0, 2))
-            for first, texts in shingles.chunks(batch.column(1).to_pylist()):
+            for first, texts in shingles.pieces(batch.column(1)):
                 node = shingles.signature(*shingles.sets(texts)).view(np.int64).tolist()
                 kept = [i for i, x in enumerate(node) if wanted[first + i] is None or wanted[first + i] == x]
                 if kept:
@@ -678,11 +685,12 @@ def cluster(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def signed(docs: DataFrame) -> DataFrame:
     """``docs`` with node (the signature of the text's set) and n_shingles; clashing names are not looked for."""
     at = docs.columns.index("text")
+    text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for _, texts in shingles.chunks(batch.column(at).to_pylist()):
+            for _, texts in shingles.pieces(batch.column(at)):
                 hashes, bounds = shingles.sets(texts)
                 node.append(shingles.signature(hashes, bounds).view(np.int64))
                 n.append(np.diff(bounds).astype(np.int64))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 WIDTH = 5
 # Bytes of texts that are worked on together; a longer text is worked on alone.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 400_000
+# Texts of a column that are made Python objects at once.
+PIECE_ROWS = 500
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -59,6 +62,13 @@ def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """``chunks`` of a column, whose texts are never all made Python objects at once."""
+    for at in range(0, len(texts), PIECE_ROWS):
+        for first, held in chunks(texts.slice(at, PIECE_ROWS).to_pylist()):
+            yield at + first, held
+
+
 def sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingles of each text: (hashes, bounds), ascending within bounds[i]:bounds[i+1].
 

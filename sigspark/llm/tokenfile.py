@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sigspark.llm.common import filesystem, partitions
+from sigspark.llm.common import WORKER_HELD, filesystem, partitions
 
 HAS_ID, WIDE = 1, 2
 # Words whose ids a process remembers; when full, those met once are forgotten, which changes speed alone.
@@ -184,16 +184,13 @@ class WholeEncoder:
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-# The encoder of this Python process: workers serve many tasks, and keep the words they have met.
-_HELD: dict[tuple[str, str], WordEncoder | WholeEncoder] = {}
-
-
 def encoder_of(tokenizer_json: str, dtype: str) -> WordEncoder | WholeEncoder:
+    """The encoder of this Python process: workers serve many tasks, and keep the words they have met."""
     key = (tokenizer_json, dtype)
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = (WordEncoder if splits_words(tokenizer_json) else WholeEncoder)(tokenizer_json, dtype)
-    return _HELD[key]
+    if key not in WORKER_HELD:
+        WORKER_HELD.clear()
+        WORKER_HELD[key] = (WordEncoder if splits_words(tokenizer_json) else WholeEncoder)(tokenizer_json, dtype)
+    return WORKER_HELD[key]
 
 
 def splits_words(tokenizer_json: str) -> bool:

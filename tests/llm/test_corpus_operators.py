@@ -7,11 +7,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from sigspark.llm import decontaminate, graphindex, langid, linetemplates, mixing, paritysketch, shards, shingles, tokenfile, toxicgrammar, urltrie
-from sigspark.llm.common import new_folder, set_aside
+from sigspark.llm.common import WORKER_HELD, new_folder, set_aside
 
 LONG = "word " * 30_000
 TEXTS = ["one two three four five six", None, "", " \n\t", "one two three four five six", "One TWO three four five six", "é Ñandú ß", LONG, "x", "!!! ..."]
@@ -588,6 +589,42 @@ def test_chunks_far_apart_in_size_do_not_meet(spark, percent):
     assert all(r.others == [r.place] for r in got.values() if r.family == 2)
 
 
+def test_texts_reach_python_in_small_batches(spark, monkeypatch):
+    conf, docs = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.range(20).selectExpr("id AS doc_id", "concat('w', id) AS text")
+    was = spark.conf.get(conf)
+    try:
+        for given, want in (("10000", "1000"), ("0", "1000"), ("7", "7")):
+            spark.conf.set(conf, given)
+            paritysketch.sketch(docs, 75, 4)
+            assert spark.conf.get(conf) == want
+    finally:
+        spark.conf.set(conf, was)
+    monkeypatch.setattr(shingles, "PIECE_ROWS", 3)
+    column = pa.array(["a", None, "bc", "", "ü", "d", "e"])
+    assert list(shingles.pieces(column)) == [(0, [b"a", b"", b"bc"]), (3, [b"", "ü".encode(), b"d"]), (6, [b"e"])]
+
+
+def test_other_work_lets_go_of_the_encoder(spark):
+    class Docs:
+        """Runs a task's function here."""
+
+        columns, sparkSession, schema = ["doc_id", "text"], spark, spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *cols):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return list(run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["one two"])], ["doc_id", "text"])])))
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    for work in (lambda: paritysketch.sketch(Docs(), 75, 4), lambda: langid.identify(Docs(), {"en": b"the and of"})):
+        encoder = tokenfile.encoder_of(model, "<u2")
+        assert tokenfile.encoder_of(model, "<u2") is encoder and list(WORKER_HELD.values()) == [encoder]
+        assert work()
+        assert not WORKER_HELD
+
+
 def test_shingles_equal_brute_force():
     texts = ["", " ", "a b", "a  b\n", "A", "a b c d e", "a b c d E f", "é ß ñ ü ö", LONG, "\ta\x0bb\x0cc\rd e f g"]
     hashes, bounds = shingles.sets([t.encode() for t in texts])
